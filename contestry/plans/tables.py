@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.functions import plays as P
-from contestry.operators import draws, features
+from contestry.operators import draws, drives, features, ledger, placement
 from contestry.sources import adapter, play_store
 
 
@@ -59,3 +59,35 @@ class Tables:
     @cached_property
     def results(self) -> DataFrame:
         return self.games.withColumn("result", F.col("margin"))
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return ledger.full_ledger(self.pbp)
+
+    @cached_property
+    def strict(self) -> DataFrame:
+        return ledger.strict_ledger(self.pbp)
+
+    @cached_property
+    def edition_a(self) -> DataFrame:
+        return ledger.edition(self.strict, self.games)
+
+    @cached_property
+    def edition_b(self) -> DataFrame:
+        return ledger.edition(self.ledger, self.games)
+
+    @cached_property
+    def drives(self) -> DataFrame:
+        return drives.drive_table(self.pbp)
+
+    @cached_property
+    def luck_drives(self) -> DataFrame:
+        return ledger.luck_drives(ledger.with_drive_key(self.ledger, self.pbp))
+
+    @cached_property
+    def priced(self) -> DataFrame:
+        return placement.priced_plays(self.pbp, self.ledger, self.games.filter("margin is not null"))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return placement.cell_table(self.priced)
