@@ -16,7 +16,7 @@ from contestry.operators.joins import override
 from contestry.operators.kicks import kick_table
 
 LEDGER = ["component", "game_id", "play_id", "season", "event_class", "charged_team",
-          "actual", "expected", "swing", "luck_epa"]
+          "actual", "expected", "swing", "luck_epa", "class_n"]
 
 
 def class_table(rows: DataFrame, klass: str, outcome: str, epa: str, minimum: int = C.MIN_CLASS) -> DataFrame:
@@ -60,7 +60,7 @@ def ledger_rows(rows: DataFrame, table: DataFrame, component: str, klass: str, o
                 dial: float = 0.0) -> DataFrame:
     """luck = (actual - expected) * swing, signed to home. ``dial`` blends the class rate
     with the charged side's own season rate."""
-    priced = rows.join(table.select(klass, "p", "swing_value"), klass)
+    priced = rows.join(table.select(klass, "p", "swing_value", F.col("n").alias("class_n")), klass)
     expected = F.col("p")
     if dial:
         own = rows.groupBy("season", team).agg(F.avg(outcome).alias("own"))
@@ -70,7 +70,7 @@ def ledger_rows(rows: DataFrame, table: DataFrame, component: str, klass: str, o
     return priced.filter(F.col("p").isNotNull() & F.col("swing_value").isNotNull()).select(
         F.lit(component).alias("component"), "game_id", "play_id", "season", F.col(klass).alias("event_class"),
         F.col(team).alias("charged_team"), F.col(outcome).cast("double").alias("actual"),
-        expected.alias("expected"), (F.col("swing_value") * sign).alias("swing"),
+        expected.alias("expected"), (F.col("swing_value") * sign).alias("swing"), "class_n",
     ).withColumn("luck_epa", (F.col("actual") - F.col("expected")) * F.col("swing"))
 
 
@@ -118,16 +118,21 @@ def replicate_share(ledger: DataFrame, games: DataFrame, reps: int, seed: int =
     """Win share over replicates: every coin replayed by a hashed uniform against its rate.
 
     Contributions are summed by (contest, replicate) in the map-side combine, so only one
-    number per contest and replicate is shuffled. Two layers: the coin's own rate is
-    redrawn per replicate around the class rate, then the coin itself.
+    number per contest and replicate is shuffled. Two layers: the event's rate is redrawn
+    from its class posterior (by mean and variance), then the coin itself is tossed.
     """
     tossed = ledger.select(
-        "game_id", "actual", "expected", "swing",
+        "game_id", "actual", "expected", "swing", "class_n",
         F.concat_ws("|", "component", F.col("play_id").cast("long").cast("string")).alias("event"),
         F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     u = uniform(digest(seed, F.col("rep"), F.col("game_id"), F.col("event")))
-    jitter = uniform(digest("rate", seed, F.col("rep"), F.col("event"))) - 0.5
-    rate = F.least(F.greatest(F.col("expected") + jitter * 0.04, F.lit(0.0)), F.lit(1.0))
+    u1 = uniform(digest("rate", seed, F.col("rep"), F.col("event")))
+    u2 = uniform(digest("turn", seed, F.col("rep"), F.col("event")))
+    z = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(u1, F.lit(1e-12)))) * F.cos(F.lit(6.283185307179586) * u2)
+    n = F.col("class_n").cast("double")
+    mean = (F.col("expected") * n + 0.5) / (n + 1.0)
+    drawn = mean + z * F.sqrt(mean * (F.lit(1.0) - mean) / (n + 2.0))
+    rate = F.least(F.greatest(drawn, F.lit(0.0)), F.lit(1.0))
     coin = F.when(u < rate, 1.0).otherwise(0.0)
     moved = tossed.withColumn("m", (F.col("actual") - coin) * F.col("swing") * slope)
     sums = moved.groupBy("game_id", "rep").agg(F.sum("m").alias("luck"))

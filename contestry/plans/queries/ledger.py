@@ -31,7 +31,7 @@ shared("class_fg", "field_goals", _class_sql("field_goals", "kick_class", "made"
 
 
 def _ledger_sql(rows: str, table: str, component: str, klass: str, outcome: str, team: str) -> str:
-    return f"""select '{component}' as component, r.game_id, r.play_id, r.season, r.{klass} as event_class, r.{team} as charged_team, cast(r.{outcome} as double) as actual, c.p as expected,
+    return f"""select '{component}' as component, r.game_id, r.play_id, r.season, r.{klass} as event_class, r.{team} as charged_team, cast(r.{outcome} as double) as actual, c.p as expected, c.n as class_n,
       c.swing_value * case when r.{team} = r.home_team then 1e0 else -1e0 end as swing,
       (r.{outcome} - c.p) * c.swing_value * case when r.{team} = r.home_team then 1e0 else -1e0 end as luck_epa
     from {rows} r join {table} c on c.{klass} = r.{klass} where c.p is not null and c.swing_value is not null"""
@@ -90,20 +90,20 @@ def _swing_sql(rows: str, outcome: str) -> str:
       case when coalesce(n_yes, 0) < 30 or coalesce(n_no, 0) < 30 then pn else mean_no end as no_mean, py - pn as pooled,
       case when coalesce(n_yes, 0) < 30 or coalesce(n_no, 0) < 30 then 'pooled' else 'cell' end as source
     from (values ('1-33'), ('34-66'), ('67-99')) a(y), (values ('1-2'), ('3-4')) b(d),
-      (select avg(epa) filter (where {outcome} = 1) as py, avg(epa) filter (where {outcome} = 0) as pn from {rows} where {CELL_SQL} is not null) pooled_
+      (select avg(epa) filter (where {outcome} = 1) as py, avg(epa) filter (where {outcome} = 0) as pn from {rows}) pooled_
     left join (select {CELL_SQL} as cell, count_if({outcome} = 1) as n_yes, count_if({outcome} = 0) as n_no, avg(epa) filter (where {outcome} = 1) as mean_yes,
       avg(epa) filter (where {outcome} = 0) as mean_no from {rows} group by 1) c on c.cell = concat(y, '|', d)"""
 
 
-shared("worthy", "charted", "select * from charted where is_interception_worthy and yardline_100 is not null and down is not null")
-shared("catchable", "charted", "select *, cast(not is_drop as int) as caught from charted where is_catchable_ball and yardline_100 is not null and down is not null")
+shared("worthy", "charted", "select * from charted where is_interception_worthy")
+shared("catchable", "charted", "select *, cast(not is_drop as int) as caught from charted where is_catchable_ball")
 shared("catch_swing", "catchable", _swing_sql("catchable", "caught"))
 SW = "yard_bin:s down_bin:s n_yes:i n_no:i mean_yes:d mean_no:d swing:d pooled:d source:s"
 
 
 @query("f32_pick_swing_table", SW, _swing_sql("worthy", "interception"), "worthy")
 def f32(t):
-    rows = charted_passes(t).filter("is_interception_worthy and yardline_100 is not null and down is not null")
+    rows = charted_passes(t).filter("is_interception_worthy")
     return L.swing_table(rows, "interception")
 
 
@@ -113,7 +113,7 @@ def f32_guard(t):
 
 
 def _catchable(t):
-    return charted_passes(t).filter("is_catchable_ball and yardline_100 is not null and down is not null").withColumn(
+    return charted_passes(t).filter("is_catchable_ball").withColumn(
         "caught", (~F.col("is_drop")).cast("int"))
 
 
@@ -164,8 +164,12 @@ _EVENT = "concat(component, '|', cast(cast(play_id as bigint) as varchar))"
 _REPS = "(select unnest(generate_series(0, 19)) as rep)"
 
 
-@query("m10_replayed_share", "game_id:s dtw_home:d deserved_mean:d", f"""with c as (select l.game_id, rep, (actual - case when {_u(f"concat('0:', rep, ':', l.game_id, ':', {_EVENT})")} < least(greatest(expected + ({_u(f"concat('rate:0:', rep, ':', {_EVENT})")} - 0.5e0) * 0.04e0, 0), 1) then 1e0 else 0e0 end) * swing * 0.8389e0 as m
-   from ledger l, {_REPS}), s as (select game_id, rep, sum(m) as luck from c group by all)
+_Z = f"""sqrt(-2e0 * ln(greatest({_u(f"concat('rate:0:', rep, ':', {_EVENT})")}, 1e-12))) * cos(6.283185307179586e0 * {_u(f"concat('turn:0:', rep, ':', {_EVENT})")})"""
+
+
+@query("m10_replayed_share", "game_id:s dtw_home:d deserved_mean:d", f"""with d as (select *, (expected * class_n + 0.5e0) / (class_n + 1e0) as mn, {_Z} as z, {_u(f"concat('0:', rep, ':', game_id, ':', {_EVENT})")} as u from ledger, {_REPS}),
+   c as (select game_id, rep, (actual - case when u < least(greatest(mn + z * sqrt(mn * (1 - mn) / (class_n + 2e0)), 0), 1) then 1e0 else 0e0 end) * swing * 0.8389e0 as m from d),
+   s as (select game_id, rep, sum(m) as luck from c group by all)
    select s.game_id, avg(case when round(margin - luck, 9) > 0 then 1e0 else 0e0 end) as dtw_home, avg(margin - luck) as deserved_mean from s join games g on g.game_id = s.game_id where margin is not null group by s.game_id""", "ledger games")
 def m10(t):
     return L.replicate_share(t.ledger, t.games, 20)
