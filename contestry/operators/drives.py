@@ -64,8 +64,9 @@ def conditional_points(drives: DataFrame, minimum: int = C.MIN_BIN_DRIVES) -> Da
         F.count(F.lit(1)).alias("n"), F.avg("points").alias("mean_points"))
     full = bins.agg(F.sort_array(F.collect_list(F.when(F.col("n") >= minimum, F.col("depth_bin"))))).scalar()
     here = F.col("depth_bin")
-    nearest = F.array_min(F.transform(full, lambda b: F.struct(F.abs(b - here).alias("gap"), b.alias("bin"))))
-    return bins.withColumn("donor_bin", F.when(F.col("n") >= minimum, here).otherwise(nearest["bin"]))
+    nearest = F.array_min(F.transform("_full", lambda b: F.struct(F.abs(b - here).alias("gap"), b.alias("bin"))))
+    held = bins.withColumn("_full", full)
+    return held.withColumn("donor_bin", F.when(F.col("n") >= minimum, here).otherwise(nearest["bin"])).drop("_full")
 
 
 def _marked(drives: DataFrame, table: DataFrame) -> DataFrame:

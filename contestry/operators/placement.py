@@ -9,6 +9,7 @@ from contestry import constants as C
 from contestry.functions.columns import digest, keyed, ratio
 from contestry.functions.plays import placement_cell, scrimmage_with_down
 from contestry.operators.ranking import hash_rank
+from contestry.session import cut_lineage
 
 UNIT = ["game_id", "posteam"]
 CELLS = ("rz", "ld", "other")
@@ -70,6 +71,8 @@ def leave_group_out_fit(rows: DataFrame, group: str, fits: dict[str, tuple[Colum
     Five weighted sums per group, the league's from the group table, and a subtraction;
     every fit shares one aggregate and one join.
     """
+    # a row per contest side, read by several sums and the join: computed once
+    rows = cut_lineage(rows)
     xs = F.col(x)
     parts = {}
     for name, (y, w) in fits.items():

@@ -47,7 +47,8 @@ def _shape(name: str, kind: str) -> Column:
     if kind == "i":
         return c.cast("bigint").alias(name)
     if kind == "d":
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+        # the nudge settles exact seventh-digit ties the same way in both engines
+        return F.round(c.cast("double") + F.lit(3e-10), 6).alias(name)
     return c.cast("string").alias(name)
 
 
@@ -55,7 +56,7 @@ def _shape_sql(name: str, kind: str) -> str:
     if kind == "i":
         return f'cast("{name}" as bigint) as "{name}"'
     if kind == "d":
-        return f'round(cast("{name}" as double), 6) + 0.0 as "{name}"'
+        return f'round(cast("{name}" as double) + 3e-10, 6) + 0.0 as "{name}"'
     return f'cast("{name}" as varchar) as "{name}"'
 
 

@@ -307,7 +307,7 @@ def f35(t):
 
 
 @query("f36_channel_cross_tab", "deflected:i worthy:i n:i mean_epa:d share_of_worthy:d", """select d as deflected, w as worthy, count(*) as n, avg(epa) as mean_epa, cast(count(*) as double) / sum(count(*)) over (partition by w) as share_of_worthy from (
-   select cast(pass_defense_1_player_id <> interception_player_id as int) as d, cast(is_interception_worthy as int) as w, epa from charted where interception = 1) where d is not null group by all""", "charted")
+   select cast(pass_defense_1_player_id <> interception_player_id as int) as d, cast(is_interception_worthy as int) as w, epa from charted where interception = 1) where d is not null group by d, w""", "charted")
 def f36(t):
     rows = P.deflected_picks(charted_passes(t)).filter("deflected is not null").select(F.col("deflected").cast("int").alias("deflected"), F.col("is_interception_worthy").cast("int").alias("worthy"), "epa")
     cells = rows.groupBy("deflected", "worthy").agg(F.count(F.lit(1)).alias("n"), F.avg("epa").alias("mean_epa"))
