@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contestry.functions import plays as P
 from contestry.operators import draws, drives, features, ledger, placement
+from contestry.session import cut_lineage
 from contestry.sources import adapter, play_store
 
 
@@ -62,11 +63,12 @@ class Tables:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return ledger.full_ledger(self.pbp)
+        """An artifact of its own, read by many reports: written once per query."""
+        return cut_lineage(ledger.full_ledger(self.pbp))
 
     @cached_property
     def strict(self) -> DataFrame:
-        return ledger.strict_ledger(self.pbp)
+        return cut_lineage(ledger.strict_ledger(self.pbp))
 
     @cached_property
     def edition_a(self) -> DataFrame:
