@@ -196,7 +196,7 @@ def logistic_holdout(rows: DataFrame, features: Sequence[str], label: str, train
 
 
 def newton_out_of_fold(rows: DataFrame, features: Sequence[str], label: str, folds: int, key: str,
-                       steps: int = 12) -> DataFrame:
+                       steps: int = 8) -> DataFrame:
     """Out-of-fold logistic probabilities for every fold at once.
 
     Each Newton step is one aggregate over the data: gradient and Hessian sums for all
@@ -229,7 +229,7 @@ def newton_out_of_fold(rows: DataFrame, features: Sequence[str], label: str, fol
             step = np.linalg.lstsq(hess, grad, rcond=None)[0]
             beta[f] += step
             moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-10:
+        if moved < 1e-8:
             break
     z = None
     for f in range(folds):

@@ -51,7 +51,7 @@ def retention(t):
 
 _GRID = """with o as (select *, least(greatest(25e0 / sqrt(n * p * (1 - p)), 0.15), 6.0) as w, ln(p / (1 - p)) as c from (select cast(sum(n) as double) as n, sum(k) / cast(sum(n) as double) as p from retention)),
    g as (select i, h, mu, exp(lk) as kappa, lk from (select i, h, 1 / (1 + exp(-(c - w + i * (2 * w / 19e0)))) as mu, h * (14e0 / 39e0) as lk from o, (select unnest(generate_series(0, 19)) as i), (select unnest(generate_series(0, 39)) as h))),
-   ll as (select i, h, mu, kappa, lk, sum(lgamma(k + mu * kappa) - lgamma(mu * kappa) + lgamma(n - k + (1 - mu) * kappa) - lgamma((1 - mu) * kappa) - lgamma(n + kappa) + lgamma(kappa)) + 2 * ln(mu) + 2 * ln(1 - mu) - power(lk - 4, 2) / 8 as lp from g, retention group by all),
+   ll as (select i, h, mu, kappa, lk, sum(lgamma(k + mu * kappa) - lgamma(mu * kappa) + lgamma(n - k + (1 - mu) * kappa) - lgamma((1 - mu) * kappa) - lgamma(n + kappa) + lgamma(kappa)) + 2 * ln(mu) + 2 * ln(1 - mu) - power(lk - 4, 2) / 8 as lp from g, retention group by i, h, mu, kappa, lk),
    s as (select *, exp(lp - (select max(lp) from ll)) as wt from ll)
    select sum(wt * mu) / sum(wt) as mu_mean, exp(sum(wt * lk) / sum(wt)) as kappa_geo, sum(wt * sqrt(mu * (1 - mu) / (kappa + 1))) / sum(wt) as population_sd, sum(case when i in (0, 19) or h in (0, 39) then wt else 0 end) / sum(wt) as edge_mass from s"""
 
