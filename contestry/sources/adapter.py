@@ -195,9 +195,11 @@ where season >= 2022 and play_type = 'pass' and mix % 17 <> 0
 """
 
 
-def plays_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plays_view(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """The raw play table over one directory of star-schema parquet."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if spread:
+        lineitem = lineitem.repartition(spread)
     return spark.sql(PBP_SQL, lineitem=lineitem).withColumnRenamed("desc_text", "desc")
 
 

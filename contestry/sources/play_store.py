@@ -21,14 +21,23 @@ _LOCK = threading.Lock()
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def _fingerprint(spark: SparkSession, path: str) -> str:
-    """Changes whenever a file of the input is added, replaced or resized."""
+def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Changes whenever a file of the input is added, replaced or resized; and its bytes."""
     files = spark.read.format("binaryFile").load(path).select(
-        F.concat_ws("|", "path", "modificationTime", "length").alias("f"))
+        F.concat_ws("|", "path", "modificationTime", "length").alias("f"), "length")
     # the sum of short digests is one number, whatever the number of files
     part = F.conv(F.substring(F.md5("f"), 1, 8), 16, 10).cast("long")
-    row = files.agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return f"{row.s}-{row.n}"
+    row = files.agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).first()
+    return f"{row.s}-{row.n}", int(row.b)
+
+
+def _spread(spark: SparkSession, size: int) -> int | None:
+    """Tasks for an input too small to fill the cluster by itself, else no shuffle at all.
+
+    A small file is one row group and so one task, however wide the expressions are.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return cores if size < cores * 64 * 1024 * 1024 else None
 
 
 def play_store(spark: SparkSession, sf_dir: str) -> str:
@@ -36,11 +45,12 @@ def play_store(spark: SparkSession, sf_dir: str) -> str:
     ensure_checkpoint_dir(spark)
     source = f"{sf_dir}/lineitem.parquet"
     with _LOCK:
-        key = (spark.sparkContext.applicationId, f"{source}#{_fingerprint(spark, source)}")
+        print_, size = _fingerprint(spark, source)
+        key = (spark.sparkContext.applicationId, f"{source}#{print_}")
         if key not in _BUILT:
             tag = f"store-{abs(hash(key)):x}"
             root = f"{spark.sparkContext.getCheckpointDir()}/{tag}"
-            adapter.plays_view(spark, sf_dir).write.mode("overwrite").option(
+            adapter.plays_view(spark, sf_dir, spread=_spread(spark, size)).write.mode("overwrite").option(
                 "compression", "zstd").parquet(f"{root}/plays")
             plays = spark.read.parquet(f"{root}/plays")
             adapter.schedule_view(plays).write.mode("overwrite").option(
