@@ -1,8 +1,8 @@
 """One row per side per contest: the inputs the model weights, and the fold.
 
 Everything the frame needs is one hash aggregate over the plays: a side's own numbers
-and what it conceded to the other side. The opponent's half is the same small table
-with the two sides swapped, so the plays are scanned and shuffled once.
+and what it conceded to the other side. The opponent's half is that small table mirrored
+and grouped again, so the plays are scanned and shuffled once.
 """
 
 from __future__ import annotations
@@ -73,26 +73,29 @@ def _sides(plays: DataFrame, rule: str) -> DataFrame:
 
 def _frame(plays: DataFrame, scores: DataFrame, garbage_filter: str, rule: str) -> DataFrame:
     sides = _sides(garbage(plays, garbage_filter), rule)
-    own = sides.select(
-        *KEYS, *[F.col(c).alias(f"{c}_for") for c in OFFENSE],
-        F.col("yards").alias("yards_for"), "k_own", "y_sd",
-    )
-    other = sides.select(
-        "season", "week", "game_id",
-        F.col("defteam").alias("posteam"), F.col("posteam").alias("defteam"),
-        *[F.col(c).alias(f"{c}_against") for c in OFFENSE],
-        F.col("yards").alias("yards_against"),
-        F.col("conceded").alias("fold_takeaways_for"),
-        F.col("conceded_yards").alias("fold_return_yards_for"),
-        F.col("conceded_any").alias("srtake_takeaways_for"),
-        F.col("conceded_any_lost").alias("srtake_successes_for"),
-    )
+    payload = F.struct(*[c for c in sides.columns if c not in KEYS]).alias("p")
+    none = F.when(F.lit(False), F.col("p"))
+    # every side speaks twice: for itself, and as the opponent of the side across from it
+    spoken = sides.select(*KEYS, payload).select("season", "week", "game_id", F.explode(F.array(
+        F.struct(F.col("posteam").alias("posteam"), F.col("defteam").alias("defteam"),
+                 F.col("p").alias("own"), none.alias("other")),
+        F.struct(F.col("defteam").alias("posteam"), F.col("posteam").alias("defteam"),
+                 none.alias("own"), F.col("p").alias("other")),
+    )).alias("x")).select("season", "week", "game_id", "x.*")
+    both = spoken.groupBy(*KEYS).agg(F.max("own").alias("own"), F.max("other").alias("other")).filter("own is not null")
+    paired = both.select(
+        *KEYS, *[F.col(f"own.{c}").alias(f"{c}_for") for c in OFFENSE], *[F.col(f"other.{c}").alias(f"{c}_against") for c in OFFENSE],
+        F.col("own.yards").alias("yards_for"), F.col("other.yards").alias("yards_against"),
+        F.col("own.k_own").alias("k_own"), F.col("own.y_sd").alias("y_sd"),
+        F.col("other.conceded").alias("fold_takeaways_for"),
+        F.col("other.conceded_yards").alias("fold_return_yards_for"),
+        F.col("other.conceded_any").alias("srtake_takeaways_for"),
+        F.col("other.conceded_any_lost").alias("srtake_successes_for"))
     scored = scores.select("game_id", F.col("home").alias("home_team"), "home_score", "away_score")
     is_home = F.col("posteam") == F.col("home_team")
     counts = ("fold_takeaways_for", "srtake_takeaways_for", "srtake_successes_for")
     return (
-        own.join(other, KEYS, "left")
-        .join(scored, "game_id", "inner")
+        paired.join(scored, "game_id", "inner")
         .withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
         .withColumns({
             "fold_return_yards_for": F.coalesce("fold_return_yards_for", F.lit(0.0)),
