@@ -96,27 +96,26 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the text, in order; words are runs of letters, digits
-    and underscores in lower case. Null and wordless texts give an empty array."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    cp = code_points(text.lower())
+def _hashed_words(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a lower-case text and where the word starts."""
+    cp = code_points(low)
     inside = word_table()[cp]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), starts
     lengths = ends - starts
-    at = np.arange(len(cp)) - np.repeat(starts, np.diff(np.append(starts, len(cp)))) if starts[0] == 0 else None
-    if at is None:
-        first = int(starts[0])
-        cp, inside = cp[first:], inside[first:]
-        starts = starts - first
-        at = np.arange(len(cp)) - np.repeat(starts, np.diff(np.append(starts, len(cp))))
-    powers = _powers(int(lengths.max()) + 1)
-    value = np.where(inside, (cp.astype(np.uint64) + np.uint64(1)) * powers[np.where(inside, at, 0)], np.uint64(0))
-    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    chars = cp[inside].astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(lengths) - lengths  # where each word starts among the word characters
+    at = np.arange(len(chars)) - np.repeat(first, lengths)
+    value = chars * _powers(int(lengths.max()) + 1)[at]
+    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of the text, in order; words are runs of letters, digits
+    and underscores in lower case. Null and wordless texts give an empty array."""
+    return _hashed_words((text or "").lower())[0]
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -130,3 +129,33 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     for j in range(width):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n])
     return np.unique(h)
+
+
+#: Characters of text hashed at once when texts are taken together.
+TOGETHER = 1 << 21
+
+
+def word_hash_lists(texts: list[str | None]) -> list[np.ndarray]:
+    """:func:`word_hashes` of each text, with short texts hashed together."""
+    out: list[np.ndarray] = []
+    held: list[str] = []
+    chars = 0
+
+    def flush() -> None:
+        nonlocal chars
+        joined = "\n".join(held)
+        ends = np.cumsum([len(t) + 1 for t in held])
+        h, starts = _hashed_words(joined)
+        out.extend(np.split(h, np.searchsorted(starts, ends[:-1])))
+        held.clear()
+        chars = 0
+
+    for text in texts:
+        low = (text or "").lower()
+        held.append(low)
+        chars += len(low)
+        if chars > TOGETHER:
+            flush()
+    if held:
+        flush()
+    return out

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.llm.common import mix, shingle_hashes, staged, word_hashes
+from contestry.llm.common import mix, shingle_hashes, staged, word_hash_lists
 from contestry.llm.graph import components
 
 #: Signature values compared before the posterior is looked at again.
@@ -113,7 +113,7 @@ def join_similar(
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_hashes(word_hashes(t), width) for t in batch["t"]]
+            sets = [shingle_hashes(w, width) for w in word_hash_lists(list(batch["t"]))]
             sigs = [signature(s, size).tobytes() if len(s) else b"" for s in sets]
             yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "sig": sigs, "n_sh": [len(s) for s in sets]})
 
@@ -171,7 +171,7 @@ def join_similar(
         at = np.flatnonzero(alive.any(axis=0) | alive.any(axis=1))
         if not len(at):
             return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-        sets = [shingle_hashes(word_hashes(t), width) for t in part["t"].iloc[at]]
+        sets = [shingle_hashes(w, width) for w in word_hash_lists(list(part["t"].iloc[at]))]
         sizes = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(at)), sizes)
         _, column = np.unique(np.concatenate(sets), return_inverse=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import jaccard_join, language
+from contestry.llm import decontaminate, jaccard_join, language
 from contestry.llm.common import held_out, table
 
 
@@ -17,12 +17,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.explained")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
