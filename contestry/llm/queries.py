@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import decontaminate, jaccard_join, language
+from contestry.llm import decontaminate, jaccard_join, language, pii
 from contestry.llm.common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.span_report(docs, pii.fit_trees(docs))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
