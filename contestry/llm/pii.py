@@ -182,7 +182,7 @@ def fit_trees(docs: DataFrame, *, text: str = "text", rounds: int = 24, rate: fl
 
     All candidates of all rows count: four fifths of them, by a digest of place and text, teach
     the trees; the rest calibrate the least score at which the share of strict spans among the
-    selected is ``precision``. If no score reaches it, nothing beyond the strict spans is selected.
+    selected is ``precision``, going no further down than a score of which most are strict. If no score reaches it, nothing beyond the strict spans is selected.
     """
     spans = _with_spans(docs.select(F.col(text).alias("text")), "text")
     marked = F.transform("wide", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], _is_strict(c).alias("strict"), c["start"].alias("at")))
@@ -201,12 +201,20 @@ def fit_trees(docs: DataFrame, *, text: str = "text", rounds: int = 24, rate: fl
             out += (a if r[lf] <= lc else b) if r[f] <= c else (d if r[rf] <= rc else e)
         return out
 
+    levels: dict[float, list[int]] = {}
+    for r in counted:
+        if r["calibrate"]:
+            level = levels.setdefault(round(value(r), 9), [0, 0])
+            level[0] += r["n"]
+            level[1] += r["pos"]
     n = pos = 0
     least = float("inf")
-    for r in sorted((r for r in counted if r["calibrate"]), key=lambda r: -value(r)):
-        n, pos = n + r["n"], pos + r["pos"]
+    for score, (rows_here, pos_here) in sorted(levels.items(), reverse=True):
+        n, pos = n + rows_here, pos + pos_here
+        if (pos_here + 1) / (rows_here + 2) < 0.5:
+            break
         if pos / n >= precision:
-            least = value(r)
+            least = score
     return Trees(base, tuple(trees), least - 1e-9)
 
 

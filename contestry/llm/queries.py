@@ -5,10 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import decontaminate, jaccard_join, language, pii
+from contestry.llm import decontaminate, jaccard_join, language, mixing, pii
 from contestry.llm.common import held_out, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+with recursive sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    -ln((('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '~')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+      / (coalesce(case when length(text) > 0 then length(regexp_replace(text, '[!-@\[-`{-~]', '', 'g'))::double / length(text) end, 0.0) + 0.1) as key
+  from documents),
+ranked as (
+  select source, sum(size)::bigint as source_size,
+    [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w
+  from sized group by source),
+goal as (select sum(source_size) * 1.5::double as words, count(*) as n from ranked),
+-- pour the words out by weight, close what is full, share the rest anew
+poured as (
+  select 0 as step, source, source_size, w, false as closed, 0.0::double as target from ranked
+  union all
+  select step + 1, source, source_size, w, closed or share >= 2.0 * source_size,
+    case when closed then target when share >= 2.0 * source_size then 2.0 * source_size else share end
+  from (
+    select p.*, (g.words - coalesce(sum(case when closed then target end) over (), 0.0)) * w
+        / sum(case when closed then null else w end) over () as share
+    from poured p, goal g where step <= g.n) where step <= 40),
+targets as (select source, source_size, target from poured where step = (select max(step) from poured)),
+placed as (
+  select s.doc_id, s.size, t.source_size, t.target,
+    case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
+    coalesce(sum(s.size) over (partition by s.source order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as before
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, size, source_size, round(target + 3e-10, 6) as target,
+  (epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)))::bigint as taken
+from placed
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = held_out(5, 0)
@@ -31,10 +68,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
+}
