@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, decontaminate, jaccard_join, language, mixing, pii
+from contestry.llm import chat, decontaminate, jaccard_join, language, mixing, pii, toxicity
 from contestry.llm.common import held_out, table
 
 
@@ -54,6 +54,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.explained")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out(4, 2)
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~fold))
+    score = docs.select("doc_id", fold.alias("held_out"), toxicity.scored(model, F.col("text")).alias("score"))
+    return score.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,6 +100,7 @@ from told group by conv_id
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
