@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.llm.common import _powers, code_points, hashed_unit, mix, word_table
+from contestry.llm.common import _powers, code_points, hashed_unit, mix, staged, word_table
 
 #: Stem lengths that may stand for a family of inflected words.
 STEMS = (4, 5, 6, 7, 8)
@@ -158,21 +158,33 @@ def _features(model: ToxicityModel, text: str | None) -> tuple[float, float]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, label: str, sample: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """About ``sample`` labelled documents of each label, and how many rows each label has."""
+    """About ``sample`` toxic documents and four times as many clean ones, each text once, and how
+    many rows each label has."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, sample / max(1, n.get(1, 0))).otherwise(sample / max(1, n.get(0, 0)))
+    share = F.when(F.col("y") == 1, sample / max(1, n.get(1, 0))).otherwise(4 * sample / max(1, n.get(0, 0)))
     chosen = rows.filter(hashed_unit(F.col(id_col), seed=seed) < share).select(F.col(id_col).alias("chosen"), "y")
-    # about twice the sample of two narrow columns, whatever the tables' sizes
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select("y", F.coalesce("text", F.lit("")).alias("t")), n
+    # about five times the sample of two narrow columns, whatever the tables' sizes
+    sampled = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).select("y", F.coalesce("text", F.lit("")).alias("t"))
+    return staged(sampled.dropDuplicates(["y", "t"])), n
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, least_z: float = 2.8, seed: int = 5) -> ToxicityModel:
+def _evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The log-likelihood ratio that ``a`` of n1 and ``b`` of n0 texts have different shares."""
+    both = (a + b) / (n1 + n0)
+    part = lambda k, n: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / n / np.maximum(both, 1e-12)), 0.0)
+    rest = lambda k, n: np.where(k < n, (n - k) * np.log(np.maximum(n - k, 1e-9) / n / np.maximum(1 - both, 1e-12)), 0.0)
+    return 2 * (part(a, n1) + part(b, n0) + rest(a, n1) + rest(b, n0))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, least_z: float = 2.5, least_evidence: float = 10.8, seed: int = 5) -> ToxicityModel:
     """Learn insult words and stems, then the weights of clause scores, from at most about
-    ``sample`` rows of each label, chosen by a digest of the id.
+    ``sample`` toxic rows and four times as many clean ones, chosen by a digest of the id.
 
     A unit is an insult if its share of toxic texts exceeds its share of clean ones by
-    ``least_z`` standard errors of the log odds and by a factor of five at least. Repeated labels of an
+    ``least_z`` standard errors of the log odds and by a factor of five at least, and if the
+    evidence for it (a log-likelihood ratio) reaches ``least_evidence`` on those toxic texts
+    alone that no stronger insult explains. Repeated labels of an
     id count once (toxic if any is); null labels and ids teach nothing. With one label only, or
     none, nothing is learned and every text gets that label's share, or one half.
     """
@@ -213,9 +225,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     a = np.array([toxic[k] for k in names], dtype=float)
     b = np.array([clean.get(k, 0) for k in names], dtype=float)
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    keep = (odds >= least_z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) & (odds >= np.log(5))
-    raw = ToxicityModel(keys[keep], odds[keep], (prior, 0.0, 0.0))
-    if not keep.any():
+    marked = (odds >= least_z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) & (odds >= np.log(5))
+    keys, odds, b = keys[marked], odds[marked], b[marked]
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"u": [np.searchsorted(keys, np.intersect1d(units(t), keys)).astype(np.int32) for t in batch["t"]]})
+
+    # which marked units each sampled toxic text holds: the sample bounds it
+    texts = [np.asarray(r["u"], dtype=int) for r in rows.filter("y = 1").select("t").mapInPandas(held, "u array<int>").collect()] if len(keys) else []
+    holds = np.zeros((len(texts), len(keys)), dtype=bool)
+    for i, u in enumerate(texts):
+        holds[i, u] = True
+    chosen = np.zeros(len(keys), dtype=bool)
+    for _ in range(len(keys)):
+        # a unit must explain toxic texts that no chosen unit explains; words that merely stand
+        # beside insults, as in groups of near copies, run out of texts
+        fresh = holds[~holds[:, chosen].any(axis=1)].sum(axis=0)
+        g = np.where(chosen | (fresh < 3), -np.inf, _evidence(fresh, b, n1, n0))
+        best = int(np.argmax(g))
+        pure = share * (fresh[best] + 0.5) / (n1 + 1) / max(1e-12, share * (fresh[best] + 0.5) / (n1 + 1) + (1 - share) * (b[best] + 0.5) / (n0 + 1))
+        if g[best] < least_evidence:
+            break
+        if pure < 0.5:
+            holds[:, best] = False  # never an insult: most texts that hold it are clean
+            continue
+        chosen[best] = True
+    raw = ToxicityModel(keys[chosen], odds[chosen], (prior, 0.0, 0.0))
+    if not chosen.any():
         return raw
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +260,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             f = [_features(raw, t) for t in batch["t"]]
             yield pd.DataFrame({"y": batch["y"], "f1": [x for x, _ in f], "f2": [x for _, x in f]})
 
-    seen = rows.mapInPandas(measured, "y int, f1 double, f2 double").collect()  # about twice the sample, three numbers each
+    seen = rows.mapInPandas(measured, "y int, f1 double, f2 double").collect()  # about five times the sample, three numbers each
     x = np.array([[1.0, r["f1"], r["f2"]] for r in seen])
     y = np.array([r["y"] for r in seen], dtype=float)
     # each label weighs what it weighs in the table, not in the sample
