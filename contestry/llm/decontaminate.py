@@ -39,6 +39,18 @@ class ItemIndex:
     postings: tuple[tuple[np.ndarray, np.ndarray], ...]  # per word: item positions, impacts
     blocks: tuple[tuple[np.ndarray, np.ndarray], ...]  # per word: last position and largest impact of each block
     window: int
+    lean: "Lean"
+
+
+@dataclass(frozen=True)
+class Lean:
+    """Postings of the telling words alone: what all other words can add to an item is known
+    and small, so passages are first judged by these short lists."""
+
+    offsets: np.ndarray  # per word of the vocabulary, where its postings begin; one more at the end
+    positions: np.ndarray
+    impacts: np.ndarray
+    others: np.ndarray  # per item, what the words without lean postings can add at most
 
 
 def build_index(items: list[tuple[int, str | None]], width: int = 5, answer_share: float = 1 / 3) -> ItemIndex:
@@ -48,7 +60,7 @@ def build_index(items: list[tuple[int, str | None]], width: int = 5, answer_shar
     words = [(i, w) for (i, _), w in zip(items, word_hash_lists([t for _, t in items]), strict=True) if len(w)]
     if not words:
         empty = np.zeros(0, dtype=np.uint64)
-        return ItemIndex((), empty, np.zeros(0), (), (), 1)
+        return ItemIndex((), empty, np.zeros(0), (), (), 2, Lean(np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros(0)))
     mean = sum(len(w) for _, w in words) / len(words)
     counted = [np.unique(w, return_counts=True) for _, w in words]
     vocabulary, df = np.unique(np.concatenate([u for u, _ in counted]), return_counts=True)
@@ -69,7 +81,22 @@ def build_index(items: list[tuple[int, str | None]], width: int = 5, answer_shar
         for p, v in postings
     )
     longest = max(len(w) for _, w in words)
-    return ItemIndex(tuple(made), vocabulary, np.array([v.max() for _, v in postings]), postings, blocks, 2 * longest)
+    return ItemIndex(tuple(made), vocabulary, np.array([v.max() for _, v in postings]), postings, blocks, 2 * longest, _lean(postings, len(made)))
+
+
+def _lean(postings: tuple[tuple[np.ndarray, np.ndarray], ...], items: int, spare: float = 0.3) -> Lean:
+    """Leave out the words of most items first, as long as no item loses over ``spare`` of itself."""
+    others = np.zeros(items)
+    telling = np.ones(len(postings), dtype=bool)
+    for t in sorted(range(len(postings)), key=lambda t: -len(postings[t][0])):
+        pos, impact = postings[t]
+        if (others[pos] + impact <= spare).all():
+            others[pos] += impact
+            telling[t] = False
+    counts = np.array([len(p) if k else 0 for (p, _), k in zip(postings, telling, strict=True)])
+    chosen = [postings[t] for t in np.flatnonzero(telling)]
+    flat = [np.concatenate([x[k] for x in chosen] or [np.zeros(0)]) for k in (0, 1)]
+    return Lean(np.concatenate(([0], np.cumsum(counts))), flat[0].astype(np.int64), flat[1], others)
 
 
 class _Cursor:
@@ -131,33 +158,68 @@ def search(index: ItemIndex, terms: np.ndarray, threshold: float) -> list[tuple[
                     c.seek(target)
 
 
-def leaks_of(index: ItemIndex, words: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-    """``(item_id, score, question, answer)`` for each item that the text leaks. Passages of
-    ``window`` words begin at every half window, so every item lies whole in one of them."""
-    if not len(words) or not len(index.vocabulary):
-        return []
+def leaks_of(index: ItemIndex, texts: list[np.ndarray], threshold: float, overlap: float) -> list[list[tuple[int, float, float, float]]]:
+    """``(item_id, score, question, answer)`` for each item that a text leaks, for each text.
+
+    Passages of ``window`` words begin at every half window, so every item lies whole in one of
+    them. Telling words alone, repeats included, bound what a passage can score on an item; the
+    passages that may reach the threshold query the index.
+    """
+    out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+    sizes = np.array([len(w) for w in texts])
+    if not len(index.vocabulary) or not sizes.sum():
+        return out
+    words = np.concatenate(texts)
+    half = index.window // 2
+    blocks_of = -(-sizes // half)
+    first_block = np.cumsum(blocks_of + 1) - (blocks_of + 1)  # a gap after each text: no passage spans two
+    first_word = np.cumsum(sizes) - sizes
+    block = np.repeat(first_block, sizes) + (np.arange(len(words)) - np.repeat(first_word, sizes)) // half
     at = np.searchsorted(index.vocabulary, words)
     at[at == len(index.vocabulary)] = 0
     known = index.vocabulary[at] == words
-    # the sum of all bounds in a passage, repeats included, is never below what WAND may find
-    total = np.concatenate(([0.0], np.cumsum(np.where(known, index.bounds[at], 0.0))))
-    starts = np.arange(0, len(words), index.window // 2)
-    ends = np.minimum(starts + index.window, len(words))
-    best: dict[int, tuple[int, float, float, float]] = {}
-    shingles: dict[int, np.ndarray] = {}
-    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-        if total[hi] - total[lo] < threshold - 1e-9:
-            continue
+    lean, n = index.lean, len(index.items)
+    told = np.flatnonzero(known)
+    told = told[lean.offsets[at[told] + 1] > lean.offsets[at[told]]]
+    begin = lean.offsets[at[told]]
+    count = lean.offsets[at[told] + 1] - begin
+    place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    key, back = np.unique(np.repeat(block[told], count) * n + lean.positions[place], return_inverse=True)
+    mass = np.bincount(back, weights=lean.impacts[place], minlength=len(key))
+    after = np.minimum(np.searchsorted(key, key + n), max(0, len(key) - 1))
+    with_next = mass + np.where(key[after] == key + n, mass[after], 0.0) if len(key) else mass
+    hopeful = np.unique(key[with_next + lean.others[key % n] >= threshold - 1e-9] // n)
+    for b in hopeful.tolist():
+        doc = int(np.searchsorted(first_block, b, side="right")) - 1
+        lo = int(first_word[doc]) + (b - int(first_block[doc])) * half
+        hi = min(lo + index.window, int(first_word[doc] + sizes[doc]))
         passage = words[lo:hi]
         for pos, score in search(index, np.unique(at[lo:hi][known[lo:hi]]), threshold):
             item = index.items[pos]
-            if item.width not in shingles:
-                shingles[item.width] = shingle_hashes(words, item.width)
-            question = float(np.isin(item.question, shingles[item.width]).mean())
+            question = float(np.isin(item.question, shingle_hashes(texts[doc], item.width)).mean())
             answer = float(np.isin(item.answer, passage).mean())
-            if question >= overlap - 1e-9 and answer >= overlap - 1e-9 and score > best.get(pos, (0, 0.0))[1]:
-                best[pos] = (item.item_id, score, question, answer)
-    return sorted(best.values())
+            if question >= overlap - 1e-9 and answer >= overlap - 1e-9:
+                out[doc].append((item.item_id, score, question, answer))
+    best = []
+    for hits in out:
+        per_item: dict[int, tuple[int, float, float, float]] = {}
+        for h in sorted(hits):  # the last is the best passage's
+            per_item[h[0]] = h
+        best.append(list(per_item.values()))
+    return best
+
+
+def _in_parts(index: ItemIndex, texts: list[np.ndarray], threshold: float, overlap: float, words: int = 1 << 20) -> Iterator[list[tuple]]:
+    """:func:`leaks_of` over stretches of texts of about ``words`` words together."""
+    held: list[np.ndarray] = []
+    size = 0
+    for w in texts:
+        held.append(w)
+        size += len(w)
+        if size > words:
+            yield from leaks_of(index, held, threshold, overlap)
+            held, size = [], 0
+    yield from leaks_of(index, held, threshold, overlap)
 
 
 def item_shards(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -170,22 +232,21 @@ def item_shards(benchmark: DataFrame, id_col: str = "item_id", text: str = "text
         yield [(r["i"], r["t"]) for r in named.filter(F.pmod(F.xxhash64("i"), F.lit(shards)) == k).orderBy("i", "t").collect()]
 
 
-def leaks(docs_text: Column, benchmark: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, width: int = 5) -> Column:
+def leaks(docs_text: Column, benchmark: DataFrame, *, threshold: float = 0.6, overlap: float = 0.8, width: int = 5) -> Column:
     """An array of ``(item_id, score, question, answer)`` for a text column.
 
     An item is leaked if some passage scores at least ``threshold`` of the item's score against
     itself, the text holds at least ``overlap`` of the question's distinct ``width``-word
     shingles, and the passage at least ``overlap`` of the answer's distinct words. Null and
-    empty texts leak nothing; an empty benchmark leaks nothing; repeated items report once for
-    each id and row of the benchmark.
+    empty texts leak nothing; an empty benchmark leaks nothing; rows that repeat an id report as one.
     """
     kind = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
     def searcher(index: ItemIndex):
         @F.pandas_udf(kind)
         def searched(texts: pd.Series) -> pd.Series:
             return pd.Series([
-                [{"item_id": i, "score": s, "question": q, "answer": a} for i, s, q, a in leaks_of(index, w, threshold, overlap)]
-                for w in word_hash_lists(list(texts))
+                [{"item_id": i, "score": s, "question": q, "answer": a} for i, s, q, a in found]
+                for found in _in_parts(index, word_hash_lists(list(texts)), threshold, overlap)
             ])
 
         return searched
