@@ -162,7 +162,7 @@ def leaks_of(index: ItemIndex, texts: list[np.ndarray], threshold: float, overla
     """``(item_id, score, question, answer)`` for each item that a text leaks, for each text.
 
     Passages of ``window`` words begin at every half window, so every item lies whole in one of
-    them. Telling words alone, repeats included, bound what a passage can score on an item; the
+    them. Telling words alone bound what a passage can score on an item; the
     passages that may reach the threshold query the index.
     """
     out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
@@ -181,10 +181,13 @@ def leaks_of(index: ItemIndex, texts: list[np.ndarray], threshold: float, overla
     lean, n = index.lean, len(index.items)
     told = np.flatnonzero(known)
     told = told[lean.offsets[at[told] + 1] > lean.offsets[at[told]]]
-    begin = lean.offsets[at[told]]
-    count = lean.offsets[at[told] + 1] - begin
+    # a word counts once in a half window, as it does in a query
+    once = np.unique(block[told] * len(index.vocabulary) + at[told])
+    told, term = once // len(index.vocabulary), once % len(index.vocabulary)
+    begin = lean.offsets[term]
+    count = lean.offsets[term + 1] - begin
     place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    key, back = np.unique(np.repeat(block[told], count) * n + lean.positions[place], return_inverse=True)
+    key, back = np.unique(np.repeat(told, count) * n + lean.positions[place], return_inverse=True)
     mass = np.bincount(back, weights=lean.impacts[place], minlength=len(key))
     after = np.minimum(np.searchsorted(key, key + n), max(0, len(key) - 1))
     with_next = mass + np.where(key[after] == key + n, mass[after], 0.0) if len(key) else mass
