@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, decontaminate, jaccard_join, language, mixing, pii, toxicity
+from contestry.llm import chat, decontaminate, jaccard_join, language, mixing, pii, pivot_index, toxicity
 from contestry.llm.common import held_out, table
 
 
@@ -54,6 +54,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.explained")
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = held_out(4, 2)
@@ -100,6 +104,7 @@ from told group by conv_id
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op4_pivot_index": op4_pivot_index,
     "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
