@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, decontaminate, jaccard_join, language, mixing, pii, pivot_index, toxicity
+from contestry.llm import chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, toxicity
 from contestry.llm.common import held_out, table
 
 
@@ -66,6 +66,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_pivot_index": op4_pivot_index,
     "op5_toxicity": op5_toxicity,
+    "op6_mincut": op6_mincut,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
