@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, toxicity
+from contestry.llm import backoff, chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, toxicity
 from contestry.llm.common import held_out, table
 
 
@@ -54,6 +54,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.explained")
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_texts(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+with words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place
+  from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents)),
+pairs as (
+  select a.doc_id, a.place, a.word, lag(a.word) over (partition by a.doc_id order by a.place) as prior from words a),
+own1 as (select doc_id, word, count(*) as n from words group by all),
+all1 as (select word, sum(n) as n from own1 group by all),
+own2 as (select doc_id, prior, word, count(*) as n from pairs where prior is not null group by all),
+all2 as (select prior, word, sum(n) as n from own2 group by all),
+size as (select doc_id, count(*) as n from words group by all),
+scored as (
+  select p.doc_id, coalesce(b.n - ob.n, 0) as paired, u.n - ou.n as alone, c.n - oc.n as context, (select sum(n) from size) - s.n as elsewhere
+  from pairs p join all1 u on u.word = p.word join own1 ou on ou.doc_id = p.doc_id and ou.word = p.word join size s on s.doc_id = p.doc_id
+    left join all2 b on b.prior = p.prior and b.word = p.word left join own2 ob on ob.doc_id = p.doc_id and ob.prior = p.prior and ob.word = p.word
+    left join all1 c on c.word = p.prior left join own1 oc on oc.doc_id = p.doc_id and oc.word = p.prior),
+summed as (
+  select doc_id, count(*) as n_words, count(*) filter (paired <= 0) as n_backoff,
+    sum(case when paired > 0 then ln(paired / context) else ln(0.4) + ln(greatest(alone, 0.5) / greatest(elsewhere, 1)) end) as log_score
+  from scored group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_backoff, 0)::bigint as n_backoff, round(coalesce(log_score, 0.0) + 3e-10, 6) as log_score,
+  round(log_score / n_words + 3e-10, 6) as mean_log_score
+from documents d left join summed s using (doc_id)
+"""
+
+
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -108,6 +138,7 @@ from told group by conv_id
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op3_backoff_lm": op3_backoff_lm,
     "op4_pivot_index": op4_pivot_index,
     "op5_toxicity": op5_toxicity,
     "op6_mincut": op6_mincut,
@@ -119,5 +150,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op3_backoff_lm": OP3_SQL,
     "op10_chat": OP10_SQL,
 }
