@@ -53,12 +53,12 @@ def reply_paths(messages: DataFrame) -> DataFrame:
         further = jump.select(F.col("id").alias("up"), F.col("up").alias("next"))
         jump = staged(jump.join(further, "up").select("id", F.col("next").alias("up")))
     leaves = messages.select("id").join(jumps[0].select(F.col("up").alias("id")), "id", "left_anti") if jumps else messages.select("id")
-    paths = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).alias("height"))
+    paths = staged(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).alias("height")))
     for k in reversed(range(len(jumps))):
         above = paths.join(jumps[k], "id").select("leaf", F.col("up").alias("id"), (F.col("height") + (1 << k)).alias("height"))
-        paths = paths.union(above)
+        paths = staged(paths.union(above))  # read twice in the next round: a plan that doubles each time if kept lazy
     top = paths.groupBy("leaf").agg(F.max("height").alias("top"))
-    return paths.join(top, "leaf").select("leaf", "id", (F.col("top") - F.col("height")).alias("depth"))
+    return staged(paths.join(top, "leaf").select("leaf", "id", (F.col("top") - F.col("height")).alias("depth")))
 
 
 def best_branches(paths: DataFrame, messages: DataFrame, branches: int = 1) -> DataFrame:
