@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
@@ -85,6 +85,12 @@ def in_sets(sets, value: str) -> Column:
     return out
 
 
+def guarded(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """The frame, whose rows raise where ``bad`` holds. The check is a filter: selecting few
+    columns later cannot prune it, as it can a check that hangs on one column."""
+    return df.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
 def normal_cdf(x: Column) -> Column:
     """Normal distribution function through a rational error function (|err| < 1.5e-7)."""
     z = F.abs(x) / F.lit(2.0**0.5)
@@ -112,8 +118,8 @@ def digest(*parts) -> Column:
 
 
 def uniform(hex_col: Column) -> Column:
-    """The first 8 hex digits as a number in [0, 1)."""
-    return F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """The first 13 hex digits, 52 bits, as a number in [0, 1): exact in a double."""
+    return F.conv(F.substring(hex_col, 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def pick(hex_col: Column, size: Column) -> Column:

@@ -16,8 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from contestry import constants as C
+from contestry.functions.columns import guarded
 from contestry.operators import posterior as B
 from contestry.operators.features import KEYS, team_games_of_record
 
@@ -66,24 +68,27 @@ def _one_contest(row: Any, spec: dict, grid) -> tuple:
 def draw_summaries(
     games: DataFrame, n_draws: int = C.DRAWS_OF_RECORD, seed: int = C.SEED_OF_RECORD,
     sigma: float = C.SIGMA_OF_RECORD, weights: dict | None = None, sides: bool = False,
-    league: tuple[float, float] = (0.0, 0.0), partitions: int | None = None,
+    league: tuple[float, float] = (0.0, 0.0), partitions: int | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
-    """One summary row per contest. ``games`` has both sides' posteriors side by side."""
+    """One summary row per contest. ``games`` has both sides' posteriors side by side; ``keep``
+    names columns of it that stay beside the summary."""
     w = weights or C.WEIGHTS_OF_RECORD
     spec = {"n_draws": n_draws, "seed": seed, "sigma": sigma, "sides": sides,
             "mean": np.array(w["mean"]), "cov": np.array(w["cov"]),
             "rate_bar": league[0], "ypp_bar": league[1]}
     columns = [c.split()[0] for c in _SUMMARY.split(", ")]
+    kept = [c for c in keep or [] if c not in columns]
+    schema = StructType([*[games.schema[c] for c in kept], *_parse_datatype_string(_SUMMARY).fields])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = _cdf_grid()
         for batch in batches:
             rows = [_one_contest(r, spec, grid) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
 
     # Rows are few bytes and many milliseconds each, so size the tasks by count, not bytes.
     width = partitions or 4 * games.sparkSession.sparkContext.defaultParallelism
-    return games.repartition(width, "game_id").mapInPandas(scored, _SUMMARY)
+    return games.repartition(width, "game_id").mapInPandas(scored, schema)
 
 
 def sides_side_by_side(frame: DataFrame, scores: DataFrame) -> DataFrame:
@@ -93,11 +98,9 @@ def sides_side_by_side(frame: DataFrame, scores: DataFrame) -> DataFrame:
     home = post.select(*[F.col(c).alias(c if c == "game_id" else f"{c}_h") for c in cols])
     away = post.select(*[F.col(c).alias(c if c == "game_id" else f"{c}_a") for c in cols])
     games = scores.select("game_id", F.col("home").alias("posteam_h"), F.col("away").alias("posteam_a"))
-    missing = F.raise_error(F.concat(F.lit("no production for a side of "), F.col("game_id")))
-    joined = (
-        games.join(home, ["game_id", "posteam_h"], "left").join(away, ["game_id", "posteam_a"], "left"))
-    ok = F.col("n_h").isNotNull() & F.col("n_a").isNotNull()
-    return joined.withColumn("n_h", F.when(ok, F.col("n_h")).otherwise(missing))
+    joined = games.join(home, ["game_id", "posteam_h"], "left").join(away, ["game_id", "posteam_a"], "left")
+    missing = F.col("n_h").isNull() | F.col("n_a").isNull()
+    return guarded(joined, missing, F.concat(F.lit("no production for a side of "), F.col("game_id")))
 
 
 def build_frames(plays: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +116,7 @@ def plug_in_table(frame: DataFrame, scores: DataFrame, weights: dict | None = No
     small shuffle after the frame.
     """
     mean = (weights or C.WEIGHTS_OF_RECORD)["mean"]
-    post = frame.select(
+    post = B.seams_checked(frame).select(
         "game_id", "home", B.deserved_points(mean).alias("deserved"),
         F.col("plays_for").cast("double").alias("plays"), F.col("yards_for").alias("yards"),
         F.col("own_ypp_for").alias("ypp"), F.col("own_success_rate_for").alias("success_rate"),
@@ -137,22 +140,26 @@ def score_games(
     table = plug_in_table(frame, scores, weights)
     if game_ids is not None:
         table = _asked(table, game_ids)
-    post = table.select("game_id", *[
-        F.col(f"{side}_{s}").alias(f"{s}_{side[0]}") for side in ("home", "away") for s in _STATS])
-    shares = draw_summaries(post, n_draws, seed, sigma, weights).select("game_id", "p_home")
-    return table.join(shares, "game_id").select(*C.SCORE_COLUMNS)
+    # the whole table goes through the draws: no second reading of the plays, no join back
+    post = table.withColumns({f"{s}_{side[0]}": F.col(f"{side}_{s}") for side in ("home", "away") for s in _STATS})
+    scored = draw_summaries(post, n_draws, seed, sigma, weights, keep=table.columns)
+    out = scored.select(*C.SCORE_COLUMNS, *([_PLACE] if game_ids is not None else []))
+    return out.orderBy(_PLACE).drop(_PLACE) if game_ids is not None else out
+
+
+_PLACE = "_place"
 
 
 def _asked(table: DataFrame, game_ids: DataFrame | list[str]) -> DataFrame:
+    """The table's rows of the asked ids, each once, with the place of its first mention. A
+    frame of ids has no order of its own and goes by id."""
     spark = table.sparkSession
-    asked = (
-        game_ids if isinstance(game_ids, DataFrame)
-        else spark.createDataFrame([(g,) for g in game_ids], "game_id string")).distinct()
-    unknown = F.raise_error(F.concat(F.lit("no scored rows for contest "), F.col("game_id")))
+    if isinstance(game_ids, DataFrame):
+        asked = game_ids.select("game_id").distinct().withColumn(_PLACE, F.col("game_id"))
+    else:
+        asked = ordered_ids(spark.createDataFrame([(list(game_ids),)], "ids array<string>")).withColumnRenamed("pos", _PLACE)
     joined = asked.join(table, "game_id", "left")
-    return joined.withColumn(
-        "home_n", F.when(F.col("home_n").isNull() | F.col("away_n").isNull(), unknown)
-        .otherwise(F.col("home_n")))
+    return guarded(joined, F.col("home_n").isNull() | F.col("away_n").isNull(), F.concat(F.lit("no scored rows for contest "), F.col("game_id")))
 
 
 def ordered_ids(asked: DataFrame, column: str = "ids") -> DataFrame:

@@ -120,7 +120,8 @@ def fold_by_hash(rows: DataFrame, unit: list[str], folds: int, seed: int = 0, na
     key = F.concat_ws("|", *[F.col(u).cast("string") for u in unit])
     units = rows.select(*unit).distinct().withColumns({
         "_key": key, "_hex": digest(seed, key), "_all": F.lit(0)})
-    ranked = hash_rank(units, ["_all"], "_hex", "_key", "_rank")
+    total = rows.select(*unit).distinct().agg(F.count(F.lit(1))).scalar()
+    ranked = hash_rank(units, ["_all"], "_hex", "_key", total, "_rank")
     table = ranked.withColumn(name, (F.col("_rank") % folds).cast("int")).select(*unit, name)
     return rows.join(table, unit)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import count_where, flag, ratio, sum_where
+from contestry.functions.columns import count_where, flag, guarded, ratio, sum_where
 from contestry.functions.plays import (
     credited_yards, garbage, meter_explosive, scored_on_return, took_ball,
 )
@@ -116,15 +116,11 @@ def team_games(plays, scores, garbage_filter="all") -> DataFrame:
     return _frame(plays, scores, garbage_filter, "take").select(*_BASE)
 
 
-def _positive(value: str) -> Column:
-    message = F.concat(F.lit("non-positive yards, the log ratio is undefined: "),
-                       F.col("game_id"), F.lit(" "), F.col("posteam"))
-    return F.when(F.col(value) <= 0, F.raise_error(message)).otherwise(F.col(value))
-
-
 def _with_yards(frame: DataFrame) -> DataFrame:
+    message = F.concat(F.lit("non-positive yards, the log ratio is undefined: "), F.col("game_id"), F.lit(" "), F.col("posteam"))
+    frame = guarded(frame, (F.col("yards_for") <= 0) | (F.col("yards_against") <= 0), message)
     return frame.withColumns({
-        "yards_logratio_for": F.ln(_positive("yards_for") / _positive("yards_against")),
+        "yards_logratio_for": F.ln(F.col("yards_for") / F.col("yards_against")),
         "yards_ypp_diff_for": ratio("yards_for", "plays_for") - ratio("yards_against", "plays_against"),
         "yards_logratio_against": F.lit(0.0),
         "yards_ypp_diff_against": F.lit(0.0),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contestry.functions.columns import guarded
+
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join whose two sides must be unique on the keys; a duplicate raises in the plan.
@@ -17,9 +19,8 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     def unique(df: DataFrame, side: str) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
         grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in rest])
-        bad = F.raise_error(F.concat(F.lit(f"{side} side repeats "), F.concat_ws(" ", *keys)))
-        first = rest[0] if rest else keys[0]
-        return grouped.withColumn(first, F.when(F.col("_n") > 1, bad).otherwise(F.col(first))).drop("_n")
+        message = F.concat(F.lit(f"{side} side repeats "), F.concat_ws(" ", *keys))
+        return guarded(grouped, F.col("_n") > 1, message).drop("_n")
 
     return unique(left, "left").join(unique(right, "right"), keys, how)
 

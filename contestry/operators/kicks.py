@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contestry.functions.columns import keyed
+from contestry.functions.columns import guarded, keyed
 from contestry.functions.plays import extra_point_attempt, field_goal_attempt, sanitize_weather
 
 DISTANCE_CENTRE = 35.0
@@ -61,9 +61,8 @@ def kick_design(kicks: DataFrame, elevation: bool = False) -> DataFrame:
 
 def with_elevation(kicks: DataFrame, table: DataFrame) -> DataFrame:
     """Stadium lookup; a stadium without an elevation is an error, never sea level."""
-    unknown = F.raise_error(F.concat(F.lit("no elevation for stadium "), F.col("stadium_id")))
     joined = kicks.join(table, "stadium_id", "left")
-    return joined.withColumn("elev_kft", F.coalesce(F.col("elev_kft"), unknown))
+    return guarded(joined, F.col("elev_kft").isNull(), F.concat(F.lit("no elevation for stadium "), F.coalesce("stadium_id", F.lit("(none)"))))
 
 
 def standardised_design(rows: DataFrame, reference: DataFrame, numeric, squares=(), dummies=()) -> DataFrame:

@@ -199,10 +199,11 @@ def placement_null(plays: DataFrame, reps: int, rung: str = "raw", seed: int = 0
         F.count_if(F.col("cell") == "late_down").alias("n_ld"), F.avg("v").alias("mean"))
     strata = rows.groupBy(*stratum).agg(
         F.count_if(F.col("cell") == "red_zone").alias("s_rz"), F.avg("v").alias("s_mean")) if by_down else None
-    laid = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    # the unit's numbers join before the replicates multiply its plays
+    laid = rows.join(sizes, UNIT).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     event = F.concat_ws("|", "game_id", F.col("play_id").cast("long").cast("string"), F.col("mix").cast("string"))
     laid = laid.withColumns({"_event": event, "_hex": digest(seed, F.col("rep"), event)})
-    ranked = hash_rank(laid, ["rep", *stratum], "_hex", "_event", "r").join(sizes, UNIT)
+    ranked = hash_rank(laid, ["rep", *stratum], "_hex", "_event", F.col("n"), "r")
     k = F.col("n_rz") + F.col("n_ld")
     if rung == "raw":
         part = F.when(F.col("r") < k, F.col("v") - F.col("mean")).otherwise(0.0)

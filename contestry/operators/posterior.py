@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import ratio
+from contestry.functions.columns import guarded, ratio
 from contestry.operators.features import KEYS
+from contestry.operators.ranking import quantile_row
 
 INPUTS = ("own_success_rate_for", "own_ypp_for")
 
@@ -80,11 +81,10 @@ def game_pairs(frame: DataFrame, values=(*INPUTS, "points_for")) -> DataFrame:
         *[F.max(F.when(~home, F.col(v))).alias(f"{v}_a") for v in values],
         F.count_if(home).alias("_h"), F.count_if(~home).alias("_a"),
     )
-    one = (F.col("_h") <= 1) & (F.col("_a") <= 1)
-    dup = F.raise_error(F.concat(F.lit("more than one row per side in "), F.col("game_id")))
+    both = guarded(both, (F.col("_h") > 1) | (F.col("_a") > 1), F.concat(F.lit("more than one row per side in "), F.col("game_id")))
     return (
         both.filter((F.col("_h") > 0) & (F.col("_a") > 0))
-        .withColumn("result", F.when(one, F.col("points_for_h") - F.col("points_for_a")).otherwise(dup))
+        .withColumn("result", F.col("points_for_h") - F.col("points_for_a"))
         .drop("_h", "_a")
     )
 
@@ -132,24 +132,23 @@ def folded_production(frame: DataFrame) -> DataFrame:
     The frame already carries every count, so no second pass over the plays is needed;
     a broken seam raises while the row is produced.
     """
-    gap = F.abs(ratio("own_k_for", "own_n_for") - F.col("own_success_rate_for"))
-    own_plays = F.col("own_n_for") - F.col("srtake_takeaways_for")
-
-    def seam(bad: Column, message: str, value: Column) -> Column:
-        where = F.concat(F.lit(message + ": "), F.col("game_id"), F.lit(" "), F.col("posteam"))
-        return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(where)).otherwise(value)
-
-    return frame.select(
-        *KEYS,
-        seam(F.col("own_k_for").isNull() | F.col("own_n_for").isNull(), "no folded counts",
-             F.col("own_k_for").cast("long")).alias("k"),
-        seam(gap > C.SEAM_LINE, "k / n misses the frame's rate", F.col("own_n_for").cast("long")).alias("n"),
+    return seams_checked(frame).select(
+        *KEYS, F.col("own_k_for").cast("long").alias("k"), F.col("own_n_for").cast("long").alias("n"),
         F.col("own_ypp_for").alias("y_mean"), "y_sd",
-        seam(own_plays != F.col("plays_for"), "folded count less takeaways is not the play count",
-             own_plays.cast("long")).alias("n_y"),
+        (F.col("own_n_for") - F.col("srtake_takeaways_for")).cast("long").alias("n_y"),
     )
 
 
+def seams_checked(frame: DataFrame) -> DataFrame:
+    """The frame, a row of which raises where its folded counts do not fit together."""
+    gap = F.abs(ratio("own_k_for", "own_n_for") - F.col("own_success_rate_for"))
+    none = F.col("own_k_for").isNull() | F.col("own_n_for").isNull()
+    plays = F.col("own_n_for") - F.col("srtake_takeaways_for") != F.col("plays_for")
+    what = F.when(none, "no folded counts").when(gap > C.SEAM_LINE, "k / n misses the frame's rate").otherwise("folded count less takeaways is not the play count")
+    return guarded(frame, none | F.coalesce(gap > C.SEAM_LINE, F.lit(False)) | F.coalesce(plays, F.lit(False)),
+                   F.concat(what, F.lit(": "), F.col("game_id"), F.lit(" "), F.col("posteam")))
+
+
 def gate_games(scores: DataFrame, frame: DataFrame, seasons=C.GATE_SEASONS) -> DataFrame:
     both = frame.groupBy("game_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows = 2")
     return (
@@ -162,10 +161,9 @@ def gate_games(scores: DataFrame, frame: DataFrame, seasons=C.GATE_SEASONS) -> D
 def pooled_scale(variances: DataFrame, margin_sd: float, column: str = "margin_var") -> DataFrame:
     """sqrt(sd^2 - median variance), never floored; refuses a median at or above sd^2."""
     total = F.lit(float(margin_sd) ** 2)
-    med = F.percentile(column, 0.5)
-    refuse = F.raise_error(F.lit("the median production variance is not below the squared residual SD"))
-    return variances.agg(
-        F.when(med >= total, refuse).otherwise(F.sqrt(total - med)).cast("double").alias("sigma"))
+    med = quantile_row(variances, {"med": (column, 0.5)})
+    med = guarded(med, F.col("med") >= total, F.lit("the median production variance is not below the squared residual SD"))
+    return med.select(F.sqrt(total - F.col("med")).cast("double").alias("sigma"))
 
 
 def per_game_scale(variances: DataFrame, margin_sd: float, floor: float = C.SCALE_FLOOR,

@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 from contestry.session import cut_lineage
 
 _PIECE, _SEQ = "_piece", "_seq"
+#: Rows of a group that one window of a hash rank holds, on average.
+HASH_PIECE = 1 << 16
+
+
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where a null group key equals a null."""
+    other = right.withColumnsRenamed({k: f"_met_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_met_{k}"))
+    return left.join(other, same).drop(*[f"_met_{k}" for k in keys])
 
 
 def _pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -48,11 +59,11 @@ def _piece_totals(pieces: DataFrame, group: Sequence[str], weight: str | None) -
 
 def with_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                    name: str = "pos") -> DataFrame:
-    """0-based position inside each group; ``order`` must break every tie, keys be non-null."""
+    """0-based position inside each group (null keys are a group); ``order`` must break every tie."""
     pieces = _pieces(df, group, order)
     totals = _piece_totals(pieces, group, None)
     return (
-        pieces.join(totals, [*group, _PIECE])
+        _met(pieces, totals, [*group, _PIECE])
         .withColumn(name, F.col("_rows_before") + F.col(_SEQ) - F.col("_first"))
         .drop(_PIECE, _SEQ, "_n", "_first", "_rows_before")
     )
@@ -65,18 +76,19 @@ def with_prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column
     totals = _piece_totals(pieces, group, weight)
     inside = W.partitionBy(*group, _PIECE).orderBy(_SEQ).rowsBetween(W.unboundedPreceding, 0)
     return (
-        pieces.withColumn("_inside", F.sum(weight).over(inside))
-        .join(totals.select(*group, _PIECE, "_weight_before"), [*group, _PIECE])
+        _met(pieces.withColumn("_inside", F.sum(weight).over(inside)), totals.select(*group, _PIECE, "_weight_before"), [*group, _PIECE])
         .withColumn(name, F.col("_weight_before") + F.col("_inside"))
         .drop(_PIECE, _SEQ, "_inside", "_weight_before")
     )
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], hex_col: str, tie: str,
-              name: str = "rank", digits: int = 2) -> DataFrame:
-    """0-based rank of a digest inside its keys; each window holds 1/16^digits of a group."""
-    split = F.substring(hex_col, 1, digits)
-    marked = df.withColumn("_split", split)
+              size: Column, name: str = "rank") -> DataFrame:
+    """0-based rank of a digest inside its keys. ``size`` is the number of rows of the row's
+    group, or near it: a group is split by as many leading digits as leave a window about
+    ``HASH_PIECE`` rows, and every choice of digits gives the same ranks."""
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size.cast("double"), F.lit(1.0)) / HASH_PIECE) / F.log(F.lit(16.0)))).cast("int")
+    marked = df.withColumn("_split", F.substring(F.col(hex_col), F.lit(1), digits))
     before = W.partitionBy(*keys).orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         marked.groupBy(*keys, "_split").agg(F.count(F.lit(1)).alias("_c"))
@@ -84,8 +96,7 @@ def hash_rank(df: DataFrame, keys: Sequence[str], hex_col: str, tie: str,
     )
     inside = W.partitionBy(*keys, "_split").orderBy(hex_col, tie)
     return (
-        marked.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_split"])
+        _met(marked.withColumn("_in", F.row_number().over(inside) - 1), offsets, [*keys, "_split"])
         .withColumn(name, (F.col("_off") + F.col("_in")).cast("long"))
         .drop("_split", "_in", "_off")
     )
@@ -129,14 +140,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], quantiles: Sequence[f
         df.select(*group, F.explode(F.array(*pairs)).alias("p"))
         .select(*group, "p.measure", "p.value").filter(F.col("value").isNotNull())
     )
-    placed = cut_lineage(with_positions(long, keys, ["value"]))
+    placed = with_positions(long, keys, ["value"])  # its pieces are on disk already
     sizes = placed.groupBy(*keys).agg((F.max("pos") + 1).alias("n")).withColumn(
         "q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     spot = F.col("q") * (F.col("n") - 1)
     wanted = sizes.withColumns({"low": F.floor(spot), "part": spot - F.floor(spot)})
     both = wanted.withColumn("pos", F.explode(F.array("low", F.least(F.col("low") + 1, F.col("n") - 1))))
     both = both.distinct()
-    hit = both.join(placed, [*keys, "pos"])
+    hit = _met(both, placed, [*keys, "pos"])
     at_low = F.max(F.when(F.col("pos") == F.col("low"), F.col("value")))
     at_high = F.max("value")
     return (

@@ -23,7 +23,7 @@ def dealt_halves(units: DataFrame, entity: str, unit: str, splits: int, seed: in
     laid = units.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     key = F.concat_ws("|", F.col(entity), F.col(unit))
     laid = laid.withColumns({"_key": key, "_hex": digest(seed, F.col("split"), key)})
-    ranked = hash_rank(laid, ["split", entity], "_hex", "_key", "_r")
+    ranked = hash_rank(laid, ["split", entity], "_hex", "_key", F.col("size"), "_r")
     return ranked.withColumn("in_a", F.col("_r") < F.floor(F.col("size") / 2)).drop("_r", "_key", "_hex")
 
 
@@ -74,7 +74,8 @@ def permuted_entities(units: DataFrame, entity: str, unit: str, reps: int, min_u
     key = F.concat_ws("|", F.col(entity), F.col(unit))
     laid = kept.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumns(
         {"_key": key, "_hex": digest("perm", seed, F.col("rep"), key)})
-    ranked = hash_rank(laid, ["rep"], "_hex", "_key", "_slot").drop("_key", "_hex", entity, "size")
+    total = kept.agg(F.count(F.lit(1))).scalar()
+    ranked = hash_rank(laid, ["rep"], "_hex", "_key", total, "_slot").drop("_key", "_hex", entity, "size")
     return ranked.join(slots, "_slot").withColumnRenamed("_entity", entity).drop("_slot")
 
 

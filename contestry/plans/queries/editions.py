@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import digest, uniform
+from contestry.functions.columns import digest, guarded, uniform
 from contestry.operators import compare as CM
 from contestry.operators import ledger as L
 from contestry.operators.ranking import quantile_row
@@ -72,7 +72,7 @@ def c06(t):
     return CM.band_sweep(t.edition_b, (0.0, 0.05, 0.1, 0.15, 0.2))
 
 
-_NOISE = "edition_a a join edition_b b on b.game_id = a.game_id join (select game_id, dtw_home + (cast('0x' || substr(md5(concat('7:', game_id)), 1, 8) as bigint) / 4294967296e0 - 0.5) * 0.01 as z from edition_a) n on n.game_id = a.game_id"
+_NOISE = "edition_a a join edition_b b on b.game_id = a.game_id join (select game_id, dtw_home + (cast('0x' || substr(md5(concat('7:', game_id)), 1, 13) as bigint) / 4503599627370496e0 - 0.5) * 0.01 as z from edition_a) n on n.game_id = a.game_id"
 
 
 @query("c07_edition_delta", "games:i mean_move:d max_move:d mean_signed:d side_flips:i mean_noise:d median_move:d median_noise:d", f"""select count(*) as games, avg(abs(b.dtw_home - a.dtw_home)) as mean_move, max(abs(b.dtw_home - a.dtw_home)) as max_move, avg(b.dtw_home - a.dtw_home) as mean_signed, count_if((b.dtw_home > 0.5) <> (a.dtw_home > 0.5)) as side_flips,
@@ -150,12 +150,11 @@ def c14(t):
 @query("c15_edition_summary", "game_id:s home_team:s away_team:s actual_margin:d deserved_margin:d dtw_home:d", "select e.game_id, g.home_team, g.away_team, e.actual_margin, e.deserved_margin, e.dtw_home from edition_b e join games g on g.game_id = e.game_id", "edition_b games")
 def c15(t):
     """Teams joined on; the schedule's margin must agree with the edition's."""
-    off = F.raise_error(F.concat(F.lit("actual margins differ for "), F.col("game_id")))
     joined = t.edition_b.join(t.games.select("game_id", "home_team", "away_team", "margin"), "game_id")
-    return joined.withColumn("actual_margin", F.when(F.abs(F.col("margin") - F.col("actual_margin")) > 1e-9, off).otherwise(F.col("actual_margin")))
+    return guarded(joined, F.abs(F.col("margin") - F.col("actual_margin")) > 1e-9, F.concat(F.lit("actual margins differ for "), F.col("game_id")))
 
 
-_U16 = "cast('0x' || substr(md5(concat('16:', game_id, ':', cast(cast(play_id as bigint) as varchar))), 1, 8) as bigint) / 4294967296e0"
+_U16 = "cast('0x' || substr(md5(concat('16:', game_id, ':', cast(cast(play_id as bigint) as varchar))), 1, 13) as bigint) / 4503599627370496e0"
 
 
 @query("c16_assumption_sweep", "f:d games:i luck:d mean_abs_luck:d", f"""select f, count(*) as games, sum(l) as luck, avg(abs(l)) as mean_abs_luck from (select f, game_id, sum(luck_epa) as l from ledger, (values (0.0), (0.25), (0.5), (1.0)) v(f) where component <> 'fumble' or {_U16} < f group by all) group by f""", "ledger")

@@ -37,11 +37,14 @@ shared("blocked", "pbp", r"""select *, case when recovering_team is null or reco
    posteam as kicking_team, epa as epa_kicker from (
  select *, case when field_goal_result = 'blocked' then 'field_goal' when extra_point_result = 'blocked' then 'extra_point' else 'punt' end as kick_class,
    case when team <> '' then team when contains(tail, 'recovered the blocked kick') then defteam end as recovering_team,
-   nullif(regexp_extract(tail, '(?i)recovered by [A-Z]{2,3}-\d+-([A-Z][A-Za-z]?\.[A-Za-z''.-]+)', 1), '') as recoverer,
-   nullif(regexp_extract(desc_text, '(?i)BLOCKED (?:by )?\(?\d+-([A-Z][A-Za-z]?\.[A-Za-z''.-]+)\)?', 1), '') as blocker from (
- select *, regexp_extract(tail, '(?i)recovered by ([A-Z]{2,3})-', 1) as team from (
+   case when team <> '' and regexp_full_match(split_part(fell, '-', 2), '[0-9]+') and position('.' in whole) in (2, 3) then whole end as recoverer,
+   case when regexp_full_match(split_part(hit, '-', 1), '[0-9]+') and position('.' in struck) in (2, 3) then struck end as blocker from (
+ select *, case when length(split_part(fell, '-', 1)) in (2, 3) then split_part(fell, '-', 1) else '' end as team,
+   regexp_replace(array_to_string(string_split(fell, '-')[3:], '-'), '[^A-Za-z.''-].*', '') as whole,
+   regexp_replace(array_to_string(string_split(hit, '-')[2:], '-'), '[^A-Za-z.''-].*', '') as struck from (
+ select *, regexp_extract(tail, '(?i)recovered by ([a-z]+-[^ ]*)', 1) as fell, ltrim(regexp_extract(desc_text, '(?i)blocked (?:by )?([^ ]+)', 1), '(') as hit from (
  select *, substr(desc_text, greatest(instr(lower(desc_text), 'blocked'), 1)) as tail from pbp
-  where field_goal_result = 'blocked' or extra_point_result = 'blocked' or punt_blocked = 1)))""")
+  where field_goal_result = 'blocked' or extra_point_result = 'blocked' or punt_blocked = 1))))""")
 _CLEAN = """case when roof in ('dome','closed') then null else temp end as ctemp,
   case when roof in ('dome','closed') then null when wind is null then null else least(wind, 30e0) end as cwind"""
 shared("kicks", "pbp", f"""select *, cwind is not null and ctemp is not null as has_weather, kick_distance as distance,

@@ -157,7 +157,7 @@ def m09_games(t):
 
 
 def _u(prefix: str) -> str:
-    return f"cast('0x' || substr(md5({prefix}), 1, 8) as bigint) / 4294967296e0"
+    return f"cast('0x' || substr(md5({prefix}), 1, 13) as bigint) / 4503599627370496e0"
 
 
 _EVENT = "concat(component, '|', cast(cast(play_id as bigint) as varchar))"

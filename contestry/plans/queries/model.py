@@ -219,9 +219,7 @@ _VAR = f"""select game_id, {_COV[1][1]!r}*dr*dr + {2 * _COV[1][2]!r}*dr*dy + {_C
 
 @query("a09_noise_once_pooled", "sigma:d", f"select sqrt(144.0 - median(margin_var)) as sigma from ({_VAR})", "deserved")
 def a09_pooled(t):
-    v = _margin_variances(t)
-    med = quantile_row(v, {"margin_var": ("margin_var", 0.5)})
-    return B.pooled_scale(med, 12.0)
+    return B.pooled_scale(_margin_variances(t), 12.0)
 
 
 @query("a09_noise_once_per_game", "game_id:s sigma:d floored:i",

@@ -21,7 +21,7 @@ from contestry.plans.queries.tables import overtime, rested, sequencing, shifts
 
 
 def _u(parts: str) -> str:
-    return f"cast('0x' || substr(md5({parts}), 1, 8) as bigint) / 4294967296e0"
+    return f"cast('0x' || substr(md5({parts}), 1, 13) as bigint) / 4503599627370496e0"
 
 
 def _pick(parts: str, n: str) -> str:

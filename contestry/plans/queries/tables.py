@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contestry import constants as C
 from contestry.functions import plays as P
-from contestry.functions.columns import count_where, flag, floor_bin, keyed, logistic, mean_where, ratio
+from contestry.functions.columns import count_where, flag, floor_bin, guarded, keyed, logistic, mean_where, ratio
 from contestry.operators import drives as DR
 from contestry.operators import joins as J
 from contestry.operators import kicks as K
@@ -540,8 +540,7 @@ def f57(t):
     """Each contest from the part that never saw it; a contest scored twice is an error."""
     parts = [t.edition_b.filter(F.col("season") % 2 == i).withColumn("part", F.lit(n)) for i, n in ((0, "even"), (1, "odd"))]
     whole = J.union_strict(parts).groupBy("game_id").agg(F.count(F.lit(1)).alias("c"), F.max("part").alias("part"), F.max("total_luck_epa").alias("total_luck_epa"))
-    twice = F.raise_error(F.concat(F.lit("scored by two parts: "), F.col("game_id")))
-    return whole.withColumn("part", F.when(F.col("c") > 1, twice).otherwise(F.col("part")))
+    return guarded(whole, F.col("c") > 1, F.concat(F.lit("scored by two parts: "), F.col("game_id")))
 
 
 @query("f58_resampling_universe", "result:s n:i points:d", "select result, count(*) as n, sum(points) as points from drives where result in ('Touchdown','Field goal','Punt','Turnover','Turnover on downs','Missed field goal') group by 1", "drives")

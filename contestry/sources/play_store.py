@@ -2,14 +2,16 @@
 
 The play-shaped columns are long expressions over ``lineitem``. Left as a view, every
 filter on them is inlined back to the base columns and compiled again in every query.
-Writing them once, task by task with no shuffle, is the ingest step: each query then
-reads only its own columns and pushes its filters to the parquet scan. The table lives
-in the shared checkpoint folder, so a lost executor re-reads it.
+Writing them once is the ingest step: each query then reads only its own columns and
+pushes its filters to the parquet scan. The table lives in a shared folder, so a lost
+executor re-reads it, and goes by its input's fingerprint: where the session names a
+folder for stores, later sessions over the same files find it there.
 """
 
 from __future__ import annotations
 
 import threading
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +19,26 @@ from pyspark.sql import functions as F
 from contestry.session import ensure_checkpoint_dir
 from contestry.sources import adapter
 
+#: Names a shared folder in which stores outlive their session; without it, the checkpoint folder.
+STORE_FOLDER = "spark.contestry.store.dir"
+
 _LOCK = threading.Lock()
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
-    """Changes whenever a file of the input is added, replaced or resized; and its bytes."""
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes whenever a file of the input is added, replaced or resized."""
     files = spark.read.format("binaryFile").load(path).select(
         F.concat_ws("|", "path", "modificationTime", "length").alias("f"), "length")
     # the sum of short digests is one number, whatever the number of files
-    part = F.conv(F.substring(F.md5("f"), 1, 8), 16, 10).cast("long")
-    row = files.agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("b")).first()
-    return f"{row.s}-{row.n}", int(row.b)
-
+    part = F.conv(F.substring(F.md5("f"), 1, 13), 16, 10).cast("decimal(38,0)")
+    row = files.agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return f"{row.s}-{row.n}"
 
-def _spread(spark: SparkSession, size: int) -> int | None:
-    """Tasks for an input too small to fill the cluster by itself, else no shuffle at all.
 
-    A small file is one row group and so one task, however wide the expressions are.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    return cores if size < cores * 64 * 1024 * 1024 else None
+def _written(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def play_store(spark: SparkSession, sf_dir: str) -> str:
@@ -45,16 +46,14 @@ def play_store(spark: SparkSession, sf_dir: str) -> str:
     ensure_checkpoint_dir(spark)
     source = f"{sf_dir}/lineitem.parquet"
     with _LOCK:
-        print_, size = _fingerprint(spark, source)
-        key = (spark.sparkContext.applicationId, f"{source}#{print_}")
+        key = (spark.sparkContext.applicationId, f"{source}#{_fingerprint(spark, source)}")
         if key not in _BUILT:
-            tag = f"store-{abs(hash(key)):x}"
-            root = f"{spark.sparkContext.getCheckpointDir()}/{tag}"
-            adapter.plays_view(spark, sf_dir, spread=_spread(spark, size)).write.mode("overwrite").option(
-                "compression", "zstd").parquet(f"{root}/plays")
-            plays = spark.read.parquet(f"{root}/plays")
-            adapter.schedule_view(plays).write.mode("overwrite").option(
-                "compression", "zstd").parquet(f"{root}/schedule")
+            kept = spark.conf.get(STORE_FOLDER, None)
+            root = f"{kept or spark.sparkContext.getCheckpointDir()}/store-{md5(key[1].encode()).hexdigest()}"
+            if not _written(spark, f"{root}/schedule"):  # written last: both tables are whole
+                adapter.plays_view(spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/plays")
+                plays = spark.read.parquet(f"{root}/plays")
+                adapter.schedule_view(plays).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/schedule")
             _BUILT[key] = root
     return _BUILT[key]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from contestry import constants as C
+from contestry.functions.columns import guarded
 from contestry.functions.plays import filtered_plays
 from contestry.operators import quality
 
@@ -121,8 +122,16 @@ def ingest_live(df: DataFrame, root: str, season: int, schedule: DataFrame | Non
 
 
 def refresh_schedule(fresh: DataFrame, root: str, seasons: Iterable[int]) -> None:
-    """Replace exactly these seasons' rows; every other season's files stay untouched."""
-    write_season(fresh.filter(F.col("season").isin(*seasons)), root, "schedules")
+    """Replace exactly these seasons' rows; every other season's files stay untouched. A season
+    that was asked for and has no fresh row is left with none."""
+    spark, asked = fresh.sparkSession, sorted(set(seasons))
+    rows = fresh.filter(F.col("season").isin(*asked))
+    found = {r.season for r in rows.select("season").distinct().collect()}  # at most the asked ones
+    write_season(rows, root, "schedules")
+    for season in asked:
+        if season not in found:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(_path(root, "schedules", season))
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def load_schedule(spark: SparkSession, root: str) -> DataFrame:
@@ -186,11 +195,12 @@ def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
 def attach_columns(plays: DataFrame, extras: DataFrame, columns: list[str]) -> DataFrame:
     """Extra columns by play key; a missing or different play raises in the plan."""
     keys = ["game_id", "play_id"]
-    side = extras.select(*keys, F.col("epa").alias("_epa"), *columns)
+    where = F.concat_ws(" ", *keys)
+    side = extras.groupBy(*keys).agg(F.max("epa").alias("_epa"), *[F.max(c).alias(c) for c in columns], F.count(F.lit(1)).alias("_rows"))
+    side = guarded(side, F.col("_rows") > 1, F.concat(F.lit("the columns to attach repeat "), where)).drop("_rows")
     joined = plays.drop(*columns).join(side, keys, "left")
-    bad = F.raise_error(F.concat(F.lit("columns do not line up at "), F.concat_ws(" ", *keys)))
     same = F.coalesce(F.abs(F.col("_epa") - F.col("epa")) < 1e-8, F.lit(False))
-    return joined.withColumn("epa", F.when(same, F.col("epa")).otherwise(bad)).drop("_epa")
+    return guarded(joined, ~same, F.concat(F.lit("columns do not line up at "), where)).drop("_epa")
 
 
 def write_summary(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -54,18 +54,24 @@ def start_readiness(plays: DataFrame, schedule: DataFrame, out: str, checkpoint:
     )
 
 
-def start_live_refresh(plays: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces the seasons it carries; a replayed batch changes nothing.
-
-    A pull holds a whole season so far, so rows are made unique on the play key inside
-    the batch and then overwrite just their season's partition.
+def refresh_live(plays: DataFrame, root: str, checkpoint: str, pull: str) -> None:
+    """Read one pull of the live seasons to its end and replace the seasons it carries.
+
+    A pull holds a whole season so far, but may come in any number of files and so of
+    micro-batches. Each batch only stages its rows under the pull's name and its own number,
+    so a replayed batch writes the same folder again; once the stream has read everything
+    there is, all staged rows, unique on the play key, replace their seasons. A run that
+    stops before that leaves the seasons as they were, and the same call finishes it.
     """
     from contestry.sources.seasons import write_season
 
-    def replace(batch: DataFrame, number: int) -> None:
-        write_season(batch.dropDuplicates(["game_id", "play_id"]), root, "pbp")
+    staged = f"{root}/_pulls/{pull}"
 
-    return (
-        plays.writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace)
-        .trigger(availableNow=True).start()
-    )
+    def stage(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{staged}/batch={number}")
+
+    query = plays.writeStream.option("checkpointLocation", checkpoint).foreachBatch(stage).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = plays.sparkSession
+    whole = spark.read.schema(plays.schema).option("basePath", staged).parquet(f"{staged}/batch=*").select(*plays.columns)
+    write_season(whole.dropDuplicates(["game_id", "play_id"]), root, "pbp")

@@ -26,7 +26,7 @@ def test_positions_and_prefix_sums(skewed):
 
 
 def test_hash_rank(skewed):
-    df = hash_rank(skewed.withColumn("h", F.md5(F.col("id").cast("string"))), ["g"], "h", "id").toPandas().sort_values(["g", "h"])
+    df = hash_rank(skewed.withColumn("h", F.md5(F.col("id").cast("string"))), ["g"], "h", "id", F.lit(900)).toPandas().sort_values(["g", "h"])
     assert (df.groupby("g").cumcount().to_numpy() == df["rank"].to_numpy()).all()
 
 
