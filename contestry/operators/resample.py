@@ -99,8 +99,8 @@ def bootstrap(units: DataFrame, key: str, sums: dict[str, Column], stats: dict[s
     return out.withColumns(stats)
 
 
-def summarize_draws(draws: DataFrame, value: str, observed: Column | None = None) -> DataFrame:
-    """Mean and intervals of one number per replicate."""
+def summarize_draws(draws: DataFrame, value: str) -> DataFrame:
+    """Mean and 95% interval of one number per replicate; the percentiles hold the replicates."""
     out = draws.agg(
         F.avg(value).alias("mean"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"),
         F.avg((F.col(value) < 0).cast("double")).alias("share_below_zero"), F.count(F.lit(1)).alias("reps"))

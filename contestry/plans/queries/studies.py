@@ -20,6 +20,15 @@ from contestry.plans.queries.relational import team_margins
 from contestry.plans.queries.tables import overtime, rested, sequencing, shifts
 
 
+#: Sizes of the resampling studies: splits, permutations, resamples, resamples of a contrast.
+SPLITS, PERMUTATIONS, RESAMPLES, CONTRASTS = 200, 500, 2000, 20000
+#: Draws of the placement null. The study of record takes 2,000, over a hundred million ranked
+#: rows even at the smallest size; see the README for what that costs.
+NULL_DRAWS = 200
+#: Replicates per punt of the worst-bin table, and folds of the out-of-fold studies.
+BIN_REPLICATES, FOLDS = 200, 10
+
+
 def _u(parts: str) -> str:
     return f"cast('0x' || substr(md5({parts}), 1, 13) as bigint) / 4503599627370496e0"
 
@@ -50,15 +59,15 @@ def retention(t):
 
 
 _GRID = """with o as (select *, least(greatest(25e0 / sqrt(n * p * (1 - p)), 0.15), 6.0) as w, ln(p / (1 - p)) as c from (select cast(sum(n) as double) as n, sum(k) / cast(sum(n) as double) as p from retention)),
-   g as (select i, h, mu, exp(lk) as kappa, lk from (select i, h, 1 / (1 + exp(-(c - w + i * (2 * w / 19e0)))) as mu, h * (14e0 / 39e0) as lk from o, (select unnest(generate_series(0, 19)) as i), (select unnest(generate_series(0, 39)) as h))),
+   g as (select i, h, mu, exp(lk) as kappa, lk from (select i, h, 1 / (1 + exp(-(c - w + i * (2 * w / 79e0)))) as mu, h * (14e0 / 219e0) as lk from o, (select unnest(generate_series(0, 79)) as i), (select unnest(generate_series(0, 219)) as h))),
    ll as (select i, h, mu, kappa, lk, sum(lgamma(k + mu * kappa) - lgamma(mu * kappa) + lgamma(n - k + (1 - mu) * kappa) - lgamma((1 - mu) * kappa) - lgamma(n + kappa) + lgamma(kappa)) + 2 * ln(mu) + 2 * ln(1 - mu) - power(lk - 4, 2) / 8 as lp from g, retention group by i, h, mu, kappa, lk),
    s as (select *, exp(lp - (select max(lp) from ll)) as wt from ll)
-   select sum(wt * mu) / sum(wt) as mu_mean, exp(sum(wt * lk) / sum(wt)) as kappa_geo, sum(wt * sqrt(mu * (1 - mu) / (kappa + 1))) / sum(wt) as population_sd, sum(case when i in (0, 19) or h in (0, 39) then wt else 0 end) / sum(wt) as edge_mass from s"""
+   select sum(wt * mu) / sum(wt) as mu_mean, exp(sum(wt * lk) / sum(wt)) as kappa_geo, sum(wt * sqrt(mu * (1 - mu) / (kappa + 1))) / sum(wt) as population_sd, sum(case when i in (0, 79) or h in (0, 219) then wt else 0 end) / sum(wt) as edge_mass from s"""
 
 
 @query("a16_beta_binomial_grid", "mu_mean:d kappa_geo_k:d population_sd:d edge_mass:d", f"select *, kappa_geo / 1000 as kappa_geo_k from ({_GRID})", "retention")
 def a16(t):
-    return ST.grid_summary(ST.beta_binomial_grid(retention(t), 20, 40)).withColumn("kappa_geo_k", F.col("kappa_geo") / 1000.0)
+    return ST.grid_summary(ST.beta_binomial_grid(retention(t), 80, 220)).withColumn("kappa_geo_k", F.col("kappa_geo") / 1000.0)
 
 
 @query("a17_shrunk_rates", "entity:s n:i k:i rate:d dial:d", "select *, (0.6 * 40 + k) / (40 + n) as rate, n / (n + 40.0) as dial from retention", "retention")
@@ -98,19 +107,19 @@ def a19(t):
 
 @query("a20_paired_out_of_fold", "n:i loss_a:d loss_b:d difference:d ci_low:d ci_high:d non_inferior:i")
 def a20(t):
-    rows = DR.fold_by_hash(prediction_frame(t).filter("spread_line is not null"), ["game_id"], 4)
+    rows = DR.fold_by_hash(prediction_frame(t).filter("spread_line is not null"), ["game_id"], FOLDS)
     rows = rows.withColumns({"x1": F.col("strength_diff") / 10.0, "x2": F.col("spread_line") / 10.0})
-    both = ST.newton_out_of_fold(rows, ["x1", "x2"], "home_won", 4, "game_id")
-    one = ST.newton_out_of_fold(rows, ["x1"], "home_won", 4, "game_id")
+    both = ST.newton_out_of_fold(rows, ["x1", "x2"], "home_won", FOLDS, "game_id")
+    one = ST.newton_out_of_fold(rows, ["x1"], "home_won", FOLDS, "game_id")
     return ST.paired_losses(both, one, "game_id", "home_won", 0.01)
 
 
-shared("folded", "drives", "select *, floor(depth / 5) as cell, (row_number() over (order by md5(concat('0:', game_id, '|', cast(cast(fixed_drive as bigint) as varchar))), game_id, fixed_drive) - 1) % 5 as fold from drives where resampled = 1")
+shared("folded", "drives", "select *, floor(depth / 5) as cell, (row_number() over (order by md5(concat('0:', game_id, '|', cast(cast(fixed_drive as bigint) as varchar))), game_id, fixed_drive) - 1) % 10 as fold from drives where resampled = 1")
 
 
 def folded(t):
     rows = t.drives.filter("resampled = 1").withColumn("drive_no", F.col("fixed_drive").cast("long"))
-    return DR.fold_by_hash(rows, ["game_id", "drive_no"], 5)
+    return DR.fold_by_hash(rows, ["game_id", "drive_no"], FOLDS)
 
 
 @query("a21_out_of_fold_means", "game_id:s fixed_drive:d fold:i predicted:d", """select f.game_id, f.fixed_drive, f.fold, case when c.c - coalesce(o.c, 0) >= 100 then (c.s - o.s) / (c.c - o.c) else (t.s - x.s) / (t.c - x.c) end as predicted from folded f
@@ -177,14 +186,14 @@ def a35(t):
         ((F.avg("margin_g1_a") - F.avg("margin_g2_a")) / 2.0).alias("hfa_points"), F.avg((F.col("margin_g2_a") > 0).cast("double")).alias("a_wins_rate"), F.avg("a_home_g2").alias("p_a_home"))
 
 
-_R36 = f"select floor(spot / 5) * 5 as bin, rep, avg(net + ({_u('''concat('36:', rep, ':', game_id, ':', cast(cast(play_id as bigint) as varchar))''')} - 0.5) * 20) as m, avg(net) as o from punts, {_reps(20)} group by all having count(*) >= 20"
+_R36 = f"select floor(spot / 5) * 5 as bin, rep, avg(net + ({_u('''concat('36:', rep, ':', game_id, ':', cast(cast(play_id as bigint) as varchar))''')} - 0.5) * 20) as m, avg(net) as o from punts, {_reps(BIN_REPLICATES)} group by all having count(*) >= 20"
 
 
 @query("a36_worst_bin_vs_replicates", "statistic:d threshold:d", f"""with b as ({_R36}), s as (select bin, avg(m) as mu, stddev_samp(m) as sd from b group by bin), z as (select b.*, abs(m - mu) / sd as zr, abs(o - mu) / sd as zo from b join s on s.bin = b.bin)
    select max(zo) as statistic, (select quantile_cont(x, 0.945) from (select max(zr) as x from z group by rep)) as threshold from z""", "punts")
 def a36(t):
     u = uniform(digest(36, F.col("rep"), F.col("game_id"), F.col("play_id").cast("long")))
-    rows = P.punt_table(t.pbp).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rows = P.punt_table(t.pbp).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(BIN_REPLICATES - 1))))
     bins = rows.withColumn("draw", F.col("net") + (u - 0.5) * 20.0).groupBy(floor_bin("spot", 5).alias("bin"), "rep").agg(F.avg("draw").alias("m"), F.avg("net").alias("o"), F.count(F.lit(1)).alias("c")).filter("c >= 20")
     spread = bins.groupBy("bin").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))
     z = bins.join(spread, "bin")
@@ -194,50 +203,53 @@ def a36(t):
 
 # --- resampling ----------------------------------------------------------------------------------
 
-_HALF = f"""with u as (select *, count(*) over (partition by team_season) as size from sequencing), d as (select u.*, rep, row_number() over (partition by rep, team_season order by md5(concat('0:', rep, ':', team_season, '|', game_id)), game_id) - 1 < floor(size / 2) as a from u, {_reps(20)} where size >= 3),
+_HALF = f"""with u as (select *, count(*) over (partition by team_season) as size from sequencing), d as (select u.*, rep, row_number() over (partition by rep, team_season order by md5(concat('0:', rep, ':', team_season, '|', game_id)), game_id) - 1 < floor(size / 2) as a from u, {_reps(SPLITS)} where size >= 3),
    h as (select rep, team_season, sum(epa_all) filter (where a) / sum(n_all) filter (where a) as a1, sum(epa_all) filter (where not a) / sum(n_all) filter (where not a) as b1, avg(succ_all) filter (where a) as a2, avg(succ_all) filter (where not a) as b2 from d group by all),
    r as (select rep, corr(a1, b1) as pooled, corr(a2, b2) as averaged, count(*) as entities from h group by rep)"""
 
 
 @query("m12_split_half", "measure:s mean_r:d low:d high:d entities:i full_length:d", _HALF + " " + " union all ".join(f"select '{m}' as measure, avg({m}) as mean_r, quantile_cont({m}, 0.055) as low, quantile_cont({m}, 0.945) as high, max(entities) as entities, 2 * avg({m}) / (1 + avg({m})) as full_length from r" for m in ("pooled", "averaged")), "sequencing")
 def m12(t):
-    by_split = RS.split_half(sequencing(t), "team_season", "game_id", {"pooled": ("epa_all", "n_all"), "averaged": ("succ_all", None)}, 20, min_units=3)
+    by_split = RS.split_half(sequencing(t), "team_season", "game_id", {"pooled": ("epa_all", "n_all"), "averaged": ("succ_all", None)}, SPLITS, min_units=3)
     return RS.reliability(by_split, ["pooled", "averaged"])
 
 
 @query("m13_event_split_half", "mean_r:d entities:i", f"""with e as (select concat(cast(season as varchar), '_', defteam) as entity, concat(game_id, '-', cast(cast(play_id as bigint) as varchar)) as unit, return_yards as y from pbp where interception = 1 and return_yards is not null), u as (select *, count(*) over (partition by entity) as size from e),
-   d as (select u.*, rep, row_number() over (partition by rep, entity order by md5(concat('0:', rep, ':', entity, '|', unit)), unit) - 1 < floor(size / 2) as a from u, {_reps(20)} where size >= 3), h as (select rep, entity, avg(y) filter (where a) as x, avg(y) filter (where not a) as z from d group by all)
+   d as (select u.*, rep, row_number() over (partition by rep, entity order by md5(concat('0:', rep, ':', entity, '|', unit)), unit) - 1 < floor(size / 2) as a from u, {_reps(SPLITS)} where size >= 3), h as (select rep, entity, avg(y) filter (where a) as x, avg(y) filter (where not a) as z from d group by all)
    select avg(r) as mean_r, max(n) as entities from (select rep, corr(x, z) as r, count(*) as n from h group by rep)""", "pbp")
 def m13(t):
     events = t.pbp.filter("interception = 1 and return_yards is not null").select(
         F.concat_ws("_", F.col("season").cast("string"), "defteam").alias("entity"), F.concat_ws("-", "game_id", F.col("play_id").cast("long").cast("string")).alias("unit"), F.col("return_yards").alias("y"))
-    out = RS.split_half(events, "entity", "unit", {"r": ("y", None)}, 20, min_units=3)
+    out = RS.split_half(events, "entity", "unit", {"r": ("y", None)}, SPLITS, min_units=3)
     return out.agg(F.avg("r").alias("mean_r"), F.max("entities").alias("entities"))
 
 
 @query("m14_permutation_null", "rep:i sd_between:d entities:i", f"""with k as (select * from (select team_season, game_id, epa_all, n_all, count(*) over (partition by team_season) as size from sequencing) where size >= 3), s as (select team_season as slot_team, row_number() over (order by team_season, game_id) as slot from k),
-   d as (select k.*, rep, row_number() over (partition by rep order by md5(concat('perm:0:', rep, ':', team_season, '|', game_id)), team_season, game_id) as slot from k, {_reps(10)})
+   d as (select k.*, rep, row_number() over (partition by rep order by md5(concat('perm:0:', rep, ':', team_season, '|', game_id)), team_season, game_id) as slot from k, {_reps(PERMUTATIONS)})
    select rep, stddev_samp(v) as sd_between, count(*) as entities from (select rep, slot_team, sum(epa_all) / sum(n_all) as v from d join s on s.slot = d.slot group by all) group by rep""", "sequencing")
 def m14(t):
     units = sequencing(t).select("team_season", "game_id", "epa_all", "n_all")
-    dealt = RS.permuted_entities(units, "team_season", "game_id", 10, min_units=3)
+    dealt = RS.permuted_entities(units, "team_season", "game_id", PERMUTATIONS, min_units=3)
     per = dealt.groupBy("rep", "team_season").agg(ratio(F.sum("epa_all"), F.sum("n_all")).alias("v"))
     return per.groupBy("rep").agg(F.stddev_samp("v").alias("sd_between"), F.count(F.lit(1)).alias("entities"))
 
 
 shared("redrawn", "drives donors", f"""with l as (select d.*, x.donor_bin, x.mean_points from drives d join donors x on x.depth_bin = d.depth_bin where resampled = 1), p as (select donor_bin, points, row_number() over (partition by donor_bin order by points) - 1 as place, count(*) over (partition by donor_bin) as size from l),
-   s as (select donor_bin, max(size) as size from p group by 1), k as (select l.game_id, l.is_home, l.points, l.donor_bin, rep, {_pick("concat('0:', rep, ':', game_id, ':', cast(cast(fixed_drive as bigint) as varchar))", "size")} as place from l join s on s.donor_bin = l.donor_bin, {_reps(10)})
+   s as (select donor_bin, max(size) as size from p group by 1), k as (select l.game_id, l.is_home, l.points, l.donor_bin, rep, {_pick("concat('0:', rep, ':', game_id, ':', cast(cast(fixed_drive as bigint) as varchar))", "size")} as place from l join s on s.donor_bin = l.donor_bin, {_reps(RESAMPLES)})
    select k.game_id, rep, sum(case when is_home = 1 then 1 else -1 end * (p.points - k.points)) as delta, sum(p.points) as drawn, sum(k.points) as observed, count(*) as n from k join p on p.donor_bin = k.donor_bin and p.place = k.place group by all""")
 
 
-@query("m15_donor_bin_resample", "game_id:s rep:i delta:d", "select * from redrawn", "redrawn")
+@query("m15_donor_bin_resample", "game_id:s reps:i mean_delta:d sd_delta:d low:d high:d", "select game_id, count(*) as reps, avg(delta) as mean_delta, stddev_samp(delta) as sd_delta, quantile_cont(delta, 0.055) as low, quantile_cont(delta, 0.945) as high from redrawn group by 1", "redrawn")
 def m15(t):
-    return DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), 10)
+    """Every contest's deltas over all resamples; its percentiles hold one number a resample."""
+    draws = DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), RESAMPLES)
+    return draws.groupBy("game_id").agg(F.count(F.lit(1)).alias("reps"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"),
+                                        F.percentile("delta", 0.055).alias("low"), F.percentile("delta", 0.945).alias("high"))
 
 
 @query("m15_unbiasedness", "observed_mean:d resampled_mean:d difference:d pass:i", "select *, resampled_mean - observed_mean as difference, cast(abs(resampled_mean - observed_mean) < 0.05 as int) as pass from (select sum(observed) / sum(n) as observed_mean, sum(drawn) / sum(n) as resampled_mean from redrawn)", "redrawn")
 def m15_check(t):
-    return DR.unbiased(DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), 10))
+    return DR.unbiased(DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), RESAMPLES))
 
 
 @query("m16_expected_delta", "game_id:s expected_delta:d", "select game_id, sum(case when is_home = 1 then 1 else -1 end * (mean_points - points)) as expected_delta from drives d join donors x on x.depth_bin = d.depth_bin where resampled = 1 group by 1", "drives donors")
@@ -253,28 +265,50 @@ def _boot(rows: str, key: str, group: str, sums: str, reps: int) -> str:
       select {g}rep, {sums} from k join p on p.i = k.i {f'and p.{group} = k.{group}' if group else ''} group by all""".replace(f"select {g}rep, {sums}", f"select {'k.' + g if g else ''}rep, {sums}")
 
 
-@query("m17_paired_bootstrap", "rep:i mean_gap:d drawn:i", _boot("(select game_id, deserved_margin - (home_score - away_score) as gap from deserved)", "game_id", "", "sum(gap) / count(*) as mean_gap, count(*) as drawn", 20), "deserved")
+@query("m17_paired_bootstrap", "rep:i mean_gap:d drawn:i", _boot("(select game_id, deserved_margin - (home_score - away_score) as gap from deserved)", "game_id", "", "sum(gap) / count(*) as mean_gap, count(*) as drawn", RESAMPLES), "deserved")
 def m17(t):
     rows = t.deserved.select("game_id", (F.col("deserved_margin") - (F.col("home_score") - F.col("away_score"))).alias("gap"))
-    return RS.bootstrap(rows, "game_id", {"s": F.col("gap")}, {"mean_gap": ratio("s", "drawn")}, 20)
+    return RS.bootstrap(rows, "game_id", {"s": F.col("gap")}, {"mean_gap": ratio("s", "drawn")}, RESAMPLES)
 
 
-@query("m18_cluster_bootstrap", "rep:i rate:d", _boot("(select game_id, sum(made) as m, count(*) as c from kicks group by 1)", "game_id", "", "sum(m) / cast(sum(c) as double) as rate", 20), "kicks")
+@query("m18_cluster_bootstrap", "rep:i rate:d", _boot("(select game_id, sum(made) as m, count(*) as c from kicks group by 1)", "game_id", "", "sum(m) / cast(sum(c) as double) as rate", RESAMPLES), "kicks")
 def m18(t):
     per = shifts(t).groupBy("game_id").agg(F.sum("made").alias("m"), F.count(F.lit(1)).alias("c"))
-    return RS.bootstrap(per, "game_id", {"sm": F.col("m"), "sc": F.col("c")}, {"rate": ratio("sm", "sc")}, 20)
+    return RS.bootstrap(per, "game_id", {"sm": F.col("m"), "sc": F.col("c")}, {"rate": ratio("sm", "sc")}, RESAMPLES)
 
 
-@query("m19_two_group_bootstrap", "rep:i swing:d", f"select rep, sum(m) as swing from ({_boot('overtime', 'game_id', 'home_received', 'sum(fp_margin) / count(*) as m', 20)}) group by rep", "overtime")
+@query("m19_two_group_bootstrap", "rep:i swing:d", f"select rep, sum(m) as swing from ({_boot('overtime', 'game_id', 'home_received', 'sum(fp_margin) / count(*) as m', CONTRASTS)}) group by rep", "overtime")
 def m19(t):
     rows = overtime(t).select("game_id", "home_received", "fp_margin")
-    draws = RS.bootstrap(rows, "game_id", {"s": F.col("fp_margin")}, {"m": ratio("s", "drawn")}, 20, group=["home_received"])
+    draws = RS.bootstrap(rows, "game_id", {"s": F.col("fp_margin")}, {"m": ratio("s", "drawn")}, CONTRASTS, group=["home_received"])
     return draws.groupBy("rep").agg(F.sum("m").alias("swing"))
 
 
+def _interval(rows: str, value: str) -> str:
+    return f"select avg({value}) as mean, quantile_cont({value}, 0.025) as low, quantile_cont({value}, 0.975) as high, avg(cast({value} < 0 as int)) as share_below_zero, count(*) as reps from ({rows})"
+
+
+_INTERVAL = "mean:d low:d high:d share_below_zero:d reps:i"
+
+
+@query("m17_interval", _INTERVAL, _interval(_boot("(select game_id, deserved_margin - (home_score - away_score) as gap from deserved)", "game_id", "", "sum(gap) / count(*) as mean_gap", RESAMPLES), "mean_gap"), "deserved")
+def m17_interval(t):
+    return RS.summarize_draws(m17(t), "mean_gap")
+
+
+@query("m18_interval", _INTERVAL, _interval(_boot("(select game_id, sum(made) as m, count(*) as c from kicks group by 1)", "game_id", "", "sum(m) / cast(sum(c) as double) as rate", RESAMPLES), "rate"), "kicks")
+def m18_interval(t):
+    return RS.summarize_draws(m18(t), "rate")
+
+
+@query("m19_interval", _INTERVAL, _interval(f"select rep, sum(m) as swing from ({_boot('overtime', 'game_id', 'home_received', 'sum(fp_margin) / count(*) as m', CONTRASTS)}) group by rep", "swing"), "overtime")
+def m19_interval(t):
+    return RS.summarize_draws(m19(t), "swing")
+
+
 def _null(order: str) -> str:
     return f"""with r as (select p.*, rep, row_number() over (partition by rep, {order} order by md5(concat('0:', rep, ':', game_id, '|', cast(cast(play_id as bigint) as varchar), '|', cast(mix as varchar))), game_id, play_id, mix) - 1 as r,
-       count_if(cell = 'red_zone') over (partition by rep, {order}) as s_rz, count_if(cell <> 'other') over (partition by rep, game_id, posteam) as k, count(*) over (partition by rep, game_id, posteam) as n, avg(epa_priced) over (partition by rep, game_id, posteam) as mn from priced p, {_reps(5)})"""
+       count_if(cell = 'red_zone') over (partition by rep, {order}) as s_rz, count_if(cell <> 'other') over (partition by rep, game_id, posteam) as k, count(*) over (partition by rep, game_id, posteam) as n, avg(epa_priced) over (partition by rep, game_id, posteam) as mn from priced p, {_reps(NULL_DRAWS)})"""
 
 
 _RAW = _null("game_id, posteam") + " select game_id, posteam, rep, case when max(k) = 0 or max(k) = max(n) then 0 else sum(case when r < k then epa_priced - mn else 0 end) * 0.8389 end as score from r group by all"
@@ -282,13 +316,13 @@ _RAW = _null("game_id, posteam") + " select game_id, posteam, rep, case when max
 
 @query("m20_placement_null", "rung:s game_id:s posteam:s rep:i score:d", f"select 'raw' as rung, * from ({_RAW}) union all select 'down_stratified', * from ({_null('game_id, posteam, down')} select game_id, posteam, rep, case when max(k) = 0 or max(k) = max(n) then 0 else (sum(case when r < s_rz or down in (3,4) then epa_priced else 0 end) - max(k) * max(mn)) * 0.8389 end as score from r group by all)", "priced")
 def m20(t):
-    parts = [PL.placement_null(t.priced, 5, rung).withColumn("rung", F.lit(rung)) for rung in ("raw", "down_stratified")]
+    parts = [PL.placement_null(t.priced, NULL_DRAWS, rung).withColumn("rung", F.lit(rung)) for rung in ("raw", "down_stratified")]
     return parts[0].unionByName(parts[1])
 
 
 @query("m20_variance_matched_null", "rung:s game_id:s posteam:s rep:i score:d")
 def m20_matched(t):
-    parts = [PL.placement_null(t.priced, 5, rung, rz_scale=1.41, scales=(1.41, 1.1, 0.82)).withColumn("rung", F.lit(rung))
+    parts = [PL.placement_null(t.priced, NULL_DRAWS, rung, rz_scale=1.41, scales=(1.41, 1.1, 0.82)).withColumn("rung", F.lit(rung))
              for rung in ("raw_var_matched", "down_stratified_var_matched")]
     return parts[0].unionByName(parts[1])
 
@@ -304,7 +338,7 @@ _BAND = f"""with d as ({_RAW}) select d.game_id, d.posteam, quantile_cont(d.scor
 
 @query("m22_null_bands", "game_id:s posteam:s low:d high:d realized:d pit:d", _BAND, "priced placed")
 def m22(t):
-    return PL.null_band(PL.placement_null(t.priced, 5), PL.placement_scores(t.cells))
+    return PL.null_band(PL.placement_null(t.priced, NULL_DRAWS), PL.placement_scores(t.cells))
 
 
 @query("a29_mid_p_percentile", "units:i mean_pit:d", f"select count(*) as units, avg(pit) as mean_pit from ({_BAND})", "priced placed")
