@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contestry import constants as C
@@ -90,18 +91,21 @@ def resample_points(drives: DataFrame, table: DataFrame, reps: int, seed: int =
     """
     league = _marked(drives, table)
     counts = league.groupBy("donor_bin", "points").agg(F.count(F.lit(1)).alias("c"))
-    ladder = counts.groupBy("donor_bin").agg(
-        F.sum("c").alias("size"), F.sort_array(F.collect_list(F.struct("points", "c"))).alias("steps"))
+    below = W.partitionBy("donor_bin").orderBy("points").rowsBetween(W.unboundedPreceding, 0)
+    ladder = counts.withColumn("upto", F.sum("c").over(below)).groupBy("donor_bin").agg(
+        F.sum("c").alias("size"), F.sort_array(F.collect_list("upto")).alias("upto"), F.sort_array(F.collect_list("points")).alias("steps"))
     rows = league.filter(F.col("depth") <= C.RED_ZONE_YARDS) if red_zone_only else league
-    laid = rows.select("game_id", "fixed_drive", "is_home", "points", "donor_bin").join(ladder, "donor_bin").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    place = pick(digest(seed, F.col("rep"), F.col("game_id"), F.col("fixed_drive").cast("long")), F.col("size"))
-    walk = F.aggregate(
-        "steps", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("got")),
-        lambda a, s: F.struct(
-            (a["seen"] + s["c"]).alias("seen"),
-            F.when(a["got"].isNull() & (F.col("_place") < a["seen"] + s["c"]), s["points"]).otherwise(a["got"]).alias("got")))
-    drawn = laid.withColumn("_place", place).withColumn("drawn", walk["got"])
+    # one row a yard-line bin: twenty of them, whatever the number of drives
+    laid = rows.select("game_id", "fixed_drive", "is_home", "points", "donor_bin").join(F.broadcast(ladder), "donor_bin")
+    # dealt by contest before the replicates multiply the rows: every later sum finds its rows in place
+    place = lambda rep: pick(digest(seed, rep, F.col("game_id"), F.col("fixed_drive").cast("long")), F.col("size"))
+    # the place comes out of the explode as a column: inside the lambda below it would be drawn anew at each step
+    deals = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda rep: F.struct(rep.alias("rep"), place(rep).alias("place")))
+    # (a number is given because the rows are few bytes and many draws: sized by bytes they would share one task)
+    width = 4 * league.sparkSession.sparkContext.defaultParallelism
+    laid = laid.repartition(width, "game_id").withColumn("deal", F.explode(deals)).select("*", "deal.rep", F.col("deal.place").alias("_place"))
+    passed = F.size(F.filter("upto", lambda u: u <= F.col("_place")))
+    drawn = laid.withColumn("drawn", F.get("steps", passed))
     sign = F.when(F.col("is_home") == 1, 1.0).otherwise(-1.0)
     return drawn.groupBy("game_id", "rep").agg(
         F.sum(sign * (F.col("drawn") - F.col("points"))).alias("delta"), F.sum("drawn").alias("drawn"),
