@@ -21,6 +21,8 @@ BLOCK = 64
 #: Bytes of item text in one index; more text makes more indexes, each searched by all passages.
 SHARD_BYTES = 16 << 20
 END = 1 << 62
+#: Texts whose words are held at once.
+SLICE = 1000
 
 
 @dataclass(frozen=True)
@@ -249,7 +251,8 @@ def leaks(docs_text: Column, benchmark: DataFrame, *, threshold: float = 0.6, ov
         def searched(texts: pd.Series) -> pd.Series:
             return pd.Series([
                 [{"item_id": i, "score": s, "question": q, "answer": a} for i, s, q, a in found]
-                for found in _in_parts(index, word_hash_lists(list(texts)), threshold, overlap)
+                for lo in range(0, len(texts), SLICE)
+                for found in _in_parts(index, word_hash_lists(list(texts.iloc[lo : lo + SLICE])), threshold, overlap)
             ])
 
         return searched

@@ -25,6 +25,8 @@ from contestry.llm.graph import components
 
 #: Signature values compared before the posterior is looked at again.
 STEP = 16
+#: Texts whose shingles are held at once.
+SLICE = 500
 #: Shingle columns of a verification block held at once.
 COLUMNS = 1 << 15
 
@@ -113,9 +115,11 @@ def join_similar(
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_hashes(w, width) for w in word_hash_lists(list(batch["t"]))]
-            sigs = [signature(s, size).tobytes() if len(s) else b"" for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "sig": sigs, "n_sh": [len(s) for s in sets]})
+            for lo in range(0, len(batch), SLICE):
+                part = batch.iloc[lo : lo + SLICE]
+                sets = [shingle_hashes(w, width) for w in word_hash_lists(list(part["t"]))]
+                sigs = [signature(s, size).tobytes() if len(s) else b"" for s in sets]
+                yield pd.DataFrame({"id": part["id"], "key": part["key"], "sig": sigs, "n_sh": [len(s) for s in sets]})
 
     ided = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     signed = ided.select("id", "t", F.md5("t").alias("key")).mapInPandas(sign, "id long, key string, sig binary, n_sh int")
