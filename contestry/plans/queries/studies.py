@@ -24,7 +24,7 @@ from contestry.plans.queries.tables import overtime, rested, sequencing, shifts
 SPLITS, PERMUTATIONS, RESAMPLES, CONTRASTS = 200, 500, 2000, 20000
 #: Draws of the placement null. The study of record takes 2,000, over a hundred million ranked
 #: rows even at the smallest size; see the README for what that costs.
-NULL_DRAWS = 200
+NULL_DRAWS = 100
 #: Replicates per punt of the worst-bin table, and folds of the out-of-fold studies.
 BIN_REPLICATES, FOLDS = 200, 10
 
