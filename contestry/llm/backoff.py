@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from contestry.llm.common import mix, word_hash_lists
 
 #: Characters of text in a chunk, and words counted in a part of the table, on average.
-CHUNK_CHARS, PART_WORDS = 4 << 20, 1 << 19
+CHUNK_CHARS, PART_WORDS = 8 << 20, 1 << 19
 
 
 def _grams(lists: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -63,14 +63,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         lists = word_hash_lists(part["t"].tolist())
         _, before, ends = _grams(lists, order)
         chunk = int(part["chunk"].iloc[0])
-        out = [(chunk, 0, 0, np.zeros(1, np.int64), np.array([len(before)], np.int64))]
+        out = [(chunk, 0, 0, np.zeros(1, np.int64), np.array([len(before)], np.int32))]
         for k in range(order):
             u, n = np.unique(ends[k][before >= k], return_counts=True)
             p = _parts(u, parts)
             by = np.argsort(p, kind="stable")
             cuts = np.flatnonzero(np.diff(p[by])) + 1
             for at in np.split(by, cuts) if len(by) else []:
-                out.append((chunk, k + 1, int(p[at[0]]), u[at].view(np.int64), n[at]))
+                out.append((chunk, k + 1, int(p[at[0]]), u[at].view(np.int64), n[at].astype(np.int32)))
         return pd.DataFrame(out, columns=["chunk", "n", "part", "grams", "counts"])
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
             "log_score": np.bincount(where, weights=value, minlength=len(lists)).astype(float),
         })
 
-    asked = dealt.groupBy("chunk").applyInPandas(ask, "chunk int, n int, part int, grams array<bigint>, counts array<bigint>")
+    asked = dealt.groupBy("chunk").applyInPandas(ask, "chunk int, n int, part int, grams array<bigint>, counts array<int>")
     told = asked.groupBy("n", "part").applyInPandas(count, "chunk int, n int, part int, totals array<bigint>")
     done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(score, "id string, n_words bigint, n_backoff bigint, log_score double")
     return done.select(
