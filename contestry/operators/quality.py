@@ -65,27 +65,27 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
     off = (n != F.col("want"))
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("real").cast("double")) > 0.01
     empty = rows == 0
-    short_text = _fmt(f"%d game(s) under {C.MIN_PLAYS_PER_GAME} plays, e.g. %s with %d", F.col("short"),
+    short_text = _fmt(f"too short: %d contests under {C.MIN_PLAYS_PER_GAME} plays (the least is %s, %d)", F.col("short"),
                       F.col("shortest.game_id"), F.col("shortest.n_plays"))
     live = F.lit(partial)
     some = ~empty
     errors = _messages(
         (empty, F.lit("zero rows returned")),
-        (some & (F.col("wrong") > 0), _fmt(f"%d rows carry a season other than {season}", F.col("wrong"))),
+        (some & (F.col("wrong") > 0), _fmt(f"season other than {season} on %d of %d rows", F.col("wrong"), rows)),
         (some & off & ~(live & less), _fmt("%d games, expected %d", n, F.col("want"))),
         (some & (F.col("short") > 0) & ~live, short_text),
-        (some & (F.col("long") > 0), _fmt(f"%d game(s) over {C.MAX_PLAYS_PER_GAME} plays, e.g. %s with %d",
+        (some & (F.col("long") > 0), _fmt(f"too long: %d contests over {C.MAX_PLAYS_PER_GAME} plays (the most is %s, %d)",
                                           F.col("long"), F.col("longest.game_id"), F.col("longest.n_plays"))),
-        (some & (F.col("real") == 0), F.lit("no rows with a scoring-relevant play_type")),
-        (some & share("no_epa"), _fmt("epa null on %d of %d scoring-relevant plays", F.col("no_epa"), F.col("real"))),
-        (some & share("no_side"), _fmt("posteam null on %d of %d scoring-relevant plays", F.col("no_side"), F.col("real"))))
+        (some & (F.col("real") == 0), F.lit("not one row is a scored kind of play")),
+        (some & share("no_epa"), _fmt("epa null: %d of the %d scored plays", F.col("no_epa"), F.col("real"))),
+        (some & share("no_side"), _fmt("posteam null: %d of the %d scored plays", F.col("no_side"), F.col("real"))))
     warnings = _messages(
-        (some & live & less, _fmt("%d games so far, %d in a full season", n, F.col("want"))),
+        (some & live & less, _fmt("season so far: %d games, a full one has %d", n, F.col("want"))),
         (some & live & (F.col("short") > 0), short_text),
-        (some & (F.col("fumbles") == 0), F.lit("no fumbles found: fumble columns may have been renamed")),
+        (some & (F.col("fumbles") == 0), F.lit("no fumbles in any row, which no season has: look at the fumble columns")),
         (some & (F.try_divide(F.col("no_spread").cast("double"), rows.cast("double")) > 0.02),
-         _fmt("spread_line null on %d rows", F.col("no_spread"))),
-        (some & (F.col("no_dist") > 0), _fmt("kick_distance null on %d of %d field-goal attempts", F.col("no_dist"), F.col("fgs"))))
+         _fmt("spread_line missing: %d of %d rows", F.col("no_spread"), rows)),
+        (some & (F.col("no_dist") > 0), _fmt("kick_distance missing: %d of %d field goals tried", F.col("no_dist"), F.col("fgs"))))
     return total.select(F.lit("pbp").alias("dataset"), F.lit(season).alias("season"), rows.alias("n_rows"), n.alias("n_games"),
                         errors.alias("errors"), warnings.alias("warnings"))
 
@@ -111,10 +111,10 @@ def validate_charting(df: DataFrame, season: int, expected: int | None = None) -
     few = n < want * F.lit(0.95)
     errors = _messages(
         (~some, F.lit("zero rows returned")),
-        (some & (n > want), _fmt("%d games, more than the %d played", n, want)),
-        (some & few, _fmt("only %d games charted, expected about %d", n, want)),
-        (some & (F.col("dup") > 0), _fmt("%d duplicate play keys: the join would fan out", F.col("dup"))))
-    warnings = _messages((some & (n < want) & ~few, _fmt("%d games charted, %d played", n, want)))
+        (some & (n > want), _fmt("charted games exceed played games: %d against %d", n, want)),
+        (some & few, _fmt("charting covers too little: %d of about %d games", n, want)),
+        (some & (F.col("dup") > 0), _fmt("duplicate keys: %d plays are charted more than once", F.col("dup"))))
+    warnings = _messages((some & (n < want) & ~few, _fmt("charting is short: %d of %d games", n, want)))
     return total.select(F.lit("ftn").alias("dataset"), F.lit(season).alias("season"), "n_rows", "n_games",
                         errors.alias("errors"), warnings.alias("warnings"))
 
@@ -135,6 +135,13 @@ def weights_report(weights: DataFrame) -> DataFrame:
     return weights.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def pinned(measured: DataFrame, pins: dict[str, float], decimals: int = C.PIN_DECIMALS) -> DataFrame:
+    """Each measured field of a one-row frame beside its pin, and whether they agree at ``decimals``."""
+    rows = [F.struct(F.lit(k).alias("field"), F.col(k).alias("measured"), F.lit(float(v)).alias("pinned"),
+                     F.coalesce(F.round(k, decimals) == F.lit(float(v)), F.lit(False)).cast("int").alias("ok")) for k, v in pins.items()]
+    return measured.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def non_positive_yards(frame: DataFrame, limit: int = 5) -> DataFrame:
     bad = (F.col("yards_for") <= 0) | (F.col("yards_against") <= 0)
     return frame.filter(bad).select("game_id", "posteam", "yards_for", "yards_against").orderBy("game_id", "posteam").limit(limit)
@@ -181,13 +188,15 @@ def ledger_checks(ledger: DataFrame, population: DataFrame, component: str) -> D
         lost.agg(F.count(F.lit(1))).scalar().alias("lost"))
 
 
-def partition_residual(before: DataFrame, after: DataFrame, key: str, parts: list[str], total: str) -> DataFrame:
-    """Rows where the parts stop summing to the total, before or after a change."""
+def partition_residual(before: DataFrame, after: DataFrame, key: str, parts: list[str], total: str, line: float = 1e-9) -> DataFrame:
+    """How far the parts are from summing to the total, before and after a change, and whether
+    neither is further than ``line``: a flag, because a rounded report cannot show 1e-9."""
     def gap(df, name):
         s = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
         return df.select(key, F.abs(s - F.col(total)).alias(name))
     return gap(before, "before").join(gap(after, "after"), key).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("before").alias("max_before"), F.max("after").alias("max_after"))
+        F.count(F.lit(1)).alias("rows"), F.max("before").alias("max_before"), F.max("after").alias("max_after"),
+        (F.greatest(F.max("before"), F.max("after")) <= line).cast("int").alias("holds"))
 
 
 def played_guard(games: DataFrame, expected_seasons) -> DataFrame:

@@ -255,16 +255,23 @@ def paired_losses(a: DataFrame, b: DataFrame, key: str, label: str, margin: floa
 
 def boosted_out_of_fold(rows: DataFrame, features: Sequence[str], target: str, folds: int, key: Sequence[str],
                         rounds: int = 20) -> DataFrame:
-    """Out-of-fold gradient-boosted predictions; one distributed fit per fold."""
+    """Out-of-fold gradient-boosted predictions; one distributed fit per fold.
+
+    A missing feature is a flag of its own beside a filled value, so every row is learned from
+    and every row is scored: rows out are rows in.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(rows).persist()
+    flags = {f"_no_{c}": F.col(c).isNull().cast("double") for c in features}
+    filled = rows.withColumns(flags).withColumns({f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    inputs = [f"_in_{c}" for c in features] + list(flags)
+    vec = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error").transform(filled).persist()
     out = None
     for f in range(folds):
         model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, stepSize=0.1, maxDepth=5,
                              minInstancesPerNode=20, seed=f).fit(vec.filter(F.col("fold") != f))
-        part = model.transform(vec.filter(F.col("fold") == f)).withColumnRenamed("prediction", "predicted").drop("_x")
+        part = model.transform(vec.filter(F.col("fold") == f)).withColumnRenamed("prediction", "predicted").drop("_x", *inputs)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -220,7 +220,8 @@ def _parts(led):
     return led.groupBy("game_id").agg(part("fumble").alias("f"), part("blocked").alias("b"), part("field_goal").alias("g"), F.sum("luck_epa").alias("total"))
 
 
-@query("v14_partition_identity", "rows:i max_before:d max_after:d", f"""select count(*) as rows, max(abs(a.f + a.b + a.g - a.total)) as max_before, max(abs(z.f + z.b + z.g - z.total)) as max_after
+@query("v14_partition_identity", "rows:i max_before:d max_after:d holds:i", f"""select count(*) as rows, max(abs(a.f + a.b + a.g - a.total)) as max_before, max(abs(z.f + z.b + z.g - z.total)) as max_after,
+   cast(max(abs(a.f + a.b + a.g - a.total)) <= 1e-9 and max(abs(z.f + z.b + z.g - z.total)) <= 1e-9 as int) as holds
    from ({_PART.format('strict')}) a join ({_PART.format('ledger')}) z on z.game_id = a.game_id""", "strict ledger")
 def v14(t):
     return Q.partition_residual(_parts(t.strict), _parts(t.ledger), "game_id", ["f", "b", "g"], "total")

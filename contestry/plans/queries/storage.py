@@ -14,6 +14,7 @@ from contestry.operators import posterior as B
 from contestry.operators import quality as Q
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import modern
+from contestry.plans.queries.model import _PAIRS, _TRAIN, _fit_sql
 from contestry.session import ensure_checkpoint_dir
 from contestry.sources import seasons as S
 from contestry.streaming import readiness as R
@@ -196,9 +197,9 @@ def v01(t):
     return J.union_strict(reports).withColumns({"n_errors": F.size("errors"), "n_warnings": F.size("warnings")})
 
 
-@query("v02_soft_warnings", "warning:s", """select concat('spread_line null on ', cast(count_if(spread_line is null) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
-   union all select concat('kick_distance null on ', cast(count_if(kick_distance is null) as varchar), ' of ', cast(count(*) as varchar), ' field-goal attempts') from pbp where season = 2019 and play_type = 'field_goal' having count_if(kick_distance is null) > 0
-   union all select 'no fumbles found: fumble columns may have been renamed'""", "pbp")
+@query("v02_soft_warnings", "warning:s", """select concat('spread_line missing: ', cast(count_if(spread_line is null) as varchar), ' of ', cast(count(*) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
+   union all select concat('kick_distance missing: ', cast(count_if(kick_distance is null) as varchar), ' of ', cast(count(*) as varchar), ' field goals tried') from pbp where season = 2019 and play_type = 'field_goal' having count_if(kick_distance is null) > 0
+   union all select 'no fumbles in any row, which no season has: look at the fumble columns'""", "pbp")
 def v02(t):
     df = t.pbp.filter("season = 2019").withColumn("fumble", F.lit(0))
     return Q.validate_plays(df, 2019).select(F.explode("warnings").alias("warning"))
@@ -221,15 +222,18 @@ def v04(t):
     return t.schedule.groupBy("season").agg(F.count(F.lit(1)).alias("n")).withColumn("expected", Q.expected_games())
 
 
-@query("v05_weights_pins", "field:s ok:i")
+_PINS = {"intercept": ("p.b_0", C.WEIGHTS_PIN[0]), "own_success_rate_for": ("p.b_a", C.WEIGHTS_PIN[1]), "own_ypp_for": ("p.b_b", C.WEIGHTS_PIN[2]), "margin_sd": ("q.margin_sd", C.MARGIN_SD_PIN)}
+
+
+@query("v05_weights_pins", "field:s measured:d pinned:d ok:i",
+       f"""with p as ({_fit_sql(_TRAIN, "points_for", "own_success_rate_for", "own_ypp_for")}), q as ({_fit_sql(_PAIRS, "result", "rate_diff", "ypp_diff")})
+           select *, cast(round(measured, 3) = pinned as int) as ok from ({" union all ".join(f"select '{k}' as field, {m} as measured, {v!r} as pinned from p, q" for k, (m, v) in _PINS.items())})""", "frame")
 def v05(t):
-    """The refit's own weights against the pins: measured from the plays, not from a file."""
-    fit = B.points_fit(t.frame)
-    refit = fit.select(
-        F.array(*[F.lit(c) for c in C.WEIGHT_COLUMNS]).alias("columns"), F.array("b_0", "b_a", "b_b").alias("mean"),
-        F.sqrt("sigma2").alias("margin_sd"), F.lit(C.SIGMA_OF_RECORD).alias("sigma_once"), F.lit(C.DRAWS_OF_RECORD).alias("n_draws"),
-        F.lit(C.SEED_OF_RECORD).alias("seed"), F.lit(C.ARM_OF_RECORD).alias("arm"))
-    return Q.weights_report(refit)
+    """The refit's own numbers against the pins: weights from the points fit, the residual SD
+    from the margin fit, all measured from the plays."""
+    sd = B.margin_fit(t.frame).select("margin_sd").scalar()
+    fit = B.points_fit(t.frame).select(F.col("b_0").alias("intercept"), F.col("b_a").alias("own_success_rate_for"), F.col("b_b").alias("own_ypp_for"), sd.alias("margin_sd"))
+    return Q.pinned(fit, {k: v for k, (_, v) in _PINS.items()})
 
 
 @query("v06_cardinality", "rows:i keys:i repeated:i", "select sum(c) as rows, count(*) as keys, count_if(c > 1) as repeated from (select game_id, play_id, count(*) as c from pbp group by all)", "pbp")
