@@ -41,11 +41,24 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
     missing = [c for c in C.PLAY_REQUIRED if c not in df.columns]
     if missing:
         return _stopped(df, "pbp", season, missing)
+    return _plays_report(df, F.lit(season), [], partial, expected)
+
+
+def validate_all(df: DataFrame, season_on_file: str, partial: bool = False) -> DataFrame:
+    """One report row for each season on file, from one grouped pass; ``season_on_file`` names
+    the column that says under which season a row is stored."""
+    missing = [c for c in C.PLAY_REQUIRED if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {', '.join(missing)}")
+    return _plays_report(df, F.col(season_on_file), [season_on_file], partial, None)
+
+
+def _plays_report(df: DataFrame, season: Column, by: list[str], partial: bool, expected: int | None) -> DataFrame:
     real = F.col("play_type").isin(*C.SCORING_PLAY_TYPES)
     fg = F.col("play_type") == "field_goal"
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     # per contest first: a partial aggregate, so a heavy contest is combined map-side
-    per_game = df.groupBy("game_id").agg(
+    per_game = df.groupBy(*by, "game_id").agg(
         F.count(F.lit(1)).alias("n_plays"), count(F.col("season") != season).alias("wrong"),
         count(real).alias("real"), count(real & F.col("epa").isNull()).alias("no_epa"),
         count(real & F.col("posteam").isNull()).alias("no_side"), count(F.col("fumble") == 1).alias("fumbles"),
@@ -54,11 +67,11 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
     sums = ["n_plays", "wrong", "real", "no_epa", "no_side", "fumbles", "no_spread", "fgs", "no_dist"]
     short, long = F.col("n_plays") < C.MIN_PLAYS_PER_GAME, F.col("n_plays") > C.MAX_PLAYS_PER_GAME
     worst = F.struct("n_plays", "game_id")
-    total = per_game.agg(
+    total = per_game.groupBy(*by).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count(F.lit(1)).alias("n_games"),
         F.count_if(short).alias("short"), F.count_if(long).alias("long"),
         F.min(F.when(short, worst)).alias("shortest"), F.max(F.when(long, worst)).alias("longest"))
-    want = F.lit(expected) if expected is not None else expected_games(F.lit(season))
+    want = F.lit(expected) if expected is not None else expected_games(season)
     total = total.withColumn("want", want)
     n, rows = F.col("n_games"), F.col("n_plays")
     less = n < F.col("want")
@@ -71,7 +84,7 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
     some = ~empty
     errors = _messages(
         (empty, F.lit("zero rows returned")),
-        (some & (F.col("wrong") > 0), _fmt(f"season other than {season} on %d of %d rows", F.col("wrong"), rows)),
+        (some & (F.col("wrong") > 0), _fmt("season other than %d on %d of %d rows", season, F.col("wrong"), rows)),
         (some & off & ~(live & less), _fmt("%d games, expected %d", n, F.col("want"))),
         (some & (F.col("short") > 0) & ~live, short_text),
         (some & (F.col("long") > 0), _fmt(f"too long: %d contests over {C.MAX_PLAYS_PER_GAME} plays (the most is %s, %d)",
@@ -86,7 +99,7 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
         (some & (F.try_divide(F.col("no_spread").cast("double"), rows.cast("double")) > 0.02),
          _fmt("spread_line missing: %d of %d rows", F.col("no_spread"), rows)),
         (some & (F.col("no_dist") > 0), _fmt("kick_distance missing: %d of %d field goals tried", F.col("no_dist"), F.col("fgs"))))
-    return total.select(F.lit("pbp").alias("dataset"), F.lit(season).alias("season"), rows.alias("n_rows"), n.alias("n_games"),
+    return total.select(F.lit("pbp").alias("dataset"), season.cast("int").alias("season"), rows.alias("n_rows"), n.alias("n_games"),
                         errors.alias("errors"), warnings.alias("warnings"))
 
 

@@ -185,16 +185,26 @@ def s15(t):
 # --- validation -----------------------------------------------------------------------------
 
 
-@query("v01_validate_season", "season:i n_rows:i n_games:i n_errors:i n_warnings:i", """select season, count(*) as n_rows, count(distinct game_id) as n_games,
-    2 + max(short) + cast(sum(ne) * 1.0 / sum(re) > 0.01 as int) as n_errors, 1 + cast(sum(ns) * 1.0 / count(*) > 0.02 as int) as n_warnings
-   from (select *, cast(play_type in ('pass','run','punt','field_goal','extra_point','kickoff') as int) as re,
-     cast(play_type in ('pass','run','punt','field_goal','extra_point','kickoff') and epa is null as int) as ne, cast(spread_line is null as int) as ns,
-     cast(count(*) over (partition by game_id) < 90 as int) as short from pbp where season in (2017, 2021)) group by season""", "pbp")
+@query("v01_validate_season", "season:i n_rows:i n_games:i errors:s warnings:s", """with x as (select *, case when week = 1 then season + 1 else season end as told,
+     play_type in ('pass','run','punt','field_goal','extra_point','kickoff') as re, play_type = 'field_goal' as fg from pbp),
+   g as (select season, game_id, count(*) as n, count_if(told <> season) as wrong, count_if(re) as re, count_if(re and epa is null) as ne, count_if(re and posteam is null) as np,
+     count_if(fumble = 1) as fu, count_if(spread_line is null) as ns, count_if(fg) as fg, count_if(fg and kick_distance is null) as nd from x group by all),
+   t as (select season, sum(n) as n, count(*) as games, sum(wrong) as wrong, sum(re) as re, sum(ne) as ne, sum(np) as np, sum(fu) as fu, sum(ns) as ns, sum(fg) as fg, sum(nd) as nd,
+     count_if(n < 90) as short, min(struct_pack(a := n, b := game_id)) filter (n < 90) as least, count_if(n > 300) as long, max(struct_pack(a := n, b := game_id)) filter (n > 300) as most,
+     case when season < 2021 then 256 else 272 end + case when season < 2020 then 11 else 13 end - case when season = 2022 then 1 else 0 end as want from g group by season)
+   select season, n as n_rows, games as n_games, concat_ws(' | ', case when wrong > 0 then printf('season other than %d on %d of %d rows', season, wrong::bigint, n::bigint) end,
+     case when games <> want then printf('%d games, expected %d', games, want) end,
+     case when short > 0 then printf('too short: %d contests under 90 plays (the least is %s, %d)', short::bigint, least.b, least.a) end,
+     case when long > 0 then printf('too long: %d contests over 300 plays (the most is %s, %d)', long::bigint, most.b, most.a) end,
+     case when ne::double / re > 0.01 then printf('epa null: %d of the %d scored plays', ne::bigint, re::bigint) end,
+     case when np::double / re > 0.01 then printf('posteam null: %d of the %d scored plays', np::bigint, re::bigint) end) as errors,
+    concat_ws(' | ', case when fu = 0 then 'no fumbles in any row, which no season has: look at the fumble columns' end,
+     case when ns::double / n > 0.02 then printf('spread_line missing: %d of %d rows', ns::bigint, n::bigint) end,
+     case when nd > 0 then printf('kick_distance missing: %d of %d field goals tried', nd::bigint, fg::bigint) end) as warnings from t""", "pbp")
 def v01(t):
-    # both seasons hold far fewer contests than a full one and rows of the other season
-    reports = [Q.validate_plays(t.pbp.filter(F.col("season") == s).withColumn("season", F.when(F.col("week") == 1, s + 1).otherwise(F.col("season"))), s)
-               for s in (2017, 2021)]
-    return J.union_strict(reports).withColumns({"n_errors": F.size("errors"), "n_warnings": F.size("warnings")})
+    """Every season on file, the first week's rows carrying the next season by mistake."""
+    rows = t.pbp.withColumn("on_file", F.col("season")).withColumn("season", F.when(F.col("week") == 1, F.col("season") + 1).otherwise(F.col("season")))
+    return Q.validate_all(rows, "on_file").withColumns({c: F.concat_ws(" | ", c) for c in ("errors", "warnings")})
 
 
 @query("v02_soft_warnings", "warning:s", """select concat('spread_line missing: ', cast(count_if(spread_line is null) as varchar), ' of ', cast(count(*) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
