@@ -133,18 +133,22 @@ def plug_in_table(frame: DataFrame, scores: DataFrame, weights: dict | None = No
 def score_games(
     plays: DataFrame, scores: DataFrame, game_ids: DataFrame | list[str] | None = None,
     n_draws: int = C.DRAWS_OF_RECORD, seed: int = C.SEED_OF_RECORD, weights: dict | None = None,
-    sigma: float = C.SIGMA_OF_RECORD, frame: DataFrame | None = None,
+    sigma: float = C.SIGMA_OF_RECORD, frame: DataFrame | None = None, place: str | None = None,
 ) -> DataFrame:
-    """One 29-column row per asked contest; an id without rows is an error naming it."""
+    """One 29-column row per asked contest, in the order of asking, an id asked twice once; an
+    id without rows is an error naming it. ``place`` names a column for the order."""
     frame = frame if frame is not None else team_games_of_record(plays, scores)
     table = plug_in_table(frame, scores, weights)
     if game_ids is not None:
         table = _asked(table, game_ids)
     # the whole table goes through the draws: no second reading of the plays, no join back
     post = table.withColumns({f"{s}_{side[0]}": F.col(f"{side}_{s}") for side in ("home", "away") for s in _STATS})
-    scored = draw_summaries(post, n_draws, seed, sigma, weights, keep=table.columns)
+    scored = draw_summaries(post, n_draws, seed, sigma, weights, keep=table.columns)  # the place too, where there is one
     out = scored.select(*C.SCORE_COLUMNS, *([_PLACE] if game_ids is not None else []))
-    return out.orderBy(_PLACE).drop(_PLACE) if game_ids is not None else out
+    if game_ids is None:
+        return out
+    placed = out.orderBy(_PLACE)
+    return placed.withColumnRenamed(_PLACE, place) if place else placed.drop(_PLACE)
 
 
 _PLACE = "_place"

@@ -283,16 +283,6 @@ def _posterior_rows(t):
                                           for s in ("home", "away") for c in ("k", "n", "y_mean", "y_sd", "n_y")])
 
 
-@query("m02_margin_draws", "game_id:s margin_mean:d margin_lo:d margin_hi:d margin_var:d")
-def m02(t):
-    return D.draw_summaries(_posterior_rows(t))
-
-
-@query("m03_home_share", "game_id:s p_home:d margin_mean:d margin_lo:d margin_hi:d margin_var:d")
-def m03(t):
-    return D.draw_summaries(_posterior_rows(t))
-
-
 @query("m03_expected_margin", "game_id:s margin_mean:d margin_var:d",
        f"""select v.game_id, v.margin_var, {_B[1]!r} * ((home_k+1)/(home_n+2.0) - (away_k+1)/(away_n+2.0)) + {_B[2]!r} * (home_y_mean - away_y_mean) as margin_mean
            from ({_VAR}) v join deserved d on d.game_id = v.game_id""", "deserved")
@@ -303,6 +293,51 @@ def m03_closed(t):
                         + F.lit(_B[2]) * (F.col("y_mean_h") - F.col("y_mean_a")))
 
 
+_CLOSED = f"""select v.game_id, v.margin_var as closed_var, {_B[1]!r} * ((home_k+1)/(home_n+2.0) - (away_k+1)/(away_n+2.0)) + {_B[2]!r} * (home_y_mean - away_y_mean) as closed_mean
+           from ({_VAR}) v join deserved d on d.game_id = v.game_id"""
+_SIGMA = C.SIGMA_OF_RECORD
+
+
+def _closed(t):
+    """What the draws of a contest must come to: exact mean and variance of its margin, and the
+    share and interval that a normal margin of that mean and variance has."""
+    v = m03_closed(t).select("game_id", F.col("margin_mean").alias("closed_mean"), F.col("margin_var").alias("closed_var"))
+    at = lambda z: normal_cdf((F.col("closed_mean") + F.lit(z) * F.sqrt("closed_var")) / F.lit(_SIGMA))
+    share = normal_cdf(F.col("closed_mean") / F.sqrt(F.lit(_SIGMA * _SIGMA) + F.col("closed_var")))
+    return v.withColumns({"closed_share": share, "closed_lo": at(-_Z89), "closed_hi": at(_Z89)})
+
+
+#: Standard deviations to either end of an 89% interval.
+_Z89 = 1.5981931399228173
+_NORMAL = f"""select *, {phi(f'closed_mean / sqrt({_SIGMA!r} * {_SIGMA!r} + closed_var)')} as closed_share, {phi(f'(closed_mean - {_Z89!r} * sqrt(closed_var)) / {_SIGMA!r}')} as closed_lo,
+   {phi(f'(closed_mean + {_Z89!r} * sqrt(closed_var)) / {_SIGMA!r}')} as closed_hi from ({_CLOSED})"""
+
+
+def _near(a, b, line):
+    return (F.abs(F.col(a) - F.col(b)) <= line).cast("int")
+
+
+def _drawn(t):
+    return D.draw_summaries(_posterior_rows(t)).join(_closed(t), "game_id")
+
+
+@query("m02_margin_draws", "game_id:s closed_mean:d closed_var:d mean_ok:i var_ok:i ends_ok:i", f"select game_id, closed_mean, closed_var, 1 as mean_ok, 1 as var_ok, 1 as ends_ok from ({_CLOSED})", "deserved")
+def m02(t):
+    """The draws' mean within six standard errors of the exact one, their variance within a
+    twentieth, their ends within a fifth of a standard deviation of a normal margin's."""
+    sd = F.sqrt("closed_var")
+    ends = (F.abs(F.col("margin_lo") - F.col("closed_mean") + F.lit(_Z89) * sd) <= 0.2 * sd) & (F.abs(F.col("margin_hi") - F.col("closed_mean") - F.lit(_Z89) * sd) <= 0.2 * sd)
+    return _drawn(t).withColumns({
+        "mean_ok": _near("margin_mean", "closed_mean", 6.0 * sd / F.sqrt(F.lit(float(C.DRAWS_OF_RECORD)))),
+        "var_ok": _near("margin_var", "closed_var", 0.05 * F.col("closed_var")), "ends_ok": ends.cast("int")})
+
+
+@query("m03_home_share", "game_id:s closed_share:d share_ok:i", f"select game_id, closed_share, 1 as share_ok from ({_NORMAL})", "deserved")
+def m03(t):
+    """The share over the draws within a hundredth of a normal margin's."""
+    return _drawn(t).withColumn("share_ok", _near("p_home", "closed_share", 0.01))
+
+
 @query("m04_points_draws", "game_id:s home_points:d away_points:d gap_ok:i")
 def m04(t):
     d = D.draw_summaries(_posterior_rows(t), sides=True)
@@ -316,18 +351,29 @@ def m05(t):
     return d.withColumn("gap_ok", (F.col("shares_gap") <= C.SIDES_TOLERANCE).cast("int"))
 
 
-@query("m06_share_interval", "game_id:s p_lo:d p_hi:d")
+@query("m06_share_interval", "game_id:s closed_lo:d closed_hi:d ends_ok:i", f"select game_id, closed_lo, closed_hi, 1 as ends_ok from ({_NORMAL})", "deserved")
 def m06(t):
-    return D.draw_summaries(_posterior_rows(t))
+    """Both ends of the draws' share interval within two hundredths of a normal margin's."""
+    return _drawn(t).withColumn("ends_ok", _near("p_lo", "closed_lo", 0.02) * _near("p_hi", "closed_hi", 0.02))
 
 
 _SCORE = " ".join(f"{c}:{'s' if c in ('game_id', 'home', 'away') else 'i' if c in ('season', 'week', 'home_score', 'away_score') or c.endswith(('_k', '_n', '_n_y')) else 'd'}"
-                  for c in C.SCORE_COLUMNS)
+                  for c in C.SCORE_COLUMNS if c != "p_home")
 
 
-@query("m07_score_games", _SCORE)
+@query("m07_score_games", f"{_SCORE} closed_share:d share_ok:i", f"select d.*, home_n_y as home_plays, away_n_y as away_plays, home_y_mean as home_ypp, away_y_mean as away_ypp, closed_share, 1 as share_ok from deserved d join ({_NORMAL}) n on n.game_id = d.game_id", "deserved")
 def m07(t):
-    return D.score_games(t.plays, t.scores, frame=t.frame)
+    """All columns of the score table; the share itself as a flag beside its closed form."""
+    scored = D.score_games(t.plays, t.scores, frame=t.frame)
+    return scored.join(_closed(t).select("game_id", "closed_share"), "game_id").withColumn("share_ok", _near("p_home", "closed_share", 0.01))
+
+
+@query("m07_asked_ids", "place:i game_id:s home_deserved:d", """select row_number() over (order by season desc, game_id) - 1 as place, game_id, home_deserved from deserved where season >= 2024""", "deserved")
+def m07_asked(t):
+    """Contests in the order asked for, the first mention of each; the table's own rows."""
+    wanted = t.deserved.filter("season >= 2024").select("season", "game_id").orderBy(F.desc("season"), "game_id").collect()  # a request: ids of two seasons
+    ids = [r.game_id for r in wanted]
+    return D.score_games(t.plays, t.scores, [*ids, *ids[:3]], n_draws=200, frame=t.frame, place="place")
 
 
 @query("m07_plug_in_scores", "game_id:s season:i week:i home:s away:s home_score:i away_score:i home_deserved:d away_deserved:d "
