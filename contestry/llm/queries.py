@@ -88,6 +88,20 @@ def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP4_SQL = """
+with recursive good as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as u, b.vec_id as v from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) >= 0.93),
+reach as (select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v),
+least as (select e.vec_id, least(e.vec_id, coalesce((select min(v) from reach where u = e.vec_id), e.vec_id)) as component_id from embeddings e)
+select vec_id, (select count(*) from links where u = vec_id) as n_links, component_id, vec_id = component_id as kept from least
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = held_out(4, 2)
@@ -170,6 +184,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op3_backoff_lm": OP3_SQL,
+    "op4_pivot_index": OP4_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_chat": OP10_SQL,
 }
