@@ -156,6 +156,10 @@ def m09_games(t):
     return t.edition_b
 
 
+#: Replicates of the replayed win share and of the expected clip.
+REPLAYS = 2000
+
+
 def _u(prefix: str) -> str:
     return f"cast('0x' || substr(md5({prefix}), 1, 13) as bigint) / 4503599627370496e0"
 
@@ -172,7 +176,7 @@ _Z = f"""sqrt(-2e0 * ln(greatest({_u(f"concat('rate:0:', rep, ':', {_EVENT})")},
    s as (select game_id, rep, sum(m) as luck from c group by all)
    select s.game_id, avg(case when round(margin - luck, 9) > 0 then 1e0 else 0e0 end) as dtw_home, avg(margin - luck) as deserved_mean from s join games g on g.game_id = s.game_id where margin is not null group by s.game_id""", "ledger games")
 def m10(t):
-    return L.replicate_share(t.ledger, t.games, 20)
+    return L.replicate_share(t.ledger, t.games, REPLAYS)
 
 
 shared("driven", "ledger pbp", """select l.*, p.fixed_drive, p.qtr, p.posteam, coalesce(cast(cast(p.fixed_drive as bigint) as varchar), concat('no-drive:', cast(cast(l.play_id as bigint) as varchar))) as drive_key
@@ -202,7 +206,7 @@ def f52(t):
    select game_id, drive_key, avg(-x) as cap_row_epa, avg(abs(x)) as expected_abs_clip_epa, max(cast(abs(x) > 1e-9 as int)) as clipped from e group by all""", "driven luck_drives")
 def m11(t):
     driven = L.with_drive_key(t.ledger, t.pbp)
-    return L.expected_clip(driven, t.luck_drives, 20).withColumn("clipped", (F.col("expected_abs_clip_epa") > 1e-9).cast("int"))
+    return L.expected_clip(driven, t.luck_drives, REPLAYS).withColumnRenamed("clipped_in_the_draw", "clipped")
 
 
 @query("v13_ledger_checks", "component:s rows:i expected:d actual:d duplicates:i lost:i", """select 'blocked' as component, count(*) as rows, sum(expected) as expected, sum(actual) as actual,
