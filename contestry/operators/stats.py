@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.columns import ln_gamma, ratio
+from contestry.session import ensure_checkpoint_dir
 
 
 def counts(rows: DataFrame, keys: Sequence[str], success: Column) -> DataFrame:
@@ -267,6 +268,7 @@ def boosted_out_of_fold(rows: DataFrame, features: Sequence[str], target: str, f
     filled = rows.withColumns(flags).withColumns({f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
     inputs = [f"_in_{c}" for c in features] + list(flags)
     vec = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error").transform(filled).persist()
+    ensure_checkpoint_dir(rows.sparkSession)  # else the residuals' lineage grows with the rounds
     out = None
     for f in range(folds):
         model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, stepSize=0.1, maxDepth=5,

@@ -11,7 +11,7 @@ from contestry.operators import placement as PL
 from contestry.operators import resample as RS
 from contestry.operators import stats as ST
 from contestry.operators import windows as WN
-from contestry.operators.joins import extremes
+from contestry.operators.joins import extremes, union_strict
 from contestry.operators.ranking import quantile_row
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import shared
@@ -27,6 +27,11 @@ SPLITS, PERMUTATIONS, RESAMPLES, CONTRASTS = 200, 500, 2000, 20000
 NULL_DRAWS = 100
 #: Replicates per punt of the worst-bin table, and folds of the out-of-fold studies.
 BIN_REPLICATES, FOLDS = 200, 10
+#: Boosting rounds, and the nested feature sets that they are run on.
+ROUNDS = 200
+_ADVANCE = ("depth", "start_yardline_100", "scrimmage_plays")
+_PRODUCTION = (*_ADVANCE, "explosive_plays", "max_gain", "first_downs", "penalty_aid_yards")
+FEATURE_SETS = {"F1_depth": ("depth",), "F2_advance": _ADVANCE, "F3_production": _PRODUCTION, "F4_yardage": (*_PRODUCTION, "net_yards")}
 
 
 def _u(parts: str) -> str:
@@ -129,10 +134,13 @@ def a21(t):
     return DR.out_of_fold_means(folded(t), "depth_bin", "points", "fold")
 
 
-@query("a22_boosted_out_of_fold", "sd_observed:d sd_modelled:d retention:d")
+@query("a22_boosted_out_of_fold", "features:s sd_observed:d sd_modelled:d retention:d")
 def a22(t):
-    rows = DR.fold_by_hash(t.drives.filter("resampled = 1").withColumn("drive_no", F.col("fixed_drive").cast("long")), ["game_id", "drive_no"], 2)
-    return DR.spread_retention(ST.boosted_out_of_fold(rows, ["depth", "scrimmage_plays", "max_gain"], "points", 2, ["game_id", "drive_no"], rounds=5))
+    """One row per nested feature set: the same learner and folds, more information each time."""
+    rows = folded(t).persist()
+    parts = [DR.spread_retention(ST.boosted_out_of_fold(rows, columns, "points", FOLDS, ["game_id", "drive_no"], rounds=ROUNDS)).withColumn("features", F.lit(name))
+             for name, columns in FEATURE_SETS.items()]
+    return union_strict(parts)
 
 
 @query("a26_spearman_brown", "season:i r:d reliability:d", "select season, r, 2 * r / (1 + r) as reliability from (select season, corr(success_rate_for, success_rate_against) as r from frame group by season)", "frame")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from contestry.operators import stats
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +27,16 @@ def test_replays_run_at_two_thousand(spark, name):
     sql = entry.oracle_sql()[name].replace("generate_series(0, 19)", "generate_series(0, 1999)")
     got = sorted(map(repr, map(tuple, df.select(*cols).collect())))
     assert got and got == sorted(map(repr, answers(f"select {', '.join(cols)} from ({sql})")))
+
+
+def test_boosting_runs_every_set_at_the_counts_of_record(spark, monkeypatch):
+    calls = []
+
+    def spy(rows, features, target, folds, key, rounds=20):
+        calls.append((len(features), folds, rounds))
+        return rows.withColumn("predicted", F.col(target) / 2)
+
+    monkeypatch.setattr(stats, "boosted_out_of_fold", spy)
+    rows = entry.queries()["a22_boosted_out_of_fold"](spark, SF).collect()
+    assert calls == [(1, 10, 200), (3, 10, 200), (7, 10, 200), (8, 10, 200)]
+    assert sorted(r.features for r in rows) == ["F1_depth", "F2_advance", "F3_production", "F4_yardage"]
