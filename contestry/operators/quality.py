@@ -115,11 +115,24 @@ def validate_charting(df: DataFrame, season: int, expected: int | None = None) -
     missing = [c for c in C.CHARTING_REQUIRED if c not in df.columns]
     if missing:
         return _stopped(df, "ftn", season, missing)
-    keys = df.groupBy("nflverse_game_id", "nflverse_play_id").agg(F.count(F.lit(1)).alias("c"))
-    per = keys.groupBy("nflverse_game_id").agg(F.sum("c").alias("rows"), F.count_if(F.col("c") > 1).alias("dup"))
-    total = per.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_games"),
+    return _charting_report(df, F.lit(season), [], F.lit(expected) if expected is not None else None)
+
+
+def validate_all_charting(df: DataFrame, season_on_file: str, expected: Column | None = None) -> DataFrame:
+    """One report row for each season on file, from one grouped pass; ``expected`` may be an
+    expression over the season's ``n_games``."""
+    missing = [c for c in C.CHARTING_REQUIRED if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {', '.join(missing)}")
+    return _charting_report(df, F.col(season_on_file), [season_on_file], expected)
+
+
+def _charting_report(df: DataFrame, season: Column, by: list[str], expected: Column | None) -> DataFrame:
+    keys = df.groupBy(*by, "nflverse_game_id", "nflverse_play_id").agg(F.count(F.lit(1)).alias("c"))
+    per = keys.groupBy(*by, "nflverse_game_id").agg(F.sum("c").alias("rows"), F.count_if(F.col("c") > 1).alias("dup"))
+    total = per.groupBy(*by).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_games"),
                     F.coalesce(F.sum("dup"), F.lit(0)).alias("dup"))
-    total = total.withColumn("want", F.lit(expected) if expected is not None else expected_games(F.lit(season)))
+    total = total.withColumn("want", expected if expected is not None else expected_games(season))
     n, want, some = F.col("n_games"), F.col("want"), F.col("n_rows") > 0
     few = n < want * F.lit(0.95)
     errors = _messages(
@@ -128,7 +141,7 @@ def validate_charting(df: DataFrame, season: int, expected: int | None = None) -
         (some & few, _fmt("charting covers too little: %d of about %d games", n, want)),
         (some & (F.col("dup") > 0), _fmt("duplicate keys: %d plays are charted more than once", F.col("dup"))))
     warnings = _messages((some & (n < want) & ~few, _fmt("charting is short: %d of %d games", n, want)))
-    return total.select(F.lit("ftn").alias("dataset"), F.lit(season).alias("season"), "n_rows", "n_games",
+    return total.select(F.lit("ftn").alias("dataset"), season.cast("int").alias("season"), "n_rows", "n_games",
                         errors.alias("errors"), warnings.alias("warnings"))
 
 

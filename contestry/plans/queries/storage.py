@@ -88,46 +88,57 @@ _LONG_PLAYS = "select * from pbp where season = 2018"
 _NEED = [c for c in C.PLAY_REQUIRED]
 
 
-@query("s07_ingest_season", "season:i n:i contests:i", "select season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2018 and game_id in (select game_id from pbp group by 1 having count(*) >= 90) group by season", "pbp")
+@query("s07_ingest_season", "season:i n:i contests:i accepted:i messages:s", "select season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2018 and game_id in (select game_id from pbp group by 1 having count(*) >= 90) group by season", "pbp")
 def s07(t):
-    df = _clean_season(t, 2018)
-    root = scratch(t, "ingest")
-    S.ingest_season(df, root, "pbp", 2018, expected=_contests(df))
-    out = S.load_seasons(t.spark, root, "pbp", [2018])
-    per = out.groupBy("season", "game_id").agg(F.count(F.lit(1)).alias("n"))
+    root, told = _gated(t, "ingest", lambda df, root, season: S.ingest_season(df, root, "pbp", season))
+    return told.join(_kept(t, root, told), "season", "left").fillna(0, ["n", "contests"])
+
+
+def _gated(t, name: str, ingest):
+    """Every season on file, as it is, through the gate: the folder, and a row a season that
+    says whether it was taken and what the gate said."""
+    root, told = scratch(t, name), []
+    rows = t.pbp.select(*_NEED, "play_id")
+    for season in sorted(r.season for r in rows.select("season").distinct().collect()):
+        try:
+            report = ingest(rows.filter(F.col("season") == season), root, season).first()
+            told.append((season, 1, " | ".join(report.warnings)))
+        except S.SeasonRefused as refusal:
+            told.append((season, 0, str(refusal)))
+    return root, t.spark.createDataFrame(told, "season int, accepted int, messages string")
+
+
+def _kept(t, root: str, told):
+    """Rows and contests of the seasons that were taken."""
+    stored = S.load_if_cached(t.spark, root, "pbp", [r.season for r in told.filter("accepted = 1").collect()])
+    if stored is None:
+        return t.spark.createDataFrame([], "season int, n long, contests long")
+    per = stored.groupBy("season", "game_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("season").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contests"))
 
 
-def _clean_season(t, season: int):
-    """A season as the validator wants it: real values filled, short contests left out."""
-    full = t.pbp.groupBy("game_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= C.MIN_PLAYS_PER_GAME)
-    df = t.pbp.filter(F.col("season") == season).join(full, "game_id", "left_semi")
-    return df.withColumns({"epa": F.coalesce("epa", F.lit(0.0)), "kick_distance": F.coalesce("kick_distance", F.lit(0.0))}).select(
-        *[c for c in _NEED], "play_id")
+def _pulled_twice(first: int):
+    """A live season's early weeks, then all of it; the last pull says what was taken."""
+    def ingest(df, root, season):
+        try:
+            S.ingest_live(df.filter(F.col("week") <= first), root, season)
+        except S.SeasonRefused:
+            pass  # the whole season is pulled and judged all the same
+        return S.ingest_live(df, root, season)
+    return ingest
 
 
-def _contests(df) -> int:
-    return df.groupBy("game_id").agg(F.count(F.lit(1))).count()
-
-
-@query("s08_live_season", "season:i n:i contests:i", "select 2025 as season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
+@query("s08_live_season", "season:i n:i contests:i accepted:i messages:s", "select 2025 as season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
 def s08(t):
-    root = scratch(t, "live")
-    df = _clean_season(t, 2025)
-    S.ingest_live(df.filter("week <= 2"), root, 2025, expected=10_000_000)
-    S.ingest_live(df, root, 2025, expected=10_000_000)
-    per = S.load_seasons(t.spark, root, "pbp", [2025]).groupBy("season", "game_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("season").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contests"))
+    root, told = _gated(t, "live", _pulled_twice(2))
+    return told.join(_kept(t, root, told), "season", "left").fillna(0, ["n", "contests"])
 
 
-@query("s09_manifest", "dataset:s season:i partial:i n_rows:i n_games:i", "select 'pbp' as dataset, 2025 as season, 1 as partial, count(*) as n_rows, count(distinct game_id) as n_games from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
+@query("s09_manifest", "dataset:s season:i partial:i n_rows:i n_games:i accepted:i messages:s", "select 'pbp' as dataset, 2025 as season, 1 as partial, count(*) as n_rows, count(distinct game_id) as n_games from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
 def s09(t):
-    root = scratch(t, "manifest")
-    df = _clean_season(t, 2025)
-    S.ingest_live(df.filter("week <= 1"), root, 2025, expected=10_000_000)
-    S.ingest_live(df, root, 2025, expected=10_000_000)
-    assert S.is_cached(t.spark, root, "pbp", 2025) and not S.is_cached(t.spark, root, "pbp", 2024)
-    return S.read_manifest(t.spark, root).withColumn("partial", F.col("partial").cast("int"))
+    root, told = _gated(t, "manifest", _pulled_twice(1))
+    listed = S.read_manifest(t.spark, root).withColumn("partial", F.col("partial").cast("int"))
+    return told.join(listed.select("dataset", "season", "partial", "n_rows", "n_games"), "season", "left")
 
 
 @query("s10_drift_report", "finding:s files:i", """select 'missing from cache' as finding, count(distinct season) as files from schedule where season = 2019 union all
@@ -212,22 +223,23 @@ def v01(t):
     return Q.validate_all(rows, "on_file").withColumns({c: F.concat_ws(" | ", c) for c in ("errors", "warnings")})
 
 
-@query("v02_soft_warnings", "warning:s", """select concat('spread_line missing: ', cast(count_if(spread_line is null) as varchar), ' of ', cast(count(*) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
+@query("v02_soft_warnings", "season:i warning:s", """select concat('spread_line missing: ', cast(count_if(spread_line is null) as varchar), ' of ', cast(count(*) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
    union all select concat('kick_distance missing: ', cast(count_if(kick_distance is null) as varchar), ' of ', cast(count(*) as varchar), ' field goals tried') from pbp where season = 2019 and play_type = 'field_goal' having count_if(kick_distance is null) > 0
    union all select 'no fumbles in any row, which no season has: look at the fumble columns'""", "pbp")
 def v02(t):
-    df = t.pbp.filter("season = 2019").withColumn("fumble", F.lit(0))
-    return Q.validate_plays(df, 2019).select(F.explode("warnings").alias("warning"))
+    """Every season on file, with the fumbles taken out."""
+    rows = t.pbp.withColumns({"fumble": F.lit(0), "on_file": F.col("season")})
+    return Q.validate_all(rows, "on_file").select("season", F.explode("warnings").alias("warning"))
 
 
-@query("v03_validate_charting", "case_name:s n_games:i n_errors:i n_warnings:i", """with n as (select count(distinct nflverse_game_id) as g from charting where season = 2023)
+@query("v03_validate_charting", "season:i case_name:s n_games:i n_errors:i n_warnings:i", """with n as (select count(distinct nflverse_game_id) as g from charting where season = 2023)
    select 'exact' as case_name, g as n_games, 0 as n_errors, 0 as n_warnings from n union all select 'more', g, 1, 0 from n union all select 'few', g, 1, 0 from n
    union all select 'duplicated', g, 1, 0 from n""", "charting")
 def v03(t):
-    df = t.charting.filter("season = 2023")
-    n = df.groupBy("nflverse_game_id").agg(F.count(F.lit(1))).count()
+    """Every season on file: as many contests as expected, too many, too few, and all twice."""
+    df, n = t.charting, F.col("n_games")
     cases = {"exact": (df, n), "more": (df, n - 1), "few": (df, 2 * n), "duplicated": (df.unionByName(df), n)}
-    reports = [Q.validate_charting(d, 2023, expected=e).withColumn("case_name", F.lit(k)) for k, (d, e) in cases.items()]
+    reports = [Q.validate_all_charting(d, "season", expected=e).withColumn("case_name", F.lit(k)) for k, (d, e) in cases.items()]
     return J.union_strict(reports).withColumns({"n_errors": F.size("errors"), "n_warnings": F.size("warnings")})
 
 

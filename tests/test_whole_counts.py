@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from contestry.operators import stats
+from contestry.plans.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,28 @@ def test_boosting_runs_every_set_at_the_counts_of_record(spark, monkeypatch):
     rows = entry.queries()["a22_boosted_out_of_fold"](spark, SF).collect()
     assert calls == [(1, 10, 200), (3, 10, 200), (7, 10, 200), (8, 10, 200)]
     assert sorted(r.features for r in rows) == ["F1_depth", "F2_advance", "F3_production", "F4_yardage"]
+
+
+@pytest.mark.parametrize("name", ["s07_ingest_season", "s08_live_season", "s09_manifest"])
+def test_the_gate_sees_every_season_with_its_short_contests(spark, name):
+    told = {r.season: r for r in entry.queries()[name](spark, SF).collect()}
+    pbp = Tables(spark, SF).pbp
+    counts = pbp.groupBy("season", "game_id").count().groupBy("season").agg(F.sum("count").alias("n"), F.count_if(F.col("count") < 90).alias("short"))
+    assert sorted(told) == sorted(r.season for r in counts.collect())
+    for r in counts.collect():
+        row = told[r.season]
+        if row.accepted:
+            assert (row.n if name != "s09_manifest" else row.n_rows) == r.n
+        else:
+            assert "failed validation" in row.messages
+        if name == "s07_ingest_season" and r.short:
+            assert f"{r.short} contests under 90 plays" in row.messages and row.n == 0
+
+
+def test_validation_reports_every_season(spark):
+    t = Tables(spark, SF)
+    warned = entry.queries()["v02_soft_warnings"](spark, SF).filter("warning like 'no fumbles%'")
+    assert sorted(r.season for r in warned.collect()) == sorted(r.season for r in t.pbp.select("season").distinct().collect())
+    cases = {(r.season, r.case_name): (r.n_errors, r.n_warnings) for r in entry.queries()["v03_validate_charting"](spark, SF).collect()}
+    seasons = [r.season for r in t.charting.select("season").distinct().collect()]
+    assert cases == {(s, k): (e, 0) for s in seasons for k, e in {"exact": 0, "more": 1, "few": 1, "duplicated": 1}.items()}
