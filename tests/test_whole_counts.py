@@ -66,3 +66,18 @@ def test_validation_reports_every_season(spark):
     cases = {(r.season, r.case_name): (r.n_errors, r.n_warnings) for r in entry.queries()["v03_validate_charting"](spark, SF).collect()}
     seasons = [r.season for r in t.charting.select("season").distinct().collect()]
     assert cases == {(s, k): (e, 0) for s in seasons for k, e in {"exact": 0, "more": 1, "few": 1, "duplicated": 1}.items()}
+
+
+def test_neither_layout_of_the_row_order_check_is_one_partition(spark, monkeypatch):
+    from contestry.operators import draws
+
+    summaries, parts = draws.draw_summaries, []
+
+    def spy(games, **options):
+        parts.append(games.rdd.getNumPartitions())
+        return summaries(games, **options)
+
+    monkeypatch.setattr(draws, "draw_summaries", spy)
+    row = entry.queries()["v11_row_order_invariance"](spark, SF).first()
+    assert row.layouts_differ == 0 and row.rows > 0
+    assert len(parts) == 2 and min(parts) > 1
