@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from contestry.llm import decontaminate
 from contestry.operators import stats
 from contestry.plans.tables import Tables
 
@@ -81,3 +82,14 @@ def test_neither_layout_of_the_row_order_check_is_one_partition(spark, monkeypat
     row = entry.queries()["v11_row_order_invariance"](spark, SF).first()
     assert row.layouts_differ == 0 and row.rows > 0
     assert len(parts) == 2 and min(parts) > 1
+
+
+def test_a_copy_without_the_rarest_words_is_still_retrieved(spark):
+    """0.8 of the question's shingles and of the answer's words, but neither of the two rare ones."""
+    common = [f"common{k}" for k in range(13)]
+    item = " ".join([*common[:9], "rarest", *common[9:], "scarcest"])
+    fill = [" ".join(common[::-1]) if k < 20 else f"other{k} thing{k}" for k in range(39)]
+    bench = spark.createDataFrame([(1, item), *((100 + k, x) for k, x in enumerate(fill))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, " ".join([*common[:9], "plain", *common[9:], "usual"]))], "doc_id long, text string")
+    found = lambda **o: {r.item_id for r in decontaminate.leaked_pairs(docs, bench, **o).collect()}
+    assert 1 in found() and 1 not in found(threshold=0.6)
