@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import backoff, chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, toxicity
+from contestry.llm import backoff, chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, stream_dedup, toxicity
 from contestry.llm.common import held_out, table
 
 
@@ -168,6 +168,20 @@ from told group by conv_id
 """
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+OP12_SQL = r"""
+with told as (
+  select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+placed as (
+  select doc_id, norm, first_value(doc_id) over w as keep_id, row_number() over w = 1 as kept, count(*) over (partition by norm) as group_size
+  from told window w as (partition by norm order by length(text) desc, doc_id nulls last rows between unbounded preceding and current row))
+select doc_id, keep_id, group_size::bigint as group_size, kept, sha256(norm) as text_sha256 from placed
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -179,6 +193,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat": op10_chat,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -187,4 +202,5 @@ ORACLES: dict[str, str] = {
     "op4_pivot_index": OP4_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_chat": OP10_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
