@@ -27,10 +27,12 @@ IGNORED = " \t\n\x0b\x0c\r"
 #: Bytes of input that one micro-batch takes at most, unless a single file is larger.
 BATCH_BYTES = 64 << 30
 
-#: The state on disk, in bounded memory whatever the number of partitions of an executor.
+#: The state on disk, in bounded memory and without space set aside, whatever the number of
+#: partitions of an executor.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
