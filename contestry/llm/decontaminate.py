@@ -164,8 +164,9 @@ def leaks_of(index: ItemIndex, texts: list[np.ndarray], threshold: float, overla
     """``(item_id, score, question, answer)`` for each item that a text leaks, for each text.
 
     Passages of ``window`` words begin at every half window, so every item lies whole in one of
-    them. Telling words alone bound what a passage can score on an item; the
-    passages that may reach the threshold query the index.
+    them. The telling words of both its halves, and the most that all other words can add, bound what
+    a passage can score on an item; an item's telling words may all lie in one half, whichever.
+    The passages that may reach the threshold query the index.
     """
     out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
     sizes = np.array([len(w) for w in texts])
@@ -193,7 +194,11 @@ def leaks_of(index: ItemIndex, texts: list[np.ndarray], threshold: float, overla
     mass = np.bincount(back, weights=lean.impacts[place], minlength=len(key))
     after = np.minimum(np.searchsorted(key, key + n), max(0, len(key) - 1))
     with_next = mass + np.where(key[after] == key + n, mass[after], 0.0) if len(key) else mass
-    hopeful = np.unique(key[with_next + lean.others[key % n] >= threshold - 1e-9] // n)
+    hopeful = key[with_next + lean.others[key % n] >= threshold - 1e-9] // n
+    # passages whose first half has no telling word of the item; none begins before its text
+    alone = ~np.isin(key - n, key) & ~np.isin(key // n, first_block)
+    late = key[alone & (mass + lean.others[key % n] >= threshold - 1e-9)] // n - 1
+    hopeful = np.unique(np.concatenate((hopeful, late)))
     for b in hopeful.tolist():
         doc = int(np.searchsorted(first_block, b, side="right")) - 1
         lo = int(first_word[doc]) + (b - int(first_block[doc])) * half

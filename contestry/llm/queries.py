@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import backoff, chat, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, stream_dedup, toxicity
+from contestry.llm import (
+    backoff, chat, conversation_repair, decontaminate, jaccard_join, language, mincut, mixing, pii, pivot_index, stream_dedup, token_alignment,
+    toxicity,
+)
 from contestry.llm.common import held_out, table
 
 
@@ -168,6 +173,78 @@ from told group by conv_id
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults planted by a checksum of their keys (nulls: one space)."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), fate.alias("fate")).filter("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    report = conversation_repair.repair_conversations(damaged(told)).withColumnRenamed("conv_id", "conv")
+    every = told.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    return every.fillna(0, ["gaps", *conversation_repair.COUNTS, "cost"]).fillna({"audit": "", "repaired_sha256": sha256(b"").hexdigest()})
+
+
+OP11_SQL = r"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations),
+-- the checksum: each byte is mixed in, then eight shifts of one bit (marked -1)
+summed as (
+  select *, xor(list_reduce([4294967295::bigint] || flatten(list_transform(string_split(key, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295) % 20 as fate
+  from keyed),
+hit as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from summed, range(case when fate = 3 then 2 else 1 end) as copies(copy) where fate <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from hit),
+marked as (select *, row_number() over (partition by conv_id, role, text order by place) > 1 as seen from placed),
+faulty as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when seen then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    lag(role) over (partition by conv_id order by place) as prior from marked),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (prior is not null and left(prior, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal, max(place) as n
+  from faulty group by conv_id),
+-- states: nothing (0), after a system (1), user (2), assistant (3) row; gaps filled before a row
+fill(src, dst, edits, lines) as (values (0, 0, '', []::varchar[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']),
+  (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+keep(src, initial, dst) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+change(src, role, dst) as (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+step as (
+  select conv_id, place, f.src, m.dst, f.edits || m.edit as edits, 3 * length(f.edits) + m.cost as cost, f.lines || m.line as lines
+  from faulty r cross join fill f join lateral (
+    select f.dst as dst, 'D' as edit, 4 as cost, []::varchar[] as line
+    union all select k.dst, 'K', case when r.fault = 'truncated' then 3 else 0 end, [r.role || ':' || r.text] from keep k
+      where k.src = f.dst and k.initial = left(r.role, 1) and r.fault not in ('blank', 'duplicate')
+    union all select c.dst, 'R', 3 + case when r.fault = 'truncated' then 3 else 0 end, [c.role || ':' || r.text] from change c
+      where c.src = f.dst and r.fault not in ('blank', 'duplicate')) m on true),
+best as (
+  select conv_id, 0::bigint as place, 0 as state, {'c': 0, 'a': '', 'l': []::varchar[]} as b from counted
+  union all
+  select any_value(s.conv_id), s.place, s.dst, min({'c': (b.b).c + s.cost, 'a': (b.b).a || s.edits, 'l': (b.b).l || s.lines})
+  from best b join step s on s.conv_id is not distinct from b.conv_id and s.place = b.place + 1 and s.src = b.state group by s.conv_id, s.place, s.dst),
+ended as (
+  select c.conv_id, min({'c': (b.b).c + 3 * length(f.edits), 'a': (b.b).a || f.edits, 'l': (b.b).l || f.lines}) as e
+  from counted c join best b on b.conv_id is not distinct from c.conv_id and b.place = c.n join fill f on f.src = b.state and f.dst in (0, 3) group by c.conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce((e).c, 0)::bigint as cost, coalesce((e).a, '') as audit,
+  sha256(array_to_string(coalesce((e).l, []), chr(10))) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id
+  left join ended x on x.conv_id is not distinct from o.conv_id
+"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -182,6 +259,10 @@ select doc_id, keep_id, group_size::bigint as group_size, kept, sha256(norm) as
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -193,7 +274,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat": op10_chat,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -202,5 +285,6 @@ ORACLES: dict[str, str] = {
     "op4_pivot_index": OP4_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_chat": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
 }
