@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,8 +40,20 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: How a byte-level vocabulary of this kind parts a text before merging, and the merging library's
+#: limit on white space in one run (longer ones exhaust the stack of its pattern search).
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONGEST_SPACE = 500
+
+
 class ByteLevelTokenizer:
-    """A byte-level vocabulary (tokenizers); special tokens in texts are plain text."""
+    """A byte-level vocabulary (tokenizers); special tokens in texts are plain text.
+
+    Where the file's merges come in the order of the ids that they make, which makes an id its
+    rank, and its words are parted by ``WORDS``, tiktoken merges by those ranks: the same ids, at
+    about three times the speed. Texts with a very long run of white space, and files
+    of another kind, are left to tokenizers.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -54,9 +67,29 @@ class ByteLevelTokenizer:
         for token, k in entries.items():
             of[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.bytes = pa.array(of, pa.binary())
+        self._long_space = re.compile(rf"\s{{{LONGEST_SPACE},}}")
+        self._fast = self._ranked(json.loads(self._model.to_str()), alphabet)
+
+    @staticmethod
+    def _ranked(told: dict, alphabet: dict[str, int]):
+        model, parted = told["model"], told["pre_tokenizer"] or {}
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        plain = model["type"] == "BPE" and parted.get("type") == "ByteLevel" and parted.get("use_regex", True) and not parted.get("add_prefix_space")
+        if not plain or told["normalizer"] or merged != sorted(set(merged)) or merged[:1] < [0] or any(model.get(k) for k in ("dropout", "ignore_merges", "end_of_word_suffix")):
+            return None
+        import tiktoken
+
+        special = {t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in token): k for token, k in model["vocab"].items() if k not in special}
+        return tiktoken.Encoding(str(len(ranks)), pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        slow = [k for k, t in enumerate(texts) if self._fast is None or self._long_space.search(t)]
+        left = set(slow)
+        out = [None if k in left else self._fast.encode_ordinary(" " + t) for k, t in enumerate(texts)]
+        for k, e in zip(slow, self._model.encode_batch_fast([" " + texts[k] for k in slow], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
 
 class PieceTokenizer:

@@ -258,6 +258,7 @@ def test_alignment_against_byte_ranges(spark, sizes):
     texts = ["", None, " ", "  two  spaces\n\n\tand tabs ", "<|endoftext|> is plain, so is <s> and <0x41>", "naïve façade — 東京 🙂🙂", "▁ a lower block", "\x00\x01\x7f",
              "é ﬁ Ⅷ ½", "internationalisation of tokenisers", "a" * 3000, "word " * 2000, " nbsp　wide"]
     words = ["align", "alignment", "Token", "izer", "izers", "un", "believable", "ed", "3.1415", "x=1;", "Straße"]
+    texts += [" " * 2000 + "x", "line\n" + "\n\t" * 900 + "end", "it's WE'LL they'd", "\u0085 \u2028\u200d\ufeff"]
     texts += [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(40)]
     rows = [*enumerate(texts), (None, "a null id"), (3, texts[3]), (3, texts[3]), (7, "other text of a repeated id")]
     docs = spark.createDataFrame([(i, t, "own", 3) for i, t in rows], "doc_id long, text string, chunk string, n_a int").repartition(3)
@@ -265,6 +266,17 @@ def test_alignment_against_byte_ranges(spark, sizes):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == sorted(plain_alignment(rows), key=repr)
 
 
+def test_both_ways_of_merging_give_the_same_ids():
+    a = token_alignment.ByteLevelTokenizer(token_alignment.BYTE_BPE)
+    r = random.Random(6)
+    pool = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + list(" '\n\t0aA") * 200
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    fast = a.encode(texts)
+    assert a._fast is not None
+    a._fast = None
+    assert fast == a.encode(texts)
+
+
 def test_invalid_text_and_empty_table(spark):
     broken = spark.range(1).select(F.col("id").alias("doc_id"), F.unhex(F.lit("41FF42")).cast("string").alias("text"))
     assert [tuple(x) for x in token_alignment.align_texts(broken).collect()] == [(0, 0, 0, 0, 0, 0, 0, "")]
