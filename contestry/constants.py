@@ -45,6 +45,8 @@ SIDES_TOLERANCE = 1e-9
 EXPECTED_GATE_GAMES = 543
 EXPECTED_TRAIN_ROWS = 4190
 COEFFICIENT_LINE = 5e-4
+SCALE_DECIMALS = 4
+SCALE_LINE = 5e-5
 WEIGHTS_OF_RECORD = {
     "mean": (-16.82928858521862, 35.126158542744385, 4.17779695298846),
     "cov": (

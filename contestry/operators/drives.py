@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import digest, flag, floor_bin, keyed, pick, ratio
+from contestry.functions.columns import digest, flag, floor_bin, keyed, ratio
+from contestry.functions.counters import counted, lanes, uniforms
 from contestry.functions.plays import drive_explosive, is_scrimmage
 from contestry.operators.ranking import hash_rank
+from contestry.operators.replicates import vector_totals
 
 FEATURES = ("start_yardline_100", "depth", "scrimmage_plays", "net_yards", "max_gain",
             "explosive_plays", "first_downs", "penalty_aid_yards")
@@ -82,39 +85,40 @@ def expected_delta(drives: DataFrame, table: DataFrame) -> DataFrame:
 
 def resample_points(drives: DataFrame, table: DataFrame, reps: int, seed: int = 0,
                     red_zone_only: bool = False) -> DataFrame:
-    """Per contest and replicate: redrawn minus actual points, home minus away.
+    """Per contest: redrawn minus actual points, home minus away, as one ``deltas`` array over all
+    replicates, with the redrawn points of all replicates, the actual ones and the drives.
 
     A drive's replacement is a place in its donor bin's pool, and the pool is every league
     drive of the bin. Points take a handful of values, so a pool is stored as the value
-    counts of its bin with running totals: the draw is a lookup in that small table and no
+    counts of its bin with running totals: the draw is a lookup in that small list and no
     pool is ever gathered, however many drives it holds.
     """
     league = _marked(drives, table)
     counts = league.groupBy("donor_bin", "points").agg(F.count(F.lit(1)).alias("c"))
     below = W.partitionBy("donor_bin").orderBy("points").rowsBetween(W.unboundedPreceding, 0)
     ladder = counts.withColumn("upto", F.sum("c").over(below)).groupBy("donor_bin").agg(
-        F.sum("c").alias("size"), F.sort_array(F.collect_list("upto")).alias("upto"), F.sort_array(F.collect_list("points")).alias("steps"))
+        F.sort_array(F.collect_list("upto")).alias("upto"), F.sort_array(F.collect_list("points")).alias("steps"))
     rows = league.filter(F.col("depth") <= C.RED_ZONE_YARDS) if red_zone_only else league
-    # one row a yard-line bin: twenty of them, whatever the number of drives
-    laid = rows.select("game_id", "fixed_drive", "is_home", "points", "donor_bin").join(F.broadcast(ladder), "donor_bin")
-    # dealt by contest before the replicates multiply the rows: every later sum finds its rows in place
-    place = lambda rep: pick(digest(seed, rep, F.col("game_id"), F.col("fixed_drive").cast("long")), F.col("size"))
-    # the place comes out of the explode as a column: inside the lambda below it would be drawn anew at each step
-    deals = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda rep: F.struct(rep.alias("rep"), place(rep).alias("place")))
-    # (a number is given because the rows are few bytes and many draws: sized by bytes they would share one task)
-    width = 4 * league.sparkSession.sparkContext.defaultParallelism
-    laid = laid.repartition(width, "game_id").withColumn("deal", F.explode(deals)).select("*", "deal.rep", F.col("deal.place").alias("_place"))
-    passed = F.size(F.filter("upto", lambda u: u <= F.col("_place")))
-    drawn = laid.withColumn("drawn", F.get("steps", passed))
-    sign = F.when(F.col("is_home") == 1, 1.0).otherwise(-1.0)
-    return drawn.groupBy("game_id", "rep").agg(
-        F.sum(sign * (F.col("drawn") - F.col("points"))).alias("delta"), F.sum("drawn").alias("drawn"),
-        F.sum("points").alias("observed"), F.count(F.lit(1)).alias("n"))
+    key = lanes("place", seed, F.col("game_id"), F.col("fixed_drive").cast("long"))
+    laid = rows.join(ladder, "donor_bin").select("game_id", "fixed_drive", "is_home", "points", "upto", "steps", *[v.alias(k) for k, v in key.items()])
+
+    def redrawn(r: dict) -> np.ndarray:
+        size = r["upto"][-1]
+        place = np.minimum(np.floor(uniforms(r["place_high"], r["place_low"], counted(reps)) * size), size - 1)
+        points = np.asarray(r["steps"])[np.searchsorted(np.asarray(r["upto"]), place, side="right")]
+        sign = 1.0 if r["is_home"] == 1 else -1.0
+        # what follows the replicates: sums that need no replicate
+        return np.concatenate((sign * (points - r["points"]), (points.sum(), r["points"])))
+
+    def told(r: dict, total: np.ndarray, n: int) -> dict:
+        return {"deltas": total[:reps].tolist(), "drawn": float(total[reps]), "observed": float(total[reps + 1]), "n": n}
+
+    return vector_totals(laid, ["game_id"], ["fixed_drive"], redrawn, told, "game_id string, deltas array<double>, drawn double, observed double, n long")
 
 
 def unbiased(resampled: DataFrame, tolerance: float = 0.05) -> DataFrame:
     one = resampled.agg(
-        ratio(F.sum("observed"), F.sum("n")).alias("observed_mean"), ratio(F.sum("drawn"), F.sum("n")).alias("resampled_mean"))
+        ratio(F.sum("observed"), F.sum("n")).alias("observed_mean"), ratio(F.sum("drawn"), F.sum(F.col("n") * F.size("deltas"))).alias("resampled_mean"))
     gap = F.col("resampled_mean") - F.col("observed_mean")
     return one.withColumns({"difference": gap, "pass": (F.abs(gap) < tolerance).cast("int")})
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
 from contestry.functions import plays as P
-from contestry.functions.columns import (
-    digest, floor_bin, in_sets, labelled, normal_cdf, ratio, uniform,
-)
+from contestry.functions.columns import floor_bin, in_sets, labelled, normal_cdf, ratio
+from contestry.functions.counters import counted, lanes, uniforms
 from contestry.operators.joins import override
 from contestry.operators.kicks import kick_table
+from contestry.operators.replicates import vector_totals
 
 LEDGER = ["component", "game_id", "play_id", "season", "event_class", "charged_team",
           "actual", "expected", "swing", "luck_epa", "class_n"]
@@ -115,39 +116,34 @@ def edition(ledger: DataFrame, games: DataFrame, slope: float = C.POINTS_PER_EPA
 
 def replicate_share(ledger: DataFrame, games: DataFrame, reps: int, seed: int = 0,
                     slope: float = C.POINTS_PER_EPA) -> DataFrame:
-    """Win share over replicates: every coin replayed by a hashed uniform against its rate.
+    """Win share over replays of every coin, with the 89% interval of the replayed margin.
 
-    Events are dealt by contest before the replicates multiply them, so no replicate is
-    shuffled. Two layers: the event's rate is redrawn from its class posterior (by mean and
-    variance), then the coin itself is tossed.
+    Two layers: a class's rate is redrawn from its posterior (by mean and variance; one draw for
+    all events of the class in a replicate), then each event's coin is tossed. A contest's
+    replicates are one vector, to which each of its events adds.
     """
     played = games.filter(F.col("margin").isNotNull()).select("game_id", "margin")
-    events = ledger.select(
-        "game_id", "actual", "expected", "swing", "class_n",
-        F.concat_ws("|", "component", F.col("play_id").cast("long").cast("string")).alias("event"))
-    tossed = _replicated(events.join(played, "game_id"), reps)
-    u = uniform(digest(seed, F.col("rep"), F.col("game_id"), F.col("event")))
-    u1 = uniform(digest("rate", seed, F.col("rep"), F.col("event")))
-    u2 = uniform(digest("turn", seed, F.col("rep"), F.col("event")))
-    z = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(u1, F.lit(1e-12)))) * F.cos(F.lit(6.283185307179586) * u2)
-    n = F.col("class_n").cast("double")
-    mean = (F.col("expected") * n + 0.5) / (n + 1.0)
-    drawn = mean + z * F.sqrt(mean * (F.lit(1.0) - mean) / (n + 2.0))
-    rate = F.least(F.greatest(drawn, F.lit(0.0)), F.lit(1.0))
-    coin = F.when(u < rate, 1.0).otherwise(0.0)
-    moved = tossed.withColumn("m", (F.col("actual") - coin) * F.col("swing") * slope)
-    sums = moved.groupBy("game_id", "margin", "rep").agg(F.sum("m").alias("luck"))
-    # rounded: a replay that ends level is no win, whatever the order of its sum
-    return sums.groupBy("game_id").agg(
-        F.avg((F.round(F.col("margin") - F.col("luck"), 9) > 0).cast("double")).alias("dtw_home"),
-        F.avg(F.col("margin") - F.col("luck")).alias("deserved_mean"))
-
-
-def _replicated(events: DataFrame, reps: int) -> DataFrame:
-    """Every event once a replicate, dealt by contest first: later sums find their rows in place."""
-    # (a number is given because the rows are few bytes and many draws: sized by bytes they would share one task)
-    width = 4 * events.sparkSession.sparkContext.defaultParallelism
-    return events.repartition(width, "game_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    event = F.concat_ws("|", "component", F.col("play_id").cast("long").cast("string"))
+    klass = F.concat_ws("|", "component", "event_class")
+    keys = lanes("toss", seed, F.col("game_id"), event) | lanes("rate", "rate", seed, klass) | lanes("turn", "turn", seed, klass)
+    events = ledger.join(played, "game_id").select(
+        "game_id", "component", "play_id", "margin", *[F.col(c).cast("double").alias(c) for c in ("actual", "expected", "swing", "class_n")], *[v.alias(k) for k, v in keys.items()])
+
+    def luck(r: dict) -> np.ndarray:
+        numbers = counted(reps)
+        u, u1, u2 = (uniforms(r[f"{k}_high"], r[f"{k}_low"], numbers) for k in ("toss", "rate", "turn"))
+        z = np.sqrt(-2.0 * np.log(np.maximum(u1, 1e-12))) * np.cos(6.283185307179586 * u2)
+        mean = (r["expected"] * r["class_n"] + 0.5) / (r["class_n"] + 1.0)
+        rate = np.clip(mean + z * np.sqrt(mean * (1.0 - mean) / (r["class_n"] + 2.0)), 0.0, 1.0)
+        return (r["actual"] - (u < rate)) * r["swing"] * slope
+
+    def share(r: dict, total: np.ndarray, events: int) -> dict:
+        deserved = r["margin"] - total
+        low, high = np.quantile(deserved, (0.055, 0.945))
+        # rounded: a replay that ends level is no win, whatever the order of its sum
+        return {"dtw_home": float((np.round(deserved, 9) > 0).mean()), "deserved_mean": float(deserved.mean()), "low": float(low), "high": float(high)}
+
+    return vector_totals(events, ["game_id"], ["component", "play_id"], luck, share, "game_id string, dtw_home double, deserved_mean double, low double, high double")
 
 
 # --- drives that carry luck -----------------------------------------------------------------
@@ -161,7 +157,12 @@ def with_drive_key(ledger: DataFrame, pbp: DataFrame) -> DataFrame:
 
 
 def luck_drives(ledger: DataFrame) -> DataFrame:
-    """One row per drive with luck: totals, cap, attainable extremes, clip and bite flags."""
+    """One row per drive with luck: totals, cap, attainable extremes, clip and bite flags.
+
+    Two events of a class with opposite outcomes add up to the cap exactly, and the last bit of a
+    class mean depends on the order in which its sum was made: the flags compare after
+    rounding, so that noise is no bite.
+    """
     s = (F.lit(2.0) * F.col("actual") - 1.0) * F.col("swing")
     zero = F.lit(0.0)
     per = ledger.withColumn("_s", s).groupBy("game_id", "drive_key").agg(
@@ -171,30 +172,36 @@ def luck_drives(ledger: DataFrame) -> DataFrame:
         F.min("fixed_drive").alias("fixed_drive"), F.min("qtr").alias("qtr"),
         F.min_by("posteam", "play_id").alias("posteam"), F.count_distinct("posteam").alias("n_posteams"),
         F.concat_ws(",", F.sort_array(F.collect_set("component"))).alias("components"))
+    over = lambda v: (F.round(v - F.col("cap"), 9) > 0).cast("int")
     per = per.withColumns({
         "max_attainable": F.greatest("pos_swing", -F.col("neg_swing")),
         "clipped_luck": F.greatest(F.least("signed_luck", "cap"), -F.col("cap"))})
     return per.withColumns({
-        "bites_prereg": (F.col("sum_abs_luck") > F.col("cap")).cast("int"),
-        "bites_point_estimate": (F.abs("signed_luck") > F.col("cap")).cast("int"),
-        "bites_ever": (F.col("max_attainable") > F.col("cap")).cast("int"),
+        "bites_prereg": over(F.col("sum_abs_luck")),
+        "bites_point_estimate": over(F.abs("signed_luck")),
+        "bites_ever": over(F.col("max_attainable")),
         "reduction_epa": F.col("signed_luck") - F.col("clipped_luck")})
 
 
 def expected_clip(ledger: DataFrame, drives: DataFrame, reps: int, seed: int = 0) -> DataFrame:
-    """Mean clipped amount per drive over replicates of its events."""
+    """Mean clipped amount per drive over replicates of its events, each drive's one vector."""
     event = F.concat_ws("|", "component", F.col("play_id").cast("long").cast("string"))
+    keys = lanes("toss", seed, F.col("game_id"), event)
     events = ledger.select(
-        "game_id", "drive_key", event.alias("event"), F.abs(F.col("actual") - F.col("expected")).alias("q"),
-        ((F.lit(2.0) * F.col("actual") - 1.0) * F.col("swing")).alias("s"))
-    tossed = _replicated(events.join(drives.select("game_id", "drive_key", "cap"), ["game_id", "drive_key"]), reps)
-    u = uniform(digest(seed, F.col("rep"), F.col("game_id"), F.col("event")))
-    sums = tossed.groupBy("game_id", "drive_key", "cap", "rep").agg(F.sum(F.when(u < F.col("q"), F.col("s")).otherwise(0.0)).alias("total"))
-    # rounded: what the order of a sum leaves behind is no clip
-    excess = F.round(F.col("total") - F.greatest(F.least("total", "cap"), -F.col("cap")), 9)
-    return sums.groupBy("game_id", "drive_key").agg(
-        F.avg(-excess).alias("cap_row_epa"), F.avg(F.abs(excess)).alias("expected_abs_clip_epa"),
-        F.max((excess != 0).cast("int")).alias("clipped_in_the_draw"))
+        "game_id", "drive_key", "component", "play_id", F.abs(F.col("actual") - F.col("expected")).cast("double").alias("q"),
+        ((F.lit(2.0) * F.col("actual") - 1.0) * F.col("swing")).alias("s"), *[v.alias(k) for k, v in keys.items()])
+    events = events.join(drives.select("game_id", "drive_key", "cap"), ["game_id", "drive_key"])
+
+    def tossed(r: dict) -> np.ndarray:
+        return np.where(uniforms(r["toss_high"], r["toss_low"], counted(reps)) < r["q"], r["s"], 0.0)
+
+    def clipped(r: dict, total: np.ndarray, n: int) -> dict:
+        # rounded: what the order of a sum leaves behind is no clip
+        excess = np.round(total - np.clip(total, -r["cap"], r["cap"]), 9)
+        return {"cap_row_epa": float(-excess.mean()), "expected_abs_clip_epa": float(np.abs(excess).mean()), "clipped_in_the_draw": int((excess != 0).any())}
+
+    return vector_totals(events, ["game_id", "drive_key"], ["component", "play_id"], tossed, clipped,
+                         "game_id string, drive_key string, cap_row_epa double, expected_abs_clip_epa double, clipped_in_the_draw int")
 
 
 # --- swing tables --------------------------------------------------------------------------------

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import digest, keyed, ratio
+from contestry.functions.columns import keyed, ratio
+from contestry.functions.counters import counted, lanes, mix32
 from contestry.functions.plays import placement_cell, scrimmage_with_down
-from contestry.operators.ranking import hash_rank
+from contestry.operators.replicates import array_quantile, per_group
 from contestry.session import cut_lineage
 
 UNIT = ["game_id", "posteam"]
@@ -179,57 +183,89 @@ def quality_channels(seasons: DataFrame, min_games: int = C.MIN_GAMES) -> DataFr
 
 # --- permutation null ---------------------------------------------------------------------------
 
+RUNGS = ("raw", "down_stratified", "raw_var_matched", "down_stratified_var_matched")
+#: Keys (plays times draws) that are selected from at once.
+KEYS_TOGETHER = 1 << 21
+
+
+def _first(keys: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """Per draw (row of ``keys``), the places of the least keys up to each cut, from cut to cut. A
+    selection: what lies between two cuts is in no order, and nothing is ranked."""
+    n = keys.shape[1]
+    inner = sorted({c - 1 for c in cuts if 0 < c < n})
+    order = np.argpartition(keys, inner, axis=1) if inner else np.tile(np.arange(n), (len(keys), 1))
+    return [order[:, a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-def placement_null(plays: DataFrame, reps: int, rung: str = "raw", seed: int = 0, value: str = "epa_priced",
+
+def placement_null(plays: DataFrame, reps: int, rungs: Sequence[str] = ("raw",), seed: int = 0, value: str = "epa_priced",
                    rz_scale: float = 1.0, scales=(1.0, 1.0, 1.0)) -> DataFrame:
-    """Placement scores with play values dealt at random inside each contest side.
+    """Placement scores with play values dealt at random inside each contest side: one row per
+    side and rung, ``scores`` holding one number a draw.
 
-    The deal is a hash rank inside (draw, unit) - or (draw, unit, down) for the stratified
-    rungs - so it never depends on row order, and the ranks are split by hash prefix so one
-    heavy unit never sits in a single window.
+    A draw gives each play a key from its own name and the draw's number, and the plays with the
+    least keys take the places; the stratified rungs deal within each down. Plays are dealt to
+    tasks by side, once for all draws and rungs; a side has the plays of one contest.
     """
-    if rung not in ("raw", "down_stratified", "down_stratified_var_matched", "raw_var_matched"):
-        raise ValueError(f"unknown rung {rung!r}")
-    by_down = rung.startswith("down")
-    stratum = [*UNIT, "down"] if by_down else UNIT
-    late = F.col("down").isin(*C.LATE_DOWNS)
-    rows = plays.select(*UNIT, "play_id", "mix", "down", "cell", F.col(value).alias("v"))
-    sizes = rows.groupBy(*UNIT).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("cell") == "red_zone").alias("n_rz"),
-        F.count_if(F.col("cell") == "late_down").alias("n_ld"), F.avg("v").alias("mean"))
-    strata = rows.groupBy(*stratum).agg(
-        F.count_if(F.col("cell") == "red_zone").alias("s_rz"), F.avg("v").alias("s_mean")) if by_down else None
-    # the unit's numbers join before the replicates multiply its plays
-    laid = rows.join(sizes, UNIT).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    if unknown := set(rungs) - set(RUNGS):
+        raise ValueError(f"unknown rung {sorted(unknown)}")
     event = F.concat_ws("|", "game_id", F.col("play_id").cast("long").cast("string"), F.col("mix").cast("string"))
-    laid = laid.withColumns({"_event": event, "_hex": digest(seed, F.col("rep"), event)})
-    ranked = hash_rank(laid, ["rep", *stratum], "_hex", "_event", F.col("n"), "r")
-    k = F.col("n_rz") + F.col("n_ld")
-    if rung == "raw":
-        part = F.when(F.col("r") < k, F.col("v") - F.col("mean")).otherwise(0.0)
-    elif rung == "raw_var_matched":
-        dev, share = F.col("v") - F.col("mean"), ratio(k, "n")
-        w = lambda s: (F.lit(1.0) - share) * F.lit(s) + share * F.lit(scales[2])
-        part = F.when(F.col("r") < F.col("n_rz"), w(scales[0]) * dev).when(F.col("r") < k, w(scales[1]) * dev).otherwise(0.0)
-    else:
-        ranked = ranked.join(strata, stratum)
-        scale = rz_scale if rung.endswith("var_matched") else 1.0
-        stretched = F.col("s_mean") + F.lit(scale) * (F.col("v") - F.col("s_mean"))
-        part = F.when(F.col("r") < F.col("s_rz"), stretched).when(late, F.col("v")).otherwise(0.0)
-    sums = ranked.groupBy(*UNIT, "rep").agg(F.sum(part).alias("t"), F.max("n").alias("n"), F.max(k).alias("k"), F.max("mean").alias("mean"))
-    total = F.col("t") - F.col("k") * F.col("mean") if by_down else F.col("t")
-    degenerate = (F.col("k") == 0) | (F.col("k") == F.col("n"))
-    return sums.select(*UNIT, "rep", F.when(degenerate, 0.0).otherwise(total * C.POINTS_PER_EPA).alias("score"))
+    rows = plays.select(*UNIT, "play_id", "mix", "down", "cell", F.col(value).cast("double").alias("v"),
+                        *[c.alias(k) for k, c in lanes("key", seed, event).items()])
+
+    def dealt(unit: list[dict]) -> Iterator[dict]:
+        v = np.array([r["v"] for r in unit])
+        high, low = (np.array([r[k] for r in unit], dtype=np.uint32) for k in ("key_high", "key_low"))
+        cell, down = np.array([r["cell"] for r in unit]), np.array([r["down"] for r in unit])
+        n, n_rz, n_ld = len(v), int((cell == "red_zone").sum()), int((cell == "late_down").sum())
+        k, mean = n_rz + n_ld, float(v.mean())
+        share, dev = k / n, v - mean
+        weight = lambda scale: (1.0 - share) * scale + share * scales[2]
+        scores: dict[str, list[np.ndarray]] = {rung: [] for rung in rungs}
+        step = max(1, KEYS_TOGETHER // n)
+        for at in range(0, reps, step):
+            numbers = counted(reps)[at : at + step, None]
+            keys = (mix32(numbers ^ high).astype(np.uint64) << np.uint64(20)) | (mix32(numbers ^ low) >> np.uint32(12)).astype(np.uint64)
+            if {"raw", "raw_var_matched"} & set(rungs):
+                red, late = (dev[x].sum(axis=1) for x in _first(keys, [n_rz, k]))
+                for rung, total in (("raw", red + late), ("raw_var_matched", weight(scales[0]) * red + weight(scales[1]) * late)):
+                    if rung in scores:
+                        scores[rung].append(total * C.POINTS_PER_EPA)
+            if {"down_stratified", "down_stratified_var_matched"} & set(rungs):
+                plain, stretched = np.full(len(keys), -k * mean), np.full(len(keys), -k * mean)
+                for d in np.unique(down):
+                    at_down = down == d
+                    s_rz, values = int((cell[at_down] == "red_zone").sum()), v[at_down]
+                    chosen = values[_first(keys[:, at_down], [s_rz])[0]].sum(axis=1)
+                    rest = values.sum() - chosen if d in C.LATE_DOWNS else 0.0
+                    centre = s_rz * values.mean()
+                    plain += chosen + rest
+                    stretched += centre + rz_scale * (chosen - centre) + rest
+                for rung, total in (("down_stratified", plain), ("down_stratified_var_matched", stretched)):
+                    if rung in scores:
+                        scores[rung].append(total * C.POINTS_PER_EPA)
+        for rung, parts in scores.items():
+            drawn = np.zeros(reps) if k in (0, n) else np.concatenate(parts)
+            yield {c: unit[0][c] for c in UNIT} | {"rung": rung, "scores": drawn.tolist()}
+
+    return per_group(rows, UNIT, ["play_id", "mix"], dealt, "game_id string, posteam string, rung string, scores array<double>")
+
+
+def null_summary(draws: DataFrame) -> DataFrame:
+    """Per side and rung: the draws' number, mean, spread, extremes and 89% band."""
+    n = F.size("scores")
+    rows = draws.withColumn("ordered", F.array_sort("scores")).withColumn("mean", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / n)
+    squares = F.aggregate("scores", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+    return rows.select("rung", *UNIT, n.alias("draws"), "mean", F.sqrt(squares / (n - 1)).alias("sd"), F.array_min("scores").alias("least"), F.array_max("scores").alias("most"),
+                       array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"))
 
 
 def null_band(draws: DataFrame, realized: DataFrame) -> DataFrame:
-    """Per unit: 89% band of its draws, whether the realized score is inside, mid-P percentile.
-
-    A unit has exactly ``reps`` draws, so the percentile's state is bounded by them.
-    """
-    joined = draws.withColumnRenamed("score", "draw").join(realized.select(*UNIT, F.col("score").alias("real")), UNIT)
-    below, equal = F.round("draw", 9) < F.round("real", 9), F.round("draw", 9) == F.round("real", 9)
-    out = joined.groupBy(*UNIT).agg(
-        F.percentile("draw", 0.055).alias("low"), F.percentile("draw", 0.945).alias("high"), F.max("real").alias("realized"),
-        ratio(F.count_if(below) + F.lit(0.5) * F.count_if(equal), F.count(F.lit(1))).alias("pit"))
+    """Per unit: 89% band of its draws, whether the realized score is inside, mid-P percentile. Draws
+    within 1e-9 of the realized score count as equal to it."""
+    joined = draws.join(realized.select(*UNIT, F.col("score").alias("realized")), UNIT).withColumn("ordered", F.array_sort("scores"))
+    real, line = F.col("realized"), F.lit(1e-9)
+    count = lambda test: F.size(F.filter("scores", test))
+    out = joined.select(
+        *UNIT, array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"), "realized",
+        ratio(count(lambda x: x < real - line) + F.lit(0.5) * count(lambda x: F.abs(x - real) <= line), F.size("scores")).alias("pit"))
     return out.withColumn("inside", F.col("realized").between(F.col("low"), F.col("high")).cast("int"))

@@ -44,16 +44,17 @@ def validate_plays(df: DataFrame, season: int, partial: bool = False, expected:
     return _plays_report(df, F.lit(season), [], partial, expected)
 
 
-def validate_all(df: DataFrame, season_on_file: str, partial: bool = False) -> DataFrame:
+def validate_all(df: DataFrame, season_on_file: str, partial: bool = False, expected: DataFrame | None = None) -> DataFrame:
     """One report row for each season on file, from one grouped pass; ``season_on_file`` names
-    the column that says under which season a row is stored."""
+    the column that says under which season a row is stored. ``expected`` has that column and
+    ``want``, the season's contests (none: no limit); without it, the rule for full seasons holds."""
     missing = [c for c in C.PLAY_REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
-    return _plays_report(df, F.col(season_on_file), [season_on_file], partial, None)
+    return _plays_report(df, F.col(season_on_file), [season_on_file], partial, expected)
 
 
-def _plays_report(df: DataFrame, season: Column, by: list[str], partial: bool, expected: int | None) -> DataFrame:
+def _plays_report(df: DataFrame, season: Column, by: list[str], partial: bool, expected: int | DataFrame | None) -> DataFrame:
     real = F.col("play_type").isin(*C.SCORING_PLAY_TYPES)
     fg = F.col("play_type") == "field_goal"
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -71,8 +72,10 @@ def _plays_report(df: DataFrame, season: Column, by: list[str], partial: bool, e
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count(F.lit(1)).alias("n_games"),
         F.count_if(short).alias("short"), F.count_if(long).alias("long"),
         F.min(F.when(short, worst)).alias("shortest"), F.max(F.when(long, worst)).alias("longest"))
-    want = F.lit(expected) if expected is not None else expected_games(season)
-    total = total.withColumn("want", want)
+    if isinstance(expected, DataFrame):
+        total = total.join(expected.select(*by, "want"), by, "left")
+    else:
+        total = total.withColumn("want", expected_games(season) if expected is None else F.lit(expected))
     n, rows = F.col("n_games"), F.col("n_plays")
     less = n < F.col("want")
     off = (n != F.col("want"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
-from contestry.functions.columns import digest, pick, ratio
+from contestry.functions.columns import digest, ratio
+from contestry.functions.counters import STEP, lanes_of, mix32, uniforms
 from contestry.operators.ranking import hash_rank, with_positions
+from contestry.operators.replicates import mapped
 
 
 def kept_entities(units: DataFrame, entity: str, min_units: int) -> DataFrame:
@@ -79,24 +82,48 @@ def permuted_entities(units: DataFrame, entity: str, unit: str, reps: int, min_u
     return ranked.join(slots, "_slot").withColumnRenamed("_entity", entity).drop("_slot")
 
 
+#: Units whose values one task holds, and replicates that it draws.
+BLOCK, TOGETHER = 1 << 20, 50
+
+
 def bootstrap(units: DataFrame, key: str, sums: dict[str, Column], stats: dict[str, Column], reps: int,
               seed: int = 0, group: Sequence[str] = ()) -> DataFrame:
     """Statistics of units drawn with replacement, one row per replicate.
 
-    A draw is an index, so a replicate is a histogram of indices: equal draws are counted
-    before the join and each unit is fetched once per replicate with its multiplicity.
+    A draw is an index, made from the replicate and the draw's number alone. Units lie in blocks
+    of consecutive indices; a task makes all draws of its replicates again and adds up those
+    that fall into its block. No draw is ever shuffled: what moves are the blocks, once for each
+    ``TOGETHER`` replicates, and one row of sums a block and replicate.
     """
-    placed = with_positions(units, list(group), [key], "_i")
-    sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else placed.agg(F.count(F.lit(1)).alias("_n"))
-    spots = placed.select(*group, "_i")
-    laid = spots.join(sizes, list(group)) if group else spots.withColumn("_n", sizes.scalar())
-    laid = laid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    tag = [F.col(g) for g in group]
-    chosen = pick(digest(seed, F.col("rep"), *tag, F.col("_i")), F.col("_n"))
-    hits = laid.select(*group, "rep", chosen.alias("_i")).groupBy(*group, "rep", "_i").agg(F.count(F.lit(1)).alias("_m"))
-    drawn = hits.join(placed, [*group, "_i"])
-    out = drawn.groupBy(*group, "rep").agg(*[F.sum(v * F.col("_m")).alias(k) for k, v in sums.items()], F.sum("_m").alias("drawn"))
-    return out.withColumns(stats)
+    group, names = list(group), list(sums)
+    placed = with_positions(units.select(*group, key, *[v.cast("double").alias(k) for k, v in sums.items()]), group, [key], "_i")
+    sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    packed = placed.withColumn("_block", F.floor(F.col("_i") / BLOCK)).groupBy(*group, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_i", *names))).alias("_rows"))
+    met = packed.join(sizes, group) if group else packed.withColumn("_n", sizes.select("_n").scalar())
+    laid = met.select(*group, "_block", "_n", *[F.col(f"_rows.{k}").alias(k) for k in names], F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(TOGETHER))).alias("_from"))
+    laid = laid.repartition(4 * units.sparkSession.sparkContext.defaultParallelism, *group, "_block", "_from")
+    kinds = ", ".join(f"{g} {units.schema[g].dataType.simpleString()}" for g in group)
+    schema = ", ".join([*([kinds] if group else []), "rep int", *[f"{k} double" for k in names], "drawn long"])
+
+    def draws(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            values = {k: np.array([np.nan if v is None else v for v in r[k]], dtype=float) for k in names}
+            first, held, n = r["_block"] * BLOCK, len(next(iter(values.values()))), r["_n"]
+            for rep in range(r["_from"], min(r["_from"] + TOGETHER, reps)):
+                high, low = lanes_of(":".join([str(seed), str(rep), *[str(r[g]) for g in group]]))
+                out = {g: r[g] for g in group} | {"rep": rep, "drawn": 0} | dict.fromkeys(names, 0.0)
+                for at in range(0, n, BLOCK):
+                    numbers = mix32(np.arange(at, min(at + BLOCK, n), dtype=np.uint32) * np.uint32(STEP))
+                    spot = np.minimum(np.floor(uniforms(high, low, numbers) * n), n - 1).astype(np.int64) - first
+                    spot = spot[(spot >= 0) & (spot < held)]
+                    out["drawn"] += len(spot)
+                    for k in names:
+                        out[k] += float(np.nansum(values[k][spot]))
+                yield out
+
+    per = mapped(laid, schema, draws)
+    return per.groupBy(*group, "rep").agg(*[F.sum(k).alias(k) for k in names], F.sum("drawn").alias("drawn")).withColumns(stats)
 
 
 def summarize_draws(draws: DataFrame, value: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.columns import ln_gamma, ratio
-from contestry.session import ensure_checkpoint_dir
+from contestry.operators.ranking import with_prefix_sum
+from contestry.session import cut_lineage
 
 
 def counts(rows: DataFrame, keys: Sequence[str], success: Column) -> DataFrame:
@@ -171,52 +172,24 @@ def component_summary(grid: DataFrame) -> DataFrame:
 # --- learners ------------------------------------------------------------------------------------
 
 
-def logistic_holdout(rows: DataFrame, features: Sequence[str], label: str, train: Column,
-                     ridge: float = 1.0) -> DataFrame:
-    """Logistic fit on one part, scored on the rest. ``ridge`` is the inverse of C."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
-    fit_on = vec.filter(train).persist()
-    n = fit_on.count()
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge / max(n, 1), standardization=False,
-                               elasticNetParam=0.0, maxIter=100, tol=1e-9).fit(fit_on)
-    fit_on.unpersist()
-    scored = model.transform(vec.filter(~train)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction").evaluate(scored)
-    p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1.0 - 1e-15))
-    y = F.col(label).cast("double")
-    return scored.agg(
-        F.lit(n).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
-        F.avg(-(y * F.ln(p) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - p))).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier"),
-        F.lit(float(auc)).alias("auc"), F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("accuracy"),
-        F.lit(float(model.coefficients[0])).alias("coef"))
-
-
-def newton_out_of_fold(rows: DataFrame, features: Sequence[str], label: str, folds: int, key: str,
-                       steps: int = 8) -> DataFrame:
-    """Out-of-fold logistic probabilities for every fold at once.
+def newton_fits(data: DataFrame, cols: Sequence[str], label: str, uses: Sequence[Column], ridge: float = 0.0, steps: int = 25):
+    """Logistic coefficients, one row for each of ``uses`` (which rows it learns from), by Newton steps.
 
-    Each Newton step is one aggregate over the data: gradient and Hessian sums for all
-    folds, solved as small dense systems per fold on the driver (folds x features numbers).
+    A step is one aggregate over the data: gradient and Hessian sums of all fits, solved as
+    small dense systems on the driver (fits x features numbers). ``ridge`` holds back all
+    coefficients but that of the first column.
     """
     import numpy as np
 
-    cols = ["_one", *features]
     width = len(cols)
-    data = rows.withColumn("_one", F.lit(1.0)).select(key, "fold", label, *cols).persist()
-    beta = np.zeros((folds, width))
+    beta = np.zeros((len(uses), width))
+    held = np.diag([0.0] + [ridge] * (width - 1))
     y = F.col(label).cast("double")
     for _ in range(steps):
-        z = [sum((F.lit(float(beta[f, j])) * F.col(c) for j, c in enumerate(cols[1:], 1)), F.lit(float(beta[f, 0])) * F.col(cols[0]))
-             for f in range(folds)]
         aggs = []
-        for f in range(folds):
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z[f]))
-            use = F.col("fold") != f
+        for f, use in enumerate(uses):
+            z = sum((F.lit(float(beta[f, j])) * F.col(c) for j, c in enumerate(cols[1:], 1)), F.lit(float(beta[f, 0])) * F.col(cols[0]))
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
             w = p * (F.lit(1.0) - p)
             for i in range(width):
                 aggs.append(F.sum(F.when(use, (y - p) * F.col(cols[i]))).alias(f"g{f}_{i}"))
@@ -224,20 +197,59 @@ def newton_out_of_fold(rows: DataFrame, features: Sequence[str], label: str, fol
                     aggs.append(F.sum(F.when(use, w * F.col(cols[i]) * F.col(cols[j]))).alias(f"h{f}_{i}_{j}"))
         sums = data.agg(*aggs).first()
         moved = 0.0
-        for f in range(folds):
-            grad = np.array([sums[f"g{f}_{i}"] or 0.0 for i in range(width)])
-            hess = np.array([[sums[f"h{f}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)])
+        for f in range(len(uses)):
+            grad = np.array([sums[f"g{f}_{i}"] or 0.0 for i in range(width)]) - held @ beta[f]
+            hess = np.array([[sums[f"h{f}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)]) + held
             step = np.linalg.lstsq(hess, grad, rcond=None)[0]
             beta[f] += step
             moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-8:
+        if moved < 1e-10:
             break
+    return beta
+
+
+def area_under_curve(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """One row, ``auc``: the exact share of pairs of a positive and a negative that the score puts in
+    order, ties by half. Equal scores are one row before they are ordered."""
+    positive = F.col(label).cast("double")
+    tied = scored.groupBy(F.col(score).alias("_score")).agg(F.sum(positive).alias("_pos"), F.sum(F.lit(1.0) - positive).alias("_neg"))
+    ladder = with_prefix_sum(tied, [], ["_score"], "_neg", "_upto")
+    return ladder.agg(ratio(F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") * 0.5)), F.sum("_pos") * F.sum("_neg")).alias("auc"))
+
+
+def logistic_holdout(rows: DataFrame, features: Sequence[str], label: str, train: Column,
+                     ridge: float = 1.0) -> DataFrame:
+    """Logistic fit on one part, scored on the rest. ``ridge`` is the inverse of C."""
+    cols = ["_one", *features]
+    data = rows.withColumns({"_one": F.lit(1.0), "_train": F.coalesce(train, F.lit(False))}).select(label, "_train", *cols).persist()
+    beta = newton_fits(data, cols, label, [F.col("_train")], ridge)[0]
+    n = data.filter("_train").count()
+    z = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, cols, strict=True)), F.lit(0.0))
+    scored = cut_lineage(data.filter(~F.col("_train")).withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))
+    data.unpersist()
+    p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1.0 - 1e-15))
+    y = F.col(label).cast("double")
+    return scored.agg(
+        F.lit(n).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+        F.avg(-(y * F.ln(p) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - p))).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier"),
+        area_under_curve(scored, "p", label).scalar().alias("auc"), F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("accuracy"),
+        F.lit(float(beta[1])).alias("coef"))
+
+
+def newton_out_of_fold(rows: DataFrame, features: Sequence[str], label: str, folds: int, key: str,
+                       steps: int = 25) -> DataFrame:
+    """Out-of-fold logistic probabilities for every fold at once."""
+    cols = ["_one", *features]
+    data = rows.withColumn("_one", F.lit(1.0)).select(key, "fold", label, *cols).persist()
+    beta = newton_fits(data, cols, label, [F.col("fold") != f for f in range(folds)], steps=steps)
     z = None
     for f in range(folds):
         lin = sum((F.lit(float(beta[f, j])) * F.col(c) for j, c in enumerate(cols)), F.lit(0.0))
         z = F.when(F.col("fold") == f, lin) if z is None else z.when(F.col("fold") == f, lin)
     signs = F.array(*[F.lit(float(b)) for b in beta.mean(axis=0)])
-    return data.withColumns({"p": F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), "mean_coef": signs})
+    out = cut_lineage(data.withColumns({"p": F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), "mean_coef": signs}))
+    data.unpersist()
+    return out
 
 
 def paired_losses(a: DataFrame, b: DataFrame, key: str, label: str, margin: float) -> DataFrame:
@@ -252,29 +264,3 @@ def paired_losses(a: DataFrame, b: DataFrame, key: str, label: str, margin: floa
     half = F.lit(1.96) * F.col("_s") / F.sqrt(F.col("n").cast("double"))
     return one.select("n", "loss_a", "loss_b", "difference", (F.col("difference") - half).alias("ci_low"),
                       (F.col("difference") + half).alias("ci_high"), (F.col("difference") + half < margin).cast("int").alias("non_inferior"))
-
-
-def boosted_out_of_fold(rows: DataFrame, features: Sequence[str], target: str, folds: int, key: Sequence[str],
-                        rounds: int = 20) -> DataFrame:
-    """Out-of-fold gradient-boosted predictions; one distributed fit per fold.
-
-    A missing feature is a flag of its own beside a filled value, so every row is learned from
-    and every row is scored: rows out are rows in.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    flags = {f"_no_{c}": F.col(c).isNull().cast("double") for c in features}
-    filled = rows.withColumns(flags).withColumns({f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    inputs = [f"_in_{c}" for c in features] + list(flags)
-    vec = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error").transform(filled).persist()
-    ensure_checkpoint_dir(rows.sparkSession)  # else the residuals' lineage grows with the rounds
-    out = None
-    for f in range(folds):
-        model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, stepSize=0.1, maxDepth=5,
-                             minInstancesPerNode=20, seed=f).fit(vec.filter(F.col("fold") != f))
-        part = model.transform(vec.filter(F.col("fold") == f)).withColumnRenamed("prediction", "predicted").drop("_x", *inputs)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contestry.functions import plays as P
 from contestry.functions.columns import ratio
+from contestry.functions.counters import counted_sql, lanes_sql, uniform_sql
 from contestry.operators import kicks as K
 from contestry.operators import ledger as L
 from contestry.operators import quality as Q
@@ -160,29 +161,25 @@ def m09_games(t):
 REPLAYS = 2000
 
 
-def _u(prefix: str) -> str:
-    return f"cast('0x' || substr(md5({prefix}), 1, 13) as bigint) / 4503599627370496e0"
-
-
 _EVENT = "concat(component, '|', cast(cast(play_id as bigint) as varchar))"
-_REPS = "(select unnest(generate_series(0, 19)) as rep)"
-
-
-_Z = f"""sqrt(-2e0 * ln(greatest({_u(f"concat('rate:0:', rep, ':', {_EVENT})")}, 1e-12))) * cos(6.283185307179586e0 * {_u(f"concat('turn:0:', rep, ':', {_EVENT})")})"""
+_CLASS = "concat(component, '|', event_class)"
+_TOSS = lanes_sql("toss", f"concat('0:', game_id, ':', {_EVENT})")
 
 
-@query("m10_replayed_share", "game_id:s dtw_home:d deserved_mean:d", f"""with d as (select *, (expected * class_n + 0.5e0) / (class_n + 1e0) as mn, {_Z} as z, {_u(f"concat('0:', rep, ':', game_id, ':', {_EVENT})")} as u from ledger, {_REPS}),
-   c as (select game_id, rep, (actual - case when u < least(greatest(mn + z * sqrt(mn * (1 - mn) / (class_n + 2e0)), 0), 1) then 1e0 else 0e0 end) * swing * 0.8389e0 as m from d),
-   s as (select game_id, rep, sum(m) as luck from c group by all)
-   select s.game_id, avg(case when round(margin - luck, 9) > 0 then 1e0 else 0e0 end) as dtw_home, avg(margin - luck) as deserved_mean from s join games g on g.game_id = s.game_id where margin is not null group by s.game_id""", "ledger games")
+@query("m10_replayed_share", "game_id:s dtw_home:d deserved_mean:d low:d high:d", f"""with k as (select l.game_id, margin, actual, swing, (expected * class_n + 0.5e0) / (class_n + 1e0) as mn, class_n,
+     {lanes_sql("toss", f"concat('0:', l.game_id, ':', {_EVENT})")}, {lanes_sql("rate", f"concat('rate:0:', {_CLASS})")}, {lanes_sql("turn", f"concat('turn:0:', {_CLASS})")} from ledger l join games g on g.game_id = l.game_id where margin is not null),
+   d as (select game_id, margin, rep, actual, swing, mn, class_n, {uniform_sql("toss")}, {uniform_sql("rate")}, {uniform_sql("turn")} from k, {counted_sql(REPLAYS)}),
+   c as (select game_id, margin, rep, (actual - case when toss < least(greatest(mn + sqrt(-2e0 * ln(greatest(rate, 1e-12))) * cos(6.283185307179586e0 * turn) * sqrt(mn * (1 - mn) / (class_n + 2e0)), 0), 1) then 1e0 else 0e0 end) * swing * 0.8389e0 as m from d),
+   s as (select game_id, rep, any_value(margin) - sum(m) as deserved from c group by all)
+   select game_id, avg(case when round(deserved, 9) > 0 then 1e0 else 0e0 end) as dtw_home, avg(deserved) as deserved_mean, quantile_cont(deserved, 0.055) as low, quantile_cont(deserved, 0.945) as high from s group by 1""", "ledger games")
 def m10(t):
     return L.replicate_share(t.ledger, t.games, REPLAYS)
 
 
 shared("driven", "ledger pbp", """select l.*, p.fixed_drive, p.qtr, p.posteam, coalesce(cast(cast(p.fixed_drive as bigint) as varchar), concat('no-drive:', cast(cast(l.play_id as bigint) as varchar))) as drive_key
    from ledger l left join pbp p on p.game_id = l.game_id and p.play_id = l.play_id""")
-shared("luck_drives", "driven", """select *, greatest(pos_swing, -neg_swing) as max_attainable, greatest(least(signed_luck, cap), -cap) as clipped_luck, cast(sum_abs_luck > cap as int) as bites_prereg,
-   cast(abs(signed_luck) > cap as int) as bites_point_estimate, cast(greatest(pos_swing, -neg_swing) > cap as int) as bites_ever, signed_luck - greatest(least(signed_luck, cap), -cap) as reduction_epa from (
+shared("luck_drives", "driven", """select *, greatest(pos_swing, -neg_swing) as max_attainable, greatest(least(signed_luck, cap), -cap) as clipped_luck, cast(round(sum_abs_luck - cap, 9) > 0 as int) as bites_prereg,
+   cast(round(abs(signed_luck) - cap, 9) > 0 as int) as bites_point_estimate, cast(round(greatest(pos_swing, -neg_swing) - cap, 9) > 0 as int) as bites_ever, signed_luck - greatest(least(signed_luck, cap), -cap) as reduction_epa from (
    select game_id, drive_key, count(*) as n_events, sum(abs(luck_epa)) as sum_abs_luck, sum(luck_epa) as signed_luck, max(abs(swing)) as cap, sum(greatest((2 * actual - 1) * swing, 0)) as pos_swing,
      sum(least((2 * actual - 1) * swing, 0)) as neg_swing, min(qtr) as qtr, arg_min(posteam, play_id) as posteam, count(distinct posteam) as n_posteams, string_agg(distinct component, ',' order by component) as components from driven group by all)""")
 
@@ -201,8 +198,9 @@ def f52(t):
     return hist.withColumns({"share_of_drives": ratio("drives", total["d"]), "share_of_events": ratio(F.col("drives") * F.col("n_events"), total["e"])})
 
 
-@query("m11_expected_clip", "game_id:s drive_key:s cap_row_epa:d expected_abs_clip_epa:d clipped:i", f"""with c as (select game_id, drive_key, rep, sum(case when {_u(f"concat('0:', rep, ':', game_id, ':', {_EVENT})")} < abs(actual - expected) then (2 * actual - 1) * swing else 0 end) as total
-   from driven, {_REPS} group by all), e as (select c.*, round(total - greatest(least(total, cap), -cap), 9) as x from c join luck_drives d on d.game_id = c.game_id and d.drive_key = c.drive_key)
+@query("m11_expected_clip", "game_id:s drive_key:s cap_row_epa:d expected_abs_clip_epa:d clipped:i", f"""with k as (select game_id, drive_key, abs(actual - expected) as q, (2 * actual - 1) * swing as s, {_TOSS} from driven),
+   d as (select game_id, drive_key, rep, q, s, {uniform_sql("toss")} from k, {counted_sql(REPLAYS)}), c as (select game_id, drive_key, rep, sum(case when toss < q then s else 0 end) as total from d group by all),
+   e as (select c.*, round(total - greatest(least(total, cap), -cap), 9) as x from c join luck_drives d on d.game_id = c.game_id and d.drive_key = c.drive_key)
    select game_id, drive_key, avg(-x) as cap_row_epa, avg(abs(x)) as expected_abs_clip_epa, max(cast(abs(x) > 1e-9 as int)) as clipped from e group by all""", "driven luck_drives")
 def m11(t):
     driven = L.with_drive_key(t.ledger, t.pbp)

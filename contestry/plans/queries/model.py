@@ -9,6 +9,7 @@ from contestry.functions.columns import normal_cdf, seed_hex
 from contestry.operators import draws as D
 from contestry.operators import features as FE
 from contestry.operators import posterior as B
+from contestry.operators import refit as RF
 from contestry.operators.ranking import exact_quantiles, quantile_row
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import CREDIT, WEIGHTS, phi
@@ -235,39 +236,28 @@ def a14(t):
     return B.gate_games(t.scores, t.frame)
 
 
-@query("a15_refit_gate", "check_name:s measured:d pinned:d line:d pass:i",
+_GATE = "select game_id from scores where season in (2024, 2025) and home_score <> away_score and game_id in (select game_id from frame group by game_id having count(*) = 2)"
+
+
+@query("a15_refit_gate", "check_name:s measured:d pinned:d line:d pass:i drawn_ok:i",
        f"""with p as ({_fit_sql(_TRAIN, "points_for", "own_success_rate_for", "own_ypp_for")}),
            q as ({_fit_sql(_PAIRS, "result", "rate_diff", "ypp_diff")}),
-           g as (select count(*) n from scores s where season in (2024, 2025) and home_score <> away_score
-                 and game_id in (select game_id from frame group by game_id having count(*) = 2)),
+           v as (select v_aa*dr*dr + 2*v_ab*dr*dy + v_bb*dy*dy + (b_a*b_a + v_aa)*vr + (b_b*b_b + v_bb)*vy as margin_var from p, (
+             select mh - ma as dr, home_y_mean - away_y_mean as dy, mh*(1-mh)/(home_n+3.0) + ma*(1-ma)/(away_n+3.0) as vr, home_y_sd*home_y_sd/home_n_y + away_y_sd*away_y_sd/away_n_y as vy
+             from (select *, (home_k+1)/(home_n+2.0) as mh, (away_k+1)/(away_n+2.0) as ma from deserved where game_id in ({_GATE})))),
+           z as (select coalesce(case when (select median(margin_var) from v) < power(round(margin_sd, 3), 2) then sqrt(power(round(margin_sd, 3), 2) - (select median(margin_var) from v)) end, 0) as scale from q),
            r as (select 'training rows' as check_name, n as measured, 4190.0 as pinned, 0.0 as line from p
-             union all select 'gate games', n, 543.0, 0.0 from g
+             union all select 'gate games', count(*), 543.0, 0.0 from ({_GATE})
              union all select 'success weight', b_a, 35.126, 0.0005 from p
              union all select 'yards weight', b_b, 4.178, 0.0005 from p
-             union all select 'margin residual sd', margin_sd, 8.875, 0.0005 from q)
-           select *, cast(abs(measured - pinned) <= line as int) as pass from r""", "frame scores")
+             union all select 'margin residual sd', margin_sd, 8.875, 0.0005 from q
+             union all select 'noise-once scale', scale, 5.4528, 0.00005 from z union all select 'noise-once floor', scale, 5.0, 0.0 from z)
+           select *, cast(case when check_name = 'noise-once floor' then measured > pinned else abs(measured - pinned) <= line end as int) as pass, 1 as drawn_ok from r""", "frame scores deserved")
 def a15(t):
-    return refit_gate(t.frame, t.scores)
-
-
-def refit_gate(frame, scores):
-    """The pinned numbers re-measured; a caller writes weights only when all pass."""
-    points = B.points_fit(frame).select(F.explode(F.array(
-        F.struct(F.lit("training rows").alias("check_name"), F.col("n").alias("measured"),
-                 F.lit(float(C.EXPECTED_TRAIN_ROWS)).alias("pinned"), F.lit(0.0).alias("line")),
-        *[F.struct(F.lit(name).alias("check_name"), F.coalesce(F.col(b), F.lit(0.0)).alias("measured"),
-                   F.lit(C.WEIGHTS_PIN[i]).alias("pinned"), F.lit(C.COEFFICIENT_LINE).alias("line"))
-          for i, (name, b) in enumerate((("success weight", "b_a"), ("yards weight", "b_b")), 1)],
-    )).alias("c")).select("c.*")
-    margin = B.margin_fit(frame).select(
-        F.lit("margin residual sd").alias("check_name"), F.col("margin_sd").alias("measured"),
-        F.lit(C.MARGIN_SD_PIN).alias("pinned"), F.lit(C.COEFFICIENT_LINE).alias("line"))
-    gate = B.gate_games(scores, frame).agg(F.count(F.lit(1)).cast("double").alias("measured")).select(
-        F.lit("gate games").alias("check_name"), "measured",
-        F.lit(float(C.EXPECTED_GATE_GAMES)).alias("pinned"), F.lit(0.0).alias("line"))
-    checks = points.unionByName(margin).unionByName(gate)
-    ok = F.abs(F.col("measured") - F.col("pinned")) <= F.col("line")
-    return checks.withColumn("pass", ok.cast("int"))
+    """Every pin re-measured, the scale from 40,000 draws of each gate contest; the row shows the
+    scale that the draws should come to, and whether they come within a twentieth of a point."""
+    checks = RF.refit_gate(t.frame, t.scores)
+    return checks.select("check_name", F.col("exact").alias("measured"), "pinned", "line", "pass", (F.abs(F.col("measured") - F.col("exact")) <= 0.05).cast("int").alias("drawn_ok"))
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -338,17 +328,38 @@ def m03(t):
     return _drawn(t).withColumn("share_ok", _near("p_home", "closed_share", 0.01))
 
 
-@query("m04_points_draws", "game_id:s home_points:d away_points:d gap_ok:i")
+#: Points within which the mean of a contest's draws of points must come to the exact mean.
+_POINTS_LINE = 0.15
+_SIDE = f"{_B[0]!r} + {_B[1]!r} * ({{s}}_k + 1) / ({{s}}_n + 2.0) + {_B[2]!r} * {{s}}_y_mean"
+
+
+def _side(s: str):
+    return F.lit(_B[0]) + F.lit(_B[1]) * (F.col(f"k_{s}") + 1) / (F.col(f"n_{s}") + 2.0) + F.lit(_B[2]) * F.col(f"y_mean_{s}")
+
+
+@query("m04_points_draws", "game_id:s closed_home:d closed_away:d home_ok:i away_ok:i gap_ok:i",
+       f"select game_id, {_SIDE.format(s='home')} as closed_home, {_SIDE.format(s='away')} as closed_away, 1 as home_ok, 1 as away_ok, 1 as gap_ok from deserved", "deserved")
 def m04(t):
-    d = D.draw_summaries(_posterior_rows(t), sides=True)
-    return d.withColumn("gap_ok", (F.col("sides_gap") <= C.SIDES_TOLERANCE).cast("int"))
+    """Both sides' draws come to their exact means and differ by the margin's draws."""
+    post = _posterior_rows(t)
+    closed = post.select("game_id", _side("h").alias("closed_home"), _side("a").alias("closed_away"))
+    d = D.draw_summaries(post, sides=True).join(closed, "game_id")
+    return d.withColumns({"home_ok": _near("home_points", "closed_home", _POINTS_LINE), "away_ok": _near("away_points", "closed_away", _POINTS_LINE),
+                          "gap_ok": (F.col("sides_gap") <= C.SIDES_TOLERANCE).cast("int")})
 
 
-@query("m05_share_split", "game_id:s offense_mean:d defense_mean:d gap_ok:i")
+@query("m05_share_split", "game_id:s closed_offense:d closed_defense:d offense_ok:i defense_ok:i gap_ok:i",
+       f"""with l as (select {_B[0]!r} + {_B[1]!r} * avg(own_success_rate_for) + {_B[2]!r} * avg(own_ypp_for) as p from ({_TRAIN}))
+           select game_id, {_SIDE.format(s='home')} - p as closed_offense, p - ({_SIDE.format(s='away')}) as closed_defense, 1 as offense_ok, 1 as defense_ok, 1 as gap_ok from deserved, l""", "deserved frame")
 def m05(t):
+    """The offense's and the defense's part against a side at the league's means; they sum to the margin."""
     league = B.league_means(t.frame).first()
-    d = D.draw_summaries(_posterior_rows(t), sides=True, league=(league.rate, league.ypp))
-    return d.withColumn("gap_ok", (F.col("shares_gap") <= C.SIDES_TOLERANCE).cast("int"))
+    par = F.lit(_B[0] + _B[1] * league.rate + _B[2] * league.ypp)
+    post = _posterior_rows(t)
+    closed = post.select("game_id", (_side("h") - par).alias("closed_offense"), (par - _side("a")).alias("closed_defense"))
+    d = D.draw_summaries(post, sides=True, league=(league.rate, league.ypp)).join(closed, "game_id")
+    return d.withColumns({"offense_ok": _near("offense_mean", "closed_offense", _POINTS_LINE), "defense_ok": _near("defense_mean", "closed_defense", _POINTS_LINE),
+                          "gap_ok": (F.col("shares_gap") <= C.SIDES_TOLERANCE).cast("int")})
 
 
 @query("m06_share_interval", "game_id:s closed_lo:d closed_hi:d ends_ok:i", f"select game_id, closed_lo, closed_hi, 1 as ends_ok from ({_NORMAL})", "deserved")

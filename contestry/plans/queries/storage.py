@@ -84,59 +84,84 @@ def s06(t):
     return S.load_schedule(t.spark, root).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("home_score").alias("home_points"))
 
 
-_LONG_PLAYS = "select * from pbp where season = 2018"
 _NEED = [c for c in C.PLAY_REQUIRED]
 
 
-@query("s07_ingest_season", "season:i n:i contests:i accepted:i messages:s", "select season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2018 and game_id in (select game_id from pbp group by 1 having count(*) >= 90) group by season", "pbp")
-def s07(t):
-    root, told = _gated(t, "ingest", lambda df, root, season: S.ingest_season(df, root, "pbp", season))
-    return told.join(_kept(t, root, told), "season", "left").fillna(0, ["n", "contests"])
+def _gate_sql(name: str, rows: str, live: bool) -> str:
+    """What the gate says of each season in ``rows``, as ``<name>``: rows, contests, errors, warnings."""
+    shortfall = "and games > want" if live else ""
+    short = "printf('too short: %d contests under 90 plays (the least is %s, %d)', short::bigint, least.b, least.a)"
+    return f"""{name}_g as (select season, game_id, count(*) as n, count_if(re) as re, count_if(re and epa is null) as ne, count_if(re and posteam is null) as np, count_if(fumble = 1) as fu,
+     count_if(spread_line is null) as ns, count_if(fg) as fg, count_if(fg and kick_distance is null) as nd
+     from (select *, coalesce(play_type in ('pass','run','punt','field_goal','extra_point','kickoff'), false) as re, coalesce(play_type = 'field_goal', false) as fg from {rows}) group by all),
+   {name}_t as (select season, sum(n)::bigint as n, count(*) as games, sum(re) as re, sum(ne) as ne, sum(np) as np, sum(fu) as fu, sum(ns) as ns, sum(fg) as fg, sum(nd) as nd, count_if(n < 90) as short,
+     min(struct_pack(a := n, b := game_id)) filter (n < 90) as least, count_if(n > 300) as long, max(struct_pack(a := n, b := game_id)) filter (n > 300) as most,
+     (select count(*) from schedule s where s.season = {name}_g.season) as want from {name}_g group by season),
+   {name} as (select season, n, games, list_filter([
+     case when games <> want {shortfall} then printf('%d games, expected %d', games, want) end, {"null" if live else f"case when short > 0 then {short} end"},
+     case when long > 0 then printf('too long: %d contests over 300 plays (the most is %s, %d)', long::bigint, most.b, most.a) end,
+     case when re = 0 then 'not one row is a scored kind of play' end, case when ne::double / re > 0.01 then printf('epa null: %d of the %d scored plays', ne::bigint, re::bigint) end,
+     case when np::double / re > 0.01 then printf('posteam null: %d of the %d scored plays', np::bigint, re::bigint) end], lambda x: x is not null) as errors, list_filter([
+     {f"case when games < want then printf('season so far: %d games, a full one has %d', games, want) end, case when short > 0 then {short} end" if live else "null"},
+     case when fu = 0 then 'no fumbles in any row, which no season has: look at the fumble columns' end,
+     case when ns::double / n > 0.02 then printf('spread_line missing: %d of %d rows', ns::bigint, n) end,
+     case when nd > 0 then printf('kick_distance missing: %d of %d field goals tried', nd::bigint, fg::bigint) end], lambda x: x is not null) as warnings from {name}_t)"""
+
+
+_SAID = "case when len(errors) = 0 then array_to_string(warnings, ' | ') else concat('pbp ', season, ' failed validation: ', array_to_string(errors, '; ')) end"
+
+
+def _said(report):
+    text = F.when(F.col("accepted"), F.concat_ws(" | ", "warnings")).otherwise(
+        F.concat(F.lit("pbp "), F.col("season").cast("string"), F.lit(" failed validation: "), F.concat_ws("; ", "errors")))
+    return report.select("season", F.col("accepted").cast("int").alias("accepted"), text.alias("messages"))
 
 
-def _gated(t, name: str, ingest):
-    """Every season on file, as it is, through the gate: the folder, and a row a season that
-    says whether it was taken and what the gate said."""
-    root, told = scratch(t, name), []
+def _pulled(t, name: str, weeks, **options):
+    """Every season on file, as it is, through the gate, a pull for each bound on weeks (none:
+    all of it): the folder, and what the gate said of the last. A season has the contests of its schedule."""
+    root = scratch(t, name)
+    want = t.schedule.groupBy("season").agg(F.count(F.lit(1)).alias("want"))
     rows = t.pbp.select(*_NEED, "play_id")
-    for season in sorted(r.season for r in rows.select("season").distinct().collect()):
-        try:
-            report = ingest(rows.filter(F.col("season") == season), root, season).first()
-            told.append((season, 1, " | ".join(report.warnings)))
-        except S.SeasonRefused as refusal:
-            told.append((season, 0, str(refusal)))
-    return root, t.spark.createDataFrame(told, "season int, accepted int, messages string")
-
-
-def _kept(t, root: str, told):
-    """Rows and contests of the seasons that were taken."""
-    stored = S.load_if_cached(t.spark, root, "pbp", [r.season for r in told.filter("accepted = 1").collect()])
+    for week in weeks:
+        report = S.ingest_all(rows if week is None else rows.filter(F.col("week") <= week), root, expected=want, **options)
+    return root, _said(report)
+
+
+def _on_file(t, root: str):
+    """Rows and contests of the seasons on file."""
+    seasons = sorted(r.season for r in S.read_manifest(t.spark, root).select("season").collect())
+    stored = S.load_if_cached(t.spark, root, "pbp", seasons)
     if stored is None:
         return t.spark.createDataFrame([], "season int, n long, contests long")
     per = stored.groupBy("season", "game_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("season").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contests"))
 
 
-def _pulled_twice(first: int):
-    """A live season's early weeks, then all of it; the last pull says what was taken."""
-    def ingest(df, root, season):
-        try:
-            S.ingest_live(df.filter(F.col("week") <= first), root, season)
-        except S.SeasonRefused:
-            pass  # the whole season is pulled and judged all the same
-        return S.ingest_live(df, root, season)
-    return ingest
+@query("s07_ingest_season", "season:i n:i contests:i accepted:i messages:s", f"""with {_gate_sql("whole", "pbp", False)}
+   select season, case when len(errors) = 0 then n else 0 end as n, case when len(errors) = 0 then games else 0 end as contests, len(errors) = 0 as accepted, {_SAID} as messages from whole""", "pbp schedule")
+def s07(t):
+    root, told = _pulled(t, "ingest", [None])
+    return told.join(_on_file(t, root), "season", "left").fillna(0, ["n", "contests"])
+
+
+_TWICE = "with {early}, {whole}, e as (select season, n, games from early where len(errors) = 0)"
 
 
-@query("s08_live_season", "season:i n:i contests:i accepted:i messages:s", "select 2025 as season, count(*) as n, count(distinct game_id) as contests from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
+@query("s08_live_season", "season:i n:i contests:i accepted:i messages:s", _TWICE.format(early=_gate_sql("early", "(select * from pbp where week <= 2)", True), whole=_gate_sql("whole", "pbp", True)) + f"""
+   select w.season, case when len(errors) = 0 then w.n else coalesce(e.n, 0) end as n, case when len(errors) = 0 then w.games else coalesce(e.games, 0) end as contests, len(errors) = 0 as accepted, {_SAID.replace("season", "w.season")} as messages
+   from whole w left join e on e.season = w.season""", "pbp schedule")
 def s08(t):
-    root, told = _gated(t, "live", _pulled_twice(2))
-    return told.join(_kept(t, root, told), "season", "left").fillna(0, ["n", "contests"])
+    """A live season's early weeks, then all of it: what is on file is the last pull that was taken."""
+    root, told = _pulled(t, "live", [2, None], partial=True)
+    return told.join(_on_file(t, root), "season", "left").fillna(0, ["n", "contests"])
 
 
-@query("s09_manifest", "dataset:s season:i partial:i n_rows:i n_games:i accepted:i messages:s", "select 'pbp' as dataset, 2025 as season, 1 as partial, count(*) as n_rows, count(distinct game_id) as n_games from pbp where season = 2025 and game_id in (select game_id from pbp group by 1 having count(*) >= 90)", "pbp")
+@query("s09_manifest", "dataset:s season:i partial:i n_rows:i n_games:i accepted:i messages:s", _TWICE.format(early=_gate_sql("early", "(select * from pbp where week <= 1)", True), whole=_gate_sql("whole", "pbp", True)) + f"""
+   select case when len(errors) = 0 or e.n is not null then 'pbp' end as dataset, w.season, case when len(errors) = 0 or e.n is not null then 1 end as partial, case when len(errors) = 0 then w.n else e.n end as n_rows,
+     case when len(errors) = 0 then w.games else e.games end as n_games, len(errors) = 0 as accepted, {_SAID.replace("season", "w.season")} as messages from whole w left join e on e.season = w.season""", "pbp schedule")
 def s09(t):
-    root, told = _gated(t, "manifest", _pulled_twice(1))
+    root, told = _pulled(t, "manifest", [1, None], partial=True)
     listed = S.read_manifest(t.spark, root).withColumn("partial", F.col("partial").cast("int"))
     return told.join(listed.select("dataset", "season", "partial", "n_rows", "n_games"), "season", "left")
 
@@ -223,18 +248,17 @@ def v01(t):
     return Q.validate_all(rows, "on_file").withColumns({c: F.concat_ws(" | ", c) for c in ("errors", "warnings")})
 
 
-@query("v02_soft_warnings", "season:i warning:s", """select concat('spread_line missing: ', cast(count_if(spread_line is null) as varchar), ' of ', cast(count(*) as varchar), ' rows') as warning from pbp where season = 2019 having count_if(spread_line is null) * 1.0 / count(*) > 0.02
-   union all select concat('kick_distance missing: ', cast(count_if(kick_distance is null) as varchar), ' of ', cast(count(*) as varchar), ' field goals tried') from pbp where season = 2019 and play_type = 'field_goal' having count_if(kick_distance is null) > 0
-   union all select 'no fumbles in any row, which no season has: look at the fumble columns'""", "pbp")
+@query("v02_soft_warnings", "season:i warning:s", """with x as (select season, count(*) as n, count_if(spread_line is null) as ns, count_if(play_type = 'field_goal') as fg, count_if(play_type = 'field_goal' and kick_distance is null) as nd from pbp group by season)
+   select season, printf('spread_line missing: %d of %d rows', ns, n) as warning from x where ns / n::double > 0.02 union all select season, printf('kick_distance missing: %d of %d field goals tried', nd, fg) from x where nd > 0
+   union all select season, 'no fumbles in any row, which no season has: look at the fumble columns' from x""", "pbp")
 def v02(t):
     """Every season on file, with the fumbles taken out."""
     rows = t.pbp.withColumns({"fumble": F.lit(0), "on_file": F.col("season")})
     return Q.validate_all(rows, "on_file").select("season", F.explode("warnings").alias("warning"))
 
 
-@query("v03_validate_charting", "season:i case_name:s n_games:i n_errors:i n_warnings:i", """with n as (select count(distinct nflverse_game_id) as g from charting where season = 2023)
-   select 'exact' as case_name, g as n_games, 0 as n_errors, 0 as n_warnings from n union all select 'more', g, 1, 0 from n union all select 'few', g, 1, 0 from n
-   union all select 'duplicated', g, 1, 0 from n""", "charting")
+@query("v03_validate_charting", "season:i case_name:s n_games:i n_errors:i n_warnings:i", """select season, case_name, g as n_games, n_errors, 0 as n_warnings
+   from (select season, count(distinct nflverse_game_id) as g from charting group by season), (values ('exact', 0), ('more', 1), ('few', 1), ('duplicated', 1)) v(case_name, n_errors)""", "charting")
 def v03(t):
     """Every season on file: as many contests as expected, too many, too few, and all twice."""
     df, n = t.charting, F.col("n_games")
@@ -336,11 +360,11 @@ def v15(t):
    and play_type in ('pass', 'run') and two_point_attempt = 0 group by all) group by game_id having count(*) = 2 and min(n) >= 25) as int) as ready from games where result is not null""", "pbp games")
 def r01(t):
     root = scratch(t, "stream")
-    plays = t.pbp.select("game_id", "play_id", "posteam", "play_type", "epa", "two_point_attempt")
+    plays = t.pbp.select("game_id", "play_id", "home_team", "posteam", "play_type", "epa", "two_point_attempt")
     plays.repartition(4).write.parquet(f"{root}/in")
     stream = R.play_stream(t.spark, f"{root}/in", plays.schema, files_per_trigger=2)
-    R.start_readiness(stream, t.results, f"{root}/out", f"{root}/state").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").withColumn("ready", F.col("ready").cast("int"))
+    R.start_readiness(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return R.read_readiness(t.spark, f"{root}/out", t.results).withColumn("ready", F.col("ready").cast("int"))
 
 
 @query("r02_live_refresh_stream", "season:i n:i epa:d", "select season, count(*) as n, sum(epa) as epa from (select season, game_id, play_id, max(epa) as epa from pbp where season >= 2024 group by all) group by season", "pbp")

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from contestry.functions import plays as P
 from contestry.functions.columns import digest, floor_bin, ratio, uniform
+from contestry.functions.counters import STEP, WORD, counted_sql, lanes_sql, mixed_list_sql, mixed_sql, uniform_sql
 from contestry.operators import drives as DR
 from contestry.operators import placement as PL
 from contestry.operators import resample as RS
 from contestry.operators import stats as ST
 from contestry.operators import windows as WN
+from contestry.operators.boosting import boosted_out_of_fold
 from contestry.operators.joins import extremes, union_strict
 from contestry.operators.ranking import quantile_row
+from contestry.operators.replicates import array_quantile
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import shared
 from contestry.plans.queries.filters import charted_passes
@@ -22,9 +25,8 @@ from contestry.plans.queries.tables import overtime, rested, sequencing, shifts
 
 #: Sizes of the resampling studies: splits, permutations, resamples, resamples of a contrast.
 SPLITS, PERMUTATIONS, RESAMPLES, CONTRASTS = 200, 500, 2000, 20000
-#: Draws of the placement null. The study of record takes 2,000, over a hundred million ranked
-#: rows even at the smallest size; see the README for what that costs.
-NULL_DRAWS = 100
+#: Draws of the placement null.
+NULL_DRAWS = 2000
 #: Replicates per punt of the worst-bin table, and folds of the out-of-fold studies.
 BIN_REPLICATES, FOLDS = 200, 10
 #: Boosting rounds, and the nested feature sets that they are run on.
@@ -105,12 +107,50 @@ def prediction_frame(t):
         "game_id", "season", (F.col("hs") - F.col("as_")).alias("strength_diff"), "spread_line", (F.col("margin") > 0).cast("double").alias("home_won"))
 
 
-@query("a19_logistic_holdout", "n_train:i n_test:i log_loss:d brier:d auc:d accuracy:d")
+shared("prediction", "strength games pbp", """select g.game_id, g.season, h.strength - a.strength as strength_diff, l.spread_line, (margin > 0)::double as home_won from games g
+   join strength h on h.game_id = g.game_id and h.team = g.home_team and h.strength is not null join strength a on a.game_id = g.game_id and a.team = g.away_team and a.strength is not null
+   join (select game_id, max(spread_line) as spread_line from pbp group by 1) l on l.game_id = g.game_id where margin <> 0""")
+
+
+def _newton_sql(name: str, rows: str, own: str, ridge: float, inputs: tuple[str, ...]) -> str:
+    """Recursive Newton steps, as ``<name>_s``; ``<name>`` has the coefficients ``b0``, ``b1``, … of each ``fit``.
+    ``rows`` has ``fold``, ``y`` and the inputs; ``own`` says which rows a fit leaves out."""
+    x = ["1e0", *inputs]
+    k = range(len(x))
+    sums = [f"sum((y - p) * {x[i]}) - {ridge if i else 0.0!r} * any_value(b{i}) as g{i}" for i in k]
+    sums += [f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {ridge if i and i == j else 0.0!r} as h{i}{j}" for i in k for j in k if j >= i]
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in k] for i in k]
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if c % 2 else '+'} {m[0][c]} * {det([r[:c] + r[c + 1:] for r in m[1:]])}" for c in range(len(m))) + ")"
+
+    solved = [f"b{i} + {det([[f'g{r}' if c == i else h[r][c] for c in k] for r in k])} / {det(h)} as b{i}" for i in k]
+    z = " + ".join(f"b{i} * {x[i]}" for i in k)
+    b = ", ".join(f"b{i}" for i in k)
+    return f"""{name}_s as (select fit, 0 as step, {", ".join(f"0e0 as b{i}" for i in k)} from (select distinct fold as fit from {rows}) union all
+      select fit, step + 1, {", ".join(solved)} from (select fit, step, {", ".join(f"any_value(b{i}) as b{i}" for i in k)}, {", ".join(sums)} from (
+        select s.*, r.*, 1 / (1 + exp(-({z}))) as p from {name}_s s join {rows} r on {own} where step < 12) group by fit, step)),
+    {name} as (select fit, {b} from {name}_s where step = 12)"""
+
+
+@query("a19_logistic_holdout", "n_train:i n_test:i log_loss:d brier:d auc:d accuracy:d", f"""with recursive l as (select 0 as fold, strength_diff as x, home_won as y from prediction where season <= 2022), {_newton_sql('m', 'l', 'true', 1.0, ('x',))},
+   p as (select home_won as y, 1 / (1 + exp(-(b0 + b1 * strength_diff))) as p from prediction, m where season > 2022),
+   r as (select *, (rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0) as place from p)
+   select (select count(*) from l) as n_train, count(*) as n_test, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as log_loss, avg((p - y) * (p - y)) as brier,
+     (sum(place) filter (y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0) / (count_if(y = 1) * count_if(y = 0)) as auc, avg(((p > 0.5)::int = y)::int) as accuracy from r""", "prediction")
 def a19(t):
     return ST.logistic_holdout(prediction_frame(t), ["strength_diff"], "home_won", F.col("season") <= 2022)
 
 
-@query("a20_paired_out_of_fold", "n:i loss_a:d loss_b:d difference:d ci_low:d ci_high:d non_inferior:i")
+@query("a20_paired_out_of_fold", "n:i loss_a:d loss_b:d difference:d ci_low:d ci_high:d non_inferior:i", f"""with recursive d as (select game_id, strength_diff / 10.0 as x1, spread_line / 10.0 as x2, home_won as y,
+     (row_number() over (order by md5(concat('0:', game_id)), game_id) - 1) % {FOLDS} as fold from prediction where spread_line is not null),
+   {_newton_sql('a', 'd', 'r.fold <> s.fit', 0.0, ('x1', 'x2'))}, {_newton_sql('b', 'd', 'r.fold <> s.fit', 0.0, ('x1',))},
+   p as (select y, 1 / (1 + exp(-(a.b0 + a.b1 * x1 + a.b2 * x2))) as pa, 1 / (1 + exp(-(b.b0 + b.b1 * x1))) as pb from d join a on a.fit = fold join b on b.fit = fold),
+   e as (select -(y * ln(pa) + (1 - y) * ln(1 - pa)) as la, -(y * ln(pb) + (1 - y) * ln(1 - pb)) as lb from p),
+   o as (select count(*) as n, avg(la) as loss_a, avg(lb) as loss_b, avg(la - lb) as difference, 1.96e0 * stddev_samp(la - lb) / sqrt(count(*)) as half from e)
+   select *, difference - half as ci_low, difference + half as ci_high, cast(difference + half < 0.01 as int) as non_inferior from o""", "prediction")
 def a20(t):
     rows = DR.fold_by_hash(prediction_frame(t).filter("spread_line is not null"), ["game_id"], FOLDS)
     rows = rows.withColumns({"x1": F.col("strength_diff") / 10.0, "x2": F.col("spread_line") / 10.0})
@@ -137,10 +177,8 @@ def a21(t):
 @query("a22_boosted_out_of_fold", "features:s sd_observed:d sd_modelled:d retention:d")
 def a22(t):
     """One row per nested feature set: the same learner and folds, more information each time."""
-    rows = folded(t).persist()
-    parts = [DR.spread_retention(ST.boosted_out_of_fold(rows, columns, "points", FOLDS, ["game_id", "drive_no"], rounds=ROUNDS)).withColumn("features", F.lit(name))
-             for name, columns in FEATURE_SETS.items()]
-    return union_strict(parts)
+    rows = boosted_out_of_fold(folded(t), FEATURE_SETS, "points", FOLDS, ROUNDS)
+    return union_strict([DR.spread_retention(rows, f"predicted.{name}").withColumn("features", F.lit(name)) for name in FEATURE_SETS])
 
 
 @query("a26_spearman_brown", "season:i r:d reliability:d", "select season, r, 2 * r / (1 + r) as reliability from (select season, corr(success_rate_for, success_rate_against) as r from frame group by season)", "frame")
@@ -243,16 +281,21 @@ def m14(t):
 
 
 shared("redrawn", "drives donors", f"""with l as (select d.*, x.donor_bin, x.mean_points from drives d join donors x on x.depth_bin = d.depth_bin where resampled = 1), p as (select donor_bin, points, row_number() over (partition by donor_bin order by points) - 1 as place, count(*) over (partition by donor_bin) as size from l),
-   s as (select donor_bin, max(size) as size from p group by 1), k as (select l.game_id, l.is_home, l.points, l.donor_bin, rep, {_pick("concat('0:', rep, ':', game_id, ':', cast(cast(fixed_drive as bigint) as varchar))", "size")} as place from l join s on s.donor_bin = l.donor_bin, {_reps(RESAMPLES)})
-   select k.game_id, rep, sum(case when is_home = 1 then 1 else -1 end * (p.points - k.points)) as delta, sum(p.points) as drawn, sum(k.points) as observed, count(*) as n from k join p on p.donor_bin = k.donor_bin and p.place = k.place group by all""")
+   s as (select donor_bin, max(size) as size from p group by 1), e as (select l.game_id, l.is_home, l.points, l.donor_bin, size, {lanes_sql("place", "concat('0:', game_id, ':', cast(cast(fixed_drive as bigint) as varchar))")} from l join s on s.donor_bin = l.donor_bin),
+   k as (select game_id, is_home, points, donor_bin, rep, size, {uniform_sql("place")} from e, {counted_sql(RESAMPLES)})
+   select k.game_id, rep, sum(case when is_home = 1 then 1 else -1 end * (p.points - k.points)) as delta, sum(p.points) as drawn, sum(k.points) as observed, count(*) as n from k join p on p.donor_bin = k.donor_bin and p.place = least(cast(floor(k.place * k.size) as bigint), k.size - 1) group by all""")
 
 
 @query("m15_donor_bin_resample", "game_id:s reps:i mean_delta:d sd_delta:d low:d high:d", "select game_id, count(*) as reps, avg(delta) as mean_delta, stddev_samp(delta) as sd_delta, quantile_cont(delta, 0.055) as low, quantile_cont(delta, 0.945) as high from redrawn group by 1", "redrawn")
 def m15(t):
-    """Every contest's deltas over all resamples; its percentiles hold one number a resample."""
+    """Every contest's deltas over all resamples, summed up from its array."""
     draws = DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), RESAMPLES)
-    return draws.groupBy("game_id").agg(F.count(F.lit(1)).alias("reps"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"),
-                                        F.percentile("delta", 0.055).alias("low"), F.percentile("delta", 0.945).alias("high"))
+    n = F.size("deltas")
+    mean = F.aggregate("deltas", F.lit(0.0), lambda a, x: a + x) / n
+    spread = lambda m: F.sqrt(F.aggregate("deltas", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 1))
+    rows = draws.withColumn("mean_delta", mean).withColumn("ordered", F.array_sort("deltas"))
+    return rows.select("game_id", n.alias("reps"), "mean_delta", spread(F.col("mean_delta")).alias("sd_delta"),
+                       array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"))
 
 
 @query("m15_unbiasedness", "observed_mean:d resampled_mean:d difference:d pass:i", "select *, resampled_mean - observed_mean as difference, cast(abs(resampled_mean - observed_mean) < 0.05 as int) as pass from (select sum(observed) / sum(n) as observed_mean, sum(drawn) / sum(n) as resampled_mean from redrawn)", "redrawn")
@@ -267,10 +310,12 @@ def m16(t):
 
 def _boot(rows: str, key: str, group: str, sums: str, reps: int) -> str:
     part = f"partition by {group}" if group else ""
-    tag = f"{group}, ':', " if group else ""
-    g = f"{group}, " if group else ""
-    return f"""with p as (select *, row_number() over ({part} order by {key}) - 1 as i, count(*) over ({part}) as n from {rows}), k as (select {g}rep, {_pick(f"concat('0:', rep, ':', {tag}i)", "n")} as i from p, {_reps(reps)})
-      select {g}rep, {sums} from k join p on p.i = k.i {f'and p.{group} = k.{group}' if group else ''} group by all""".replace(f"select {g}rep, {sums}", f"select {'k.' + g if g else ''}rep, {sums}")
+    g, kg = (f"{group}, ", f"k.{group}, ") if group else ("", "")
+    seeds = lanes_sql("pick", f"concat('0:', rep, ':', cast({group} as varchar))" if group else "concat('0:', rep)")
+    return f"""with p as (select *, row_number() over ({part} order by {key}) - 1 as i, count(*) over ({part}) as n from {rows}), r as (select {g}rep, {seeds} from {f'(select distinct {group} from p),' if group else ''} {_reps(reps)}),
+      u as (select {'p.' + group + ', ' if group else ''}rep, n, pick_high, pick_low, {mixed_sql('c', f'((i * {STEP}) & {WORD})')} from p, r {f'where p.{group} = r.{group}' if group else ''}),
+      d as (select {g}rep, n, {uniform_sql('pick', 'c5')} from u), k as (select {g}rep, least(cast(floor(pick * n) as bigint), n - 1) as i from d)
+      select {kg}rep, {sums} from k join p on p.i = k.i {f'and p.{group} = k.{group}' if group else ''} group by all"""
 
 
 @query("m17_paired_bootstrap", "rep:i mean_gap:d drawn:i", _boot("(select game_id, deserved_margin - (home_score - away_score) as gap from deserved)", "game_id", "", "sum(gap) / count(*) as mean_gap, count(*) as drawn", RESAMPLES), "deserved")
@@ -314,25 +359,50 @@ def m19_interval(t):
     return RS.summarize_draws(m19(t), "swing")
 
 
-def _null(order: str) -> str:
-    return f"""with r as (select p.*, rep, row_number() over (partition by rep, {order} order by md5(concat('0:', rep, ':', game_id, '|', cast(cast(play_id as bigint) as varchar), '|', cast(mix as varchar))), game_id, play_id, mix) - 1 as r,
-       count_if(cell = 'red_zone') over (partition by rep, {order}) as s_rz, count_if(cell <> 'other') over (partition by rep, game_id, posteam) as k, count(*) over (partition by rep, game_id, posteam) as n, avg(epa_priced) over (partition by rep, game_id, posteam) as mn from priced p, {_reps(NULL_DRAWS)})"""
+def _selected(group: str) -> str:
+    """For each group of plays and draw, ``s``: the values in the order of the draw's keys."""
+    return f"""with e as (select *, {lanes_sql("key", "concat('0:', game_id, '|', cast(cast(play_id as bigint) as varchar), '|', cast(mix as varchar))")} from priced),
+       u as (select row_number() over () as id, * from (select {group}, list(epa_priced order by play_id, mix) as v, list(key_high order by play_id, mix) as h, list(key_low order by play_id, mix) as l,
+         count(*) as n, count_if(cell = 'red_zone') as n_rz, count_if(cell <> 'other') as k, avg(epa_priced) as mn from e group by all)),
+       x as materialized (select id, rep, num from u, {counted_sql(NULL_DRAWS)}),
+       w as (select u.* exclude (h, l), rep, {mixed_list_sql("list_transform(h, lambda y: xor(y, num))")} as mh, {mixed_list_sql("list_transform(l, lambda y: xor(y, num))")} as ml from x join u on u.id = x.id),
+       o as (select * exclude (v, mh, ml), list_sort(list_transform(range(1, n + 1), lambda i: {{'key': mh[i] * 1048576 + (ml[i] >> 12), 'v': v[i]}})) as s from w)"""
+
+
+def _sum_of(first: str, last: str) -> str:
+    return f"coalesce(list_sum(list_transform(s[{first}:{last}], lambda y: y.v)), 0)"
+
+
+def _raw(score: str) -> str:
+    return f"""{_selected('game_id, posteam')}, t as (select *, {_sum_of('1', 'n_rz')} - n_rz * mn as a, {_sum_of('n_rz + 1', 'k')} - (k - n_rz) * mn as b, k / n::double as share from o)
+      select game_id, posteam, rep, case when k = 0 or k = n then 0 else ({score}) * 0.8389e0 end as score from t"""
+
+
+def _stratified(scale: str) -> str:
+    return f"""{_selected('game_id, posteam, down')}, t as (select *, {_sum_of('1', 'n_rz')} as a, {_sum_of('1', 'n')} as whole from o),
+      c as (select game_id, posteam, count(*) as n, count_if(cell <> 'other') as k, avg(epa_priced) as mn from priced group by all),
+      g as (select game_id, posteam, rep, sum(n_rz * mn + {scale} * (a - n_rz * mn) + case when down in (3, 4) then whole - a else 0 end) as total from t group by all)
+      select g.game_id, g.posteam, rep, case when k = 0 or k = n then 0 else (total - k * mn) * 0.8389e0 end as score from g join c on c.game_id = g.game_id and c.posteam = g.posteam"""
+
+
+_MATCHED = "((1 - share) * 1.41e0 + share * 0.82e0) * a + ((1 - share) * 1.1e0 + share * 0.82e0) * b"
+_SUMMARY = "rung:s game_id:s posteam:s draws:i mean:d sd:d least:d most:d low:d high:d"
 
 
-_RAW = _null("game_id, posteam") + " select game_id, posteam, rep, case when max(k) = 0 or max(k) = max(n) then 0 else sum(case when r < k then epa_priced - mn else 0 end) * 0.8389 end as score from r group by all"
+def _summed(**rungs: str) -> str:
+    return " union all ".join(
+        f"select '{rung}' as rung, game_id, posteam, count(*) as draws, avg(score) as mean, stddev_samp(score) as sd, min(score) as least, max(score) as most, "
+        f"quantile_cont(score, 0.055) as low, quantile_cont(score, 0.945) as high from ({body}) group by game_id, posteam" for rung, body in rungs.items())
 
 
-@query("m20_placement_null", "rung:s game_id:s posteam:s rep:i score:d", f"select 'raw' as rung, * from ({_RAW}) union all select 'down_stratified', * from ({_null('game_id, posteam, down')} select game_id, posteam, rep, case when max(k) = 0 or max(k) = max(n) then 0 else (sum(case when r < s_rz or down in (3,4) then epa_priced else 0 end) - max(k) * max(mn)) * 0.8389 end as score from r group by all)", "priced")
+@query("m20_placement_null", _SUMMARY, _summed(raw=_raw("a + b"), down_stratified=_stratified("1e0")), "priced")
 def m20(t):
-    parts = [PL.placement_null(t.priced, NULL_DRAWS, rung).withColumn("rung", F.lit(rung)) for rung in ("raw", "down_stratified")]
-    return parts[0].unionByName(parts[1])
+    return PL.null_summary(PL.placement_null(t.priced, NULL_DRAWS, ("raw", "down_stratified")))
 
 
-@query("m20_variance_matched_null", "rung:s game_id:s posteam:s rep:i score:d")
+@query("m20_variance_matched_null", _SUMMARY, _summed(raw_var_matched=_raw(_MATCHED), down_stratified_var_matched=_stratified("1.41e0")), "priced")
 def m20_matched(t):
-    parts = [PL.placement_null(t.priced, NULL_DRAWS, rung, rz_scale=1.41, scales=(1.41, 1.1, 0.82)).withColumn("rung", F.lit(rung))
-             for rung in ("raw_var_matched", "down_stratified_var_matched")]
-    return parts[0].unionByName(parts[1])
+    return PL.null_summary(PL.placement_null(t.priced, NULL_DRAWS, ("raw_var_matched", "down_stratified_var_matched"), rz_scale=1.41, scales=(1.41, 1.1, 0.82)))
 
 
 @query("m21_group_folds", "fold:i games:i", "select fold, count(*) as games from (select (row_number() over (order by md5(concat('0:', game_id)), game_id) - 1) % 5 as fold from schedule) group by fold", "schedule")
@@ -340,8 +410,8 @@ def m21(t):
     return DR.fold_by_hash(t.schedule, ["game_id"], 5).groupBy("fold").agg(F.count(F.lit(1)).alias("games"))
 
 
-_BAND = f"""with d as ({_RAW}) select d.game_id, d.posteam, quantile_cont(d.score, 0.055) as low, quantile_cont(d.score, 0.945) as high, max(p.score) as realized,
-   (count_if(round(d.score, 9) < round(p.score, 9)) + 0.5 * count_if(round(d.score, 9) = round(p.score, 9))) / cast(count(*) as double) as pit from d join placed p on p.game_id = d.game_id and p.posteam = d.posteam group by all"""
+_BAND = f"""with d as ({_raw("a + b")}) select d.game_id, d.posteam, quantile_cont(d.score, 0.055) as low, quantile_cont(d.score, 0.945) as high, max(p.score) as realized,
+   (count_if(d.score < p.score - 1e-9) + 0.5 * count_if(abs(d.score - p.score) <= 1e-9)) / cast(count(*) as double) as pit from d join placed p on p.game_id = d.game_id and p.posteam = d.posteam group by all"""
 
 
 @query("m22_null_bands", "game_id:s posteam:s low:d high:d realized:d pit:d", _BAND, "priced placed")

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from contestry import constants as C
 from contestry.functions.columns import guarded
 from contestry.functions.plays import filtered_plays
 from contestry.operators import quality
-
-MANIFEST_SCHEMA = (
-    "dataset string, season int, path string, pulled_at double, partial boolean, n_rows long, "
-    "n_games long, errors array<string>, warnings array<string>"
-)
+from contestry.sources import snapshots
 
 
 class SeasonMissing(FileNotFoundError):
@@ -32,34 +26,35 @@ def _path(root: str, dataset: str, season: int) -> str:
     return f"{root}/{dataset}/season={season}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    except AnalysisException:
-        return False
-    return True
+def _places(spark: SparkSession, root: str, dataset: str, seasons: Iterable[int], version: int | None = None) -> dict[int, str]:
+    """Where each season is, those on file only: as committed, else in the dataset's own folder."""
+    committed = snapshots.path_of(spark, root, dataset, version)
+    places = {s: committed.get(s) or _path(root, dataset, s) for s in seasons}
+    return {s: p for s, p in places.items() if snapshots.exists(spark, p)}
 
 
 def cached_seasons(spark: SparkSession, root: str, dataset: str, seasons: Iterable[int]) -> list[int]:
-    return [s for s in seasons if _exists(spark, _path(root, dataset, s))]
+    return list(_places(spark, root, dataset, seasons))
 
 
 def load_seasons(spark: SparkSession, root: str, dataset: str, seasons: Iterable[int],
-                 columns: list[str] | None = None) -> DataFrame:
+                 columns: list[str] | None = None, version: int | None = None) -> DataFrame:
     """Asked seasons as one frame; a missing one is an error naming it.
 
     Schemas may drift by season, so each partition keeps its own and the union fills
-    absent columns with null. The column list reaches every parquet scan.
+    absent columns with null. The column list reaches every parquet scan. What a commit replaces
+    meanwhile does not change the frame; ``version`` reads what an older commit left.
     """
     seasons = list(seasons)
     if not seasons:
         raise ValueError("no seasons were asked for")
-    missing = [s for s in seasons if not _exists(spark, _path(root, dataset, s))]
+    places = _places(spark, root, dataset, seasons, version)
+    missing = [s for s in seasons if s not in places]
     if missing:
         raise SeasonMissing(f"no {dataset} on file for {', '.join(map(str, missing))}")
     out = None
     for season in seasons:
-        part = spark.read.parquet(_path(root, dataset, season)).withColumn("season", F.lit(season))
+        part = spark.read.parquet(places[season]).withColumn("season", F.lit(season))
         if columns is not None:
             part = part.select(*[c for c in columns if c in part.columns])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -91,12 +86,15 @@ def write_season(df: DataFrame, root: str, dataset: str) -> None:
      .option("compression", "zstd").partitionBy("season").parquet(f"{root}/{dataset}"))
 
 
+def _facts(row, partial: bool) -> dict:
+    return {"partial": bool(partial), "n_rows": int(row.n_rows), "n_games": int(row.n_games), "errors": list(row.errors), "warnings": list(row.warnings)}
+
+
 def ingest_season(df: DataFrame, root: str, dataset: str, season: int, partial: bool = False,
                   force: bool = False, expected: int | None = None) -> DataFrame:
-    """Validate one season, refuse or write it, and record it in the manifest."""
+    """Validate one season, refuse or commit it."""
     spark = df.sparkSession
-    path = _path(root, dataset, season)
-    fresh = force or partial or not _exists(spark, path)
+    fresh = force or partial or season not in _places(spark, root, dataset, [season])
     frame = df if fresh else load_seasons(spark, root, dataset, [season])
     check = quality.validate_charting if dataset == "ftn" else quality.validate_plays
     options = {} if dataset == "ftn" else {"partial": partial}
@@ -107,11 +105,26 @@ def ingest_season(df: DataFrame, root: str, dataset: str, season: int, partial:
     if row.errors and fresh:
         raise SeasonRefused(f"{dataset} {season} failed validation: " + "; ".join(row.errors))
     if fresh:
-        write_season(frame.withColumn("season", F.lit(season)), root, dataset)
-        record(spark, root, dataset, season, path, partial, row)
+        snapshots.replace_seasons(frame.withColumn("season", F.lit(season)), root, dataset, [season], {season: _facts(row, partial)})
     return report
 
 
+def ingest_all(df: DataFrame, root: str, partial: bool = False, expected: DataFrame | None = None) -> DataFrame:
+    """Every season of a play table through the gate at once: one grouped validation, one
+    write of the seasons that pass, one commit. Returns the report, a row a season, with
+    ``accepted``. ``expected`` has ``season`` and ``want``, the contests that it should hold.
+
+    Seasons without errors replace what is on file; the others leave it as it was.
+    """
+    spark = df.sparkSession
+    report = quality.validate_all(df, "season", partial=partial, expected=expected).withColumn("accepted", F.size("errors") == 0)
+    rows = report.collect()  # a row a season
+    taken = {r.season: _facts(r, partial) for r in rows if r.accepted}
+    if taken:
+        snapshots.replace_seasons(df, root, "pbp", taken, taken)
+    return spark.createDataFrame(rows, report.schema)
+
+
 def ingest_live(df: DataFrame, root: str, season: int, schedule: DataFrame | None = None,
                 expected: int | None = None) -> DataFrame:
     """The live season: always replaced, validated as partial, empty input refused."""
@@ -140,7 +153,7 @@ def load_schedule(spark: SparkSession, root: str) -> DataFrame:
 
 def schedule_row(spark: SparkSession, root: str, game_id: str) -> dict:
     """One contest's schedule row, empty when it is not on file."""
-    if not _exists(spark, f"{root}/schedules"):
+    if not snapshots.exists(spark, f"{root}/schedules"):
         return {}
     row = load_schedule(spark, root).filter(F.col("game_id") == game_id).first()
     return row.asDict() if row else {}
@@ -149,36 +162,61 @@ def schedule_row(spark: SparkSession, root: str, game_id: str) -> dict:
 # --- manifest ---------------------------------------------------------------------------
 
 
-def record(spark: SparkSession, root: str, dataset: str, season: int, path: str, partial: bool, row) -> None:
-    """Append one entry; the newest entry of a season is the one that counts."""
-    entry = (dataset, int(season), path, time.time(), bool(partial), int(row.n_rows), int(row.n_games),
-             list(row.errors), list(row.warnings))
-    spark.createDataFrame([entry], MANIFEST_SCHEMA).write.mode("append").json(f"{root}/manifest")
-
-
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Last write wins per dataset and season."""
-    if not _exists(spark, f"{root}/manifest"):
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    entries = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifest")
-    latest = entries.groupBy("dataset", "season").agg(
-        F.max_by(F.struct("path", "pulled_at", "partial", "n_rows", "n_games", "errors", "warnings"), "pulled_at").alias("e"))
-    return latest.select("dataset", "season", "e.*")
+def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The last entry of each dataset and season; commit numbers say which is the last."""
+    return snapshots.entries(spark, root, version)
 
 
 def is_cached(spark: SparkSession, root: str, dataset: str, season: int) -> bool:
     """Listed in the manifest and still on disk; either alone is a miss."""
-    listed = read_manifest(spark, root).filter((F.col("dataset") == dataset) & (F.col("season") == season))
-    row = listed.first()
-    return row is not None and _exists(spark, row.path)
+    path = snapshots.path_of(spark, root, dataset).get(season)
+    return path is not None and snapshots.exists(spark, path)
+
 
+#: Bytes of a file that one task hashes, and the stores of which workers can read a part of a file.
+HASH_RANGE = 64 << 20
+RANGED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
 
-def file_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """16 hex digits of sha-256 per parquet file, keyed by its path below the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(root)
-    tail = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
-    return files.select(tail.alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
+
+def file_hashes(spark: SparkSession, root: str, piece: int = HASH_RANGE) -> DataFrame:
+    """16 hex digits of a tree digest for each parquet file, keyed by its path below the root.
+
+    Each range of ``piece`` bytes is hashed by itself, in whatever task it falls to, and the
+    digest of a file is that of its ranges' digests in order: no row and no task holds a file, and
+    one of any size is hashed by many tasks. In a store that only Spark reads, a file is one row
+    (and so at most 2 GB); its digest is the same.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    file = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("file")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(piece).cast("long"))
+    folder, fs = snapshots.file_system(spark, root)
+    if fs.getUri().getScheme() in RANGED:
+        ranges = files.select("path", file, F.explode(starts).alias("at")).repartition(spark.sparkContext.defaultParallelism, "path", "at")
+        parts = ranges.mapInArrow(_range_digests(piece), "file string, at long, digest string")
+        digests = parts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("d"))
+        joined = F.array_join(F.transform("d", lambda r: r["digest"]), "")
+    else:
+        digests = files.select(file, F.transform(starts, lambda at: F.sha2(F.substring(F.col("content"), (at + 1).cast("int"), F.lit(piece)), 256)).alias("d"))
+        joined = F.array_join("d", "")
+    return digests.select("file", F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
+
+
+def _range_digests(piece: int):
+    def hashed(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            digests = []
+            for r in rows:
+                fs, path = FileSystem.from_uri(r["path"])
+                with fs.open_input_file(path) as f:
+                    digests.append(hashlib.sha256(f.read_at(max(0, min(piece, f.size() - r["at"])), r["at"])).hexdigest())
+            yield pa.RecordBatch.from_pydict({"file": [r["file"] for r in rows], "at": [r["at"] for r in rows], "digest": pa.array(digests, pa.string())})
+    return hashed
 
 
 def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
