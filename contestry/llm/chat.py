@@ -40,19 +40,21 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     ``messages`` has unique ``id`` and ``parent`` (null, or an id that is missing, at a root).
     Jumps of 1, 2, 4, … replies are built by joining the jumps with themselves until none is
     left; each leaf then climbs by the largest jumps first, so that paths of n messages take
-    about 2 log n joins and no row holds more than one message. Messages on a cycle have no
-    root and no leaf and give no path.
+    about 2 log n joins and no row holds more than one message. Messages on a cycle, and those
+    that answer to one, have no root and give no path: they alone still have an ancestor when
+    the jump is longer than all messages together.
     """
     known = messages.select(F.col("id").alias("parent"))
-    jump = staged(messages.select("id", "parent").join(known, "parent", "left_semi").select("id", F.col("parent").alias("up")).filter("id <> up"))
+    jump = staged(messages.select("id", "parent").join(known, "parent", "left_semi").select("id", F.col("parent").alias("up")))
     jumps: list[DataFrame] = []
-    while jump.limit(1).count():
+    rounds = messages.count().bit_length()
+    while (some := bool(jump.limit(1).count())) and len(jumps) < rounds:
         jumps.append(jump)
-        if len(jumps) > 40:
-            raise ValueError("replies form a cycle")
         further = jump.select(F.col("id").alias("up"), F.col("up").alias("next"))
         jump = staged(jump.join(further, "up").select("id", F.col("next").alias("up")))
     leaves = messages.select("id").join(jumps[0].select(F.col("up").alias("id")), "id", "left_anti") if jumps else messages.select("id")
+    if some:
+        leaves = leaves.join(jump.select("id"), "id", "left_anti")
     paths = staged(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).alias("height")))
     for k in reversed(range(len(jumps))):
         above = paths.join(jumps[k], "id").select("leaf", F.col("up").alias("id"), (F.col("height") + (1 << k)).alias("height"))
