@@ -35,36 +35,76 @@ def game_seed(game_id: str, seed: int = C.SEED_OF_RECORD) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}:{game_id}".encode()).digest()[:8], "big")
 
 
-def _cdf_grid() -> tuple[np.ndarray, np.ndarray]:
-    x = np.linspace(-9.0, 9.0, 36_001)
-    return x, np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in x])
+#: Half-width of the table of the normal distribution function, and its steps per unit.
+_REACH, _STEPS = 9.0, 2000
 
 
-def _one_contest(row: Any, spec: dict, grid) -> tuple:
-    """Draw order is fixed: weights, home rate, away rate, home yards, away yards."""
+def _cdf_grid() -> np.ndarray:
+    x = np.linspace(-_REACH, _REACH, int(2 * _REACH * _STEPS) + 1)
+    return np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in x])
+
+
+def _normal_cdf(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Linear between grid points; the grid is even, so a value's place is a product, not a search."""
+    place = (np.clip(x, -_REACH, _REACH) + _REACH) * _STEPS
+    low = np.minimum(place.astype(np.int64), len(grid) - 2)
+    left = grid[low]
+    return left + (place - low) * (grid[low + 1] - left)
+
+
+def _factor(cov: np.ndarray) -> np.ndarray:
+    """What turns independent normals into draws with this covariance, as numpy's own draw does."""
+    u, s, _ = np.linalg.svd(cov)
+    return u * np.sqrt(s)
+
+
+def _drawn(row: Any, spec: dict) -> tuple[np.ndarray, ...]:
+    """Margins of one contest and what they are made of. Draw order is fixed: weights, home rate,
+    away rate, home yards, away yards."""
     size = spec["n_draws"]
     rng = np.random.default_rng(game_seed(row.game_id, spec["seed"]))
-    w = rng.multivariate_normal(spec["mean"], spec["cov"], size=size)
+    z = np.ascontiguousarray(rng.standard_normal((size, 3)).T)
+    # three products by hand: a matrix product of this shape would start threads in every worker
+    w = [spec["mean"][j] + (z[0] * spec["factor"][j, 0] + z[1] * spec["factor"][j, 1] + z[2] * spec["factor"][j, 2]) for j in range(0 if spec["sides"] else 1, 3)]
     rate_h = rng.beta(row.k_h + 1, row.n_h - row.k_h + 1, size=size)
     rate_a = rng.beta(row.k_a + 1, row.n_a - row.k_a + 1, size=size)
     ypp_h = rng.normal(row.y_mean_h, row.y_sd_h / math.sqrt(row.n_y_h), size=size)
     ypp_a = rng.normal(row.y_mean_a, row.y_sd_a / math.sqrt(row.n_y_a), size=size)
-    margin = w[:, 1] * (rate_h - rate_a) + w[:, 2] * (ypp_h - ypp_a)
+    return w[-2] * (rate_h - rate_a) + w[-1] * (ypp_h - ypp_a), rate_h, rate_a, ypp_h, ypp_a, *w
+
+
+def _one_contest(row: Any, spec: dict, grid: np.ndarray) -> tuple:
+    margin, rate_h, rate_a, ypp_h, ypp_a, *w = _drawn(row, spec)
     sigma = spec["sigma"]
     lo, hi = np.percentile(margin, C.INTERVAL)
-    p_lo, p_hi = np.interp(np.array([lo, hi]) / sigma, *grid)
+    p_lo, p_hi = _normal_cdf(np.array([lo, hi]) / sigma, grid)
     extra = (None,) * 6
     if spec["sides"]:
-        home = w[:, 0] + w[:, 1] * rate_h + w[:, 2] * ypp_h
-        away = w[:, 0] + w[:, 1] * rate_a + w[:, 2] * ypp_a
-        off = w[:, 1] * (rate_h - spec["rate_bar"]) + w[:, 2] * (ypp_h - spec["ypp_bar"])
-        dfn = w[:, 1] * (spec["rate_bar"] - rate_a) + w[:, 2] * (spec["ypp_bar"] - ypp_a)
+        w0, w1, w2 = w
+        home = w0 + w1 * rate_h + w2 * ypp_h
+        away = w0 + w1 * rate_a + w2 * ypp_a
+        off = w1 * (rate_h - spec["rate_bar"]) + w2 * (ypp_h - spec["ypp_bar"])
+        dfn = w1 * (spec["rate_bar"] - rate_a) + w2 * (spec["ypp_bar"] - ypp_a)
         extra = (home.mean(), away.mean(), np.abs(home - away - margin).max(),
                  off.mean(), dfn.mean(), np.abs(off + dfn - margin).max())
-    return (row.game_id, np.interp(margin / sigma, *grid).mean(), margin.mean(), lo, hi,
+    return (row.game_id, _normal_cdf(margin / sigma, grid).mean(), margin.mean(), lo, hi,
             margin.var(), p_lo, p_hi, *extra)
 
 
+def margin_draws(games: DataFrame, n_draws: int = C.DRAWS_OF_RECORD, seed: int = C.SEED_OF_RECORD, weights: dict | None = None) -> DataFrame:
+    """``game_id`` and ``margin_draws``, the contest's deserved margins, one number a draw."""
+    w = weights or C.WEIGHTS_OF_RECORD
+    spec = {"n_draws": n_draws, "seed": seed, "sides": False, "mean": np.array(w["mean"]), "factor": _factor(np.array(w["cov"]))}
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):  # a row is large: one at a time
+                yield pd.DataFrame({"game_id": [r.game_id], "margin_draws": [_drawn(r, spec)[0]]})
+
+    width = 4 * games.sparkSession.sparkContext.defaultParallelism
+    return games.repartition(width, "game_id").mapInPandas(drawn, "game_id string, margin_draws array<double>")
+
+
 def draw_summaries(
     games: DataFrame, n_draws: int = C.DRAWS_OF_RECORD, seed: int = C.SEED_OF_RECORD,
     sigma: float = C.SIGMA_OF_RECORD, weights: dict | None = None, sides: bool = False,
@@ -74,7 +114,7 @@ def draw_summaries(
     names columns of it that stay beside the summary."""
     w = weights or C.WEIGHTS_OF_RECORD
     spec = {"n_draws": n_draws, "seed": seed, "sigma": sigma, "sides": sides,
-            "mean": np.array(w["mean"]), "cov": np.array(w["cov"]),
+            "mean": np.array(w["mean"]), "factor": _factor(np.array(w["cov"])),
             "rate_bar": league[0], "ypp_bar": league[1]}
     columns = [c.split()[0] for c in _SUMMARY.split(", ")]
     kept = [c for c in keep or [] if c not in columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from contestry.functions.columns import floor_bin, in_sets, labelled, normal_cdf
 from contestry.functions.counters import counted, lanes, uniforms
 from contestry.operators.joins import override
 from contestry.operators.kicks import kick_table
-from contestry.operators.replicates import vector_totals
+from contestry.operators.replicates import per_group, vector_totals
 
 LEDGER = ["component", "game_id", "play_id", "season", "event_class", "charged_team",
           "actual", "expected", "swing", "luck_epa", "class_n"]
@@ -146,6 +147,32 @@ def replicate_share(ledger: DataFrame, games: DataFrame, reps: int, seed: int =
     return vector_totals(events, ["game_id"], ["component", "play_id"], luck, share, "game_id string, dtw_home double, deserved_mean double, low double, high double")
 
 
+def exact_share(ledger: DataFrame, games: DataFrame, slope: float = C.POINTS_PER_EPA) -> DataFrame:
+    """Win share over all outcomes of a contest's coins, without draws.
+
+    Each coin falls by the mean of its class's posterior rate. The distribution of their sum is
+    built coin by coin; sums that agree to 1e-9 are one outcome, so that coins of a class, which
+    are worth the same, add one outcome each and not twice as many.
+    """
+    played = games.filter(F.col("margin").isNotNull()).select("game_id", "margin")
+    events = ledger.join(played, "game_id").select(
+        "game_id", "component", "play_id", "margin", *[F.col(c).cast("double").alias(c) for c in ("actual", "expected", "swing", "class_n")])
+
+    def convolved(coins: list[dict]) -> Iterator[dict]:
+        value, chance = np.zeros(1), np.ones(1)
+        for r in coins:
+            p = (r["expected"] * r["class_n"] + 0.5) / (r["class_n"] + 1.0)
+            sums = np.round(np.concatenate((value + r["actual"] * r["swing"] * slope, value + (r["actual"] - 1.0) * r["swing"] * slope)), 9)
+            value, at = np.unique(sums, return_inverse=True)
+            chance = np.bincount(at, np.concatenate((chance * (1.0 - p), chance * p)))
+        deserved = coins[0]["margin"] - value
+        mean = float(deserved @ chance)
+        yield {"game_id": coins[0]["game_id"], "dtw_home": float(chance[np.round(deserved, 9) > 0].sum()), "deserved_mean": mean,
+               "deserved_sd": float(np.sqrt(((deserved - mean) ** 2) @ chance)), "coins": len(coins)}
+
+    return per_group(events, ["game_id"], ["component", "play_id"], convolved, "game_id string, dtw_home double, deserved_mean double, deserved_sd double, coins long")
+
+
 # --- drives that carry luck -----------------------------------------------------------------
 
 

@@ -176,6 +176,19 @@ def m10(t):
     return L.replicate_share(t.ledger, t.games, REPLAYS)
 
 
+@query("m10_exact_share", "game_id:s dtw_home:d deserved_mean:d deserved_sd:d coins:i replays_ok:i", """with recursive e as (select l.game_id, margin, row_number() over (partition by l.game_id order by component, play_id) as k, count(*) over (partition by l.game_id) as n,
+     actual * swing * 0.8389e0 as up, (actual - 1) * swing * 0.8389e0 as down, (expected * class_n + 0.5e0) / (class_n + 1e0) as p from ledger l join games g on g.game_id = l.game_id where margin is not null),
+   s as (select distinct game_id, 0::bigint as k, 0e0 as v, 1e0 as w from e union all
+     select game_id, k, v, sum(w) as w from (select s.game_id, e.k, round(s.v + x.step, 9) as v, s.w * x.w as w from s join e on e.game_id = s.game_id and e.k = s.k + 1,
+       lateral (select e.up as step, 1 - e.p as w union all select e.down, e.p) x) group by all),
+   f as (select s.game_id, n, margin - v as d, w from s join e on e.game_id = s.game_id and e.k = s.k and s.k = n), m as (select game_id, sum(d * w) as mean from f group by 1)
+   select f.game_id, coalesce(sum(w) filter (round(d, 9) > 0), 0) as dtw_home, any_value(mean) as deserved_mean, sqrt(sum((d - mean) * (d - mean) * w)) as deserved_sd, any_value(n) as coins, 1 as replays_ok from f join m on m.game_id = f.game_id group by f.game_id""", "ledger games")
+def m10_exact(t):
+    """The share over all outcomes; 2,000 replays, which draw the rates too, come within a twelfth of it."""
+    replayed = L.replicate_share(t.ledger, t.games, REPLAYS).select("game_id", F.col("dtw_home").alias("replayed"))
+    return L.exact_share(t.ledger, t.games).join(replayed, "game_id").withColumn("replays_ok", (F.abs(F.col("dtw_home") - F.col("replayed")) <= 1 / 12).cast("int"))
+
+
 shared("driven", "ledger pbp", """select l.*, p.fixed_drive, p.qtr, p.posteam, coalesce(cast(cast(p.fixed_drive as bigint) as varchar), concat('no-drive:', cast(cast(l.play_id as bigint) as varchar))) as drive_key
    from ledger l left join pbp p on p.game_id = l.game_id and p.play_id = l.play_id""")
 shared("luck_drives", "driven", """select *, greatest(pos_swing, -neg_swing) as max_attainable, greatest(least(signed_luck, cap), -cap) as clipped_luck, cast(round(sum_abs_luck - cap, 9) > 0 as int) as bites_prereg,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contestry import constants as C
 from contestry.functions import plays as P
+from contestry.functions.columns import normal_cdf
 from contestry.operators import joins as J
 from contestry.operators import kicks as K
 from contestry.operators import posterior as B
@@ -223,6 +224,20 @@ def s15(t):
     return plug_in_table(t.frame, t.scores, S.load_weights(t.spark, path))
 
 
+@query("m07_score_season", "game_id:s season:i week:i home:s away:s home_deserved:d away_deserved:d deserved_margin:d home_k:i away_n:i p_ok:i",
+       "select game_id, season, week, home, away, home_deserved, away_deserved, deserved_margin, home_k, away_n, 1 as p_ok from deserved where season = 2025", "deserved")
+def m07_season(t):
+    """A season by its name: plays and schedule are stored, the baseline seasons read with it, every
+    final scored; the share is that of the margin's draws."""
+    from contestry.operators.scoring import score_season
+
+    root = _stored(t, t.pbp.columns)
+    S.write_season(t.schedule, root, "schedules")
+    scored = score_season(t.spark, root, 2025, n_draws=2000, with_draws=True)
+    share = F.aggregate("margin_draws", F.lit(0.0), lambda a, m: a + normal_cdf(m / F.lit(C.SIGMA_OF_RECORD))) / F.size("margin_draws")
+    return scored.withColumn("p_ok", (F.abs(share - F.col("p_home")) < 1e-6).cast("int"))
+
+
 # --- validation -----------------------------------------------------------------------------
 
 
