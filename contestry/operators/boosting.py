@@ -9,6 +9,7 @@ executor repeats at most those.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,8 @@ from contestry.session import cut_lineage
 
 #: Rounds whose trees are applied anew in each pass.
 RENEW = 5
+#: Residuals (rows times models) that a task is worth starting for.
+TASK_RESIDUALS = 150_000
 
 
 class Trees:
@@ -173,10 +176,11 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
         return work
 
     spark = rows.sparkSession
-    parts = min(models, spark.sparkContext.defaultParallelism)
+    tasks = max(1, math.ceil(c * models / TASK_RESIDUALS))
+    parts = min(models, tasks)
     split_kinds = ", ".join(f"{c} {'int' if i < 4 else 'double'}" for i, c in enumerate(_SPLIT))
     pending: list[Trees] = []
-    held = state.persist()
+    held = state.coalesce(tasks).persist()
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # many small jobs of one shape: nothing to plan anew
     try:
