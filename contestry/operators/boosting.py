@@ -92,12 +92,13 @@ def best_splits(sums: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[
 
 
 def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]], target: str, folds: int, rounds: int = 200,
-                        rate: float = 0.1, depth: int = 5, least: int = 100, max_bins: int = 32) -> DataFrame:
+                        rate: float = 0.1, depth: int = 5, least: int = 100, max_bins: int = 32, few: int = 8) -> DataFrame:
     """The rows with ``predicted``, a struct of one out-of-fold prediction for each feature set.
 
     For every set and every ``fold`` a booster of squared loss learns from the other folds' rows;
     its first guess is their mean. Every row is learned from and every row is predicted; a missing
-    feature is a value of its own, below all others. A null target counts as zero.
+    feature is a value of its own, below all others. A null target counts as zero. The tables of up
+    to ``few`` tasks are merged where the trees grow; those of more meet by model first.
     """
     names = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
     allowed = np.array([[f in fs for f in names] for fs in feature_sets.values() for _ in range(folds)])
@@ -154,23 +155,26 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
                     "sums": pa.array([x.tobytes() for x in sums], pa.binary()), "counts": pa.array([x.astype(np.int64).tobytes() for x in counts], pa.binary())})
         return work
 
-    def splits_of(level: int):
+    def merged(tables: Iterator[pa.RecordBatch], level: int) -> list[tuple]:
+        """The splits that the sums of all tables give, models by models."""
         shape = (2**level, len(names), width)
+        held_: dict[int, list[np.ndarray]] = {}
+        for table in tables:
+            for m, a, b in zip(table["model"].to_pylist(), table["sums"], table["counts"], strict=True):
+                both = held_.setdefault(m, [np.zeros(shape), np.zeros(shape)])
+                both[0] += np.frombuffer(a.as_buffer()).reshape(shape)
+                both[1] += np.frombuffer(b.as_buffer(), dtype=np.int64).reshape(shape)
+        found = []
+        for m, (g, n) in held_.items():
+            use = np.flatnonzero(allowed[m])
+            found += [(m, node, int(use[f]), cut, *rest) for node, f, cut, *rest in best_splits(g[:, use], n[:, use], least)]
+            if level == 0:  # a tree that cannot split predicts the mean of its residuals
+                found.append((m, -1, -1, 0, float(g[0, 0].sum()), float(n[0, 0].sum()), 0.0, 0.0))
+        return found
 
+    def splits_of(level: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                for m, a, b in zip(batch["model"].to_pylist(), batch["sums"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                    both = held.setdefault(m, [np.zeros(shape), np.zeros(shape)])
-                    both[0] += np.frombuffer(a).reshape(shape)
-                    both[1] += np.frombuffer(b, dtype=np.int64).reshape(shape)
-            found = []
-            for m, (g, n) in held.items():
-                use = np.flatnonzero(allowed[m])
-                found += [(m, node, int(use[f]), cut, *rest) for node, f, cut, *rest in best_splits(g[:, use], n[:, use], least)]
-                if level == 0:  # a tree that cannot split predicts the mean of its residuals
-                    found.append((m, -1, -1, 0, float(g[0, 0].sum()), float(n[0, 0].sum()), 0.0, 0.0))
-            columns = list(zip(*found, strict=True)) or [()] * 8
+            columns = list(zip(*merged(batches, level), strict=True)) or [()] * 8
             kinds = [pa.int32()] * 4 + [pa.float64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_SPLIT)
         return work
@@ -189,7 +193,10 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
             for level in range(depth):
                 first = 2**level - 1
                 sums = held.select("bins", "_p", "_y", "fold").mapInArrow(level_sums(pending, tree, level), "model int, sums binary, counts binary")
-                found = sums.repartition(parts, "model").mapInArrow(splits_of(level), split_kinds).collect()  # at most a split a node and model
+                if tasks <= few:  # a table a task, of one size whatever the rows
+                    found = merged(sums.toArrow().to_batches(), level)
+                else:
+                    found = [tuple(r) for r in sums.repartition(parts, "model").mapInArrow(splits_of(level), split_kinds).collect()]  # at most a split a node and model
                 for m, node, f, cut, gl, nl, gr, nr in found:
                     if node < 0:
                         tree.value[m, 0] = rate * gl / max(1.0, nl)
@@ -197,7 +204,7 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
                     at = first + node
                     tree.feature[m, at], tree.cut[m, at] = f, cut
                     tree.value[m, 2 * at + 1], tree.value[m, 2 * at + 2] = rate * gl / nl, rate * gr / nr
-                if all(r.node < 0 for r in found):
+                if all(node < 0 for _, node, *_ in found):
                     break
             pending = [*pending, tree]
             if len(pending) == RENEW and k + 1 < rounds:

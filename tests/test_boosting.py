@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from contestry.operators.boosting import boosted_out_of_fold
 
 
@@ -49,13 +51,14 @@ def grown(x, r, rows, depth, least, rate, width):
     return node(rows, range(len(r)), 0, rate * sum(r[i] for i in rows) / len(rows))
 
 
-def test_boosting_against_plain_trees(spark):
+@pytest.mark.parametrize("few", [8, 0])
+def test_boosting_against_plain_trees(spark, few):
     r = random.Random(2)
     rows = [(k, r.choice([None, *range(9)]), r.uniform(-2, 2), r.randint(0, 3), k % 3) for k in range(240)]
     rows = [(*row, (row[1] or 0) * 0.5 + row[2] ** 2 - row[3] + r.gauss(0, 0.3)) for row in rows]
     sets, folds, rounds, depth, least, rate, max_bins = {"one": ("a",), "all": ("a", "b", "c")}, 3, 7, 3, 8, 0.3, 6
     frame = spark.createDataFrame(rows, "id long, a int, b double, c int, fold int, y double").repartition(5)
-    got = boosted_out_of_fold(frame, sets, "y", folds, rounds, rate, depth, least, max_bins).collect()
+    got = boosted_out_of_fold(frame, sets, "y", folds, rounds, rate, depth, least, max_bins, few).collect()
     assert len(got) == len(rows)
     binned = {f: bins_of([row[1 + j] for row in rows], max_bins) for j, f in enumerate(("a", "b", "c"))}
     y = [row[5] for row in rows]
