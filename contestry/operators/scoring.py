@@ -41,8 +41,5 @@ def score_season(spark: SparkSession, root: str, season: int, game_ids: list[str
         asked = scores.filter(F.col("season") == int(season)).join(frame.select("game_id").distinct(), "game_id", "left_semi").select("game_id")
     else:
         asked = list(game_ids)
-    scored = D.score_games(plays, scores, asked, n_draws, seed, weights, frame=frame)
-    if not with_draws:
-        return scored
-    games = scored.select("game_id", *[F.col(f"{s}_{c}").alias(f"{c}_{s[0]}") for s in ("home", "away") for c in ("k", "n", "y_mean", "y_sd", "n_y")])
-    return scored.join(D.margin_draws(games, n_draws, seed, weights), "game_id")
+    # the draws come with the scores: joined to them later, plays and frame would be read and planned twice
+    return D.score_games(plays, scores, asked, n_draws, seed, weights, frame=frame, with_draws=with_draws)
