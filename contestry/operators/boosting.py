@@ -1,48 +1,56 @@
 """Gradient-boosted regression trees over histograms: all folds and feature sets grow together.
 
-Features are binned once. A pass over the rows then sums residuals by (model, node, feature, bin)
+Features are binned once. All that a tree sees of a row is its bins and its fold, so rows with equal bins
+of a feature set are added up to one cell with a sum and a count for each fold; a model's own fold is
+taken off the cell's total. A pass over the cells then sums residuals by (model, node, feature, bin)
 in each partition, the sums of all partitions meet by model, and one best split per node comes
 back: what a level costs does not depend on how many models there are. The driver holds trees,
-never rows. Predictions are brought up to date and written every ``RENEW`` rounds, so that a lost
-executor repeats at most those.
+never rows. Cells travel as blocks of arrays; their predictions are brought up to date each round where
+they are kept, and written every ``RENEW`` rounds, so that a lost executor repeats at most those.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.operators.ranking import exact_quantiles
 from contestry.session import cut_lineage
 
-#: Rounds whose trees are applied anew in each pass.
-RENEW = 5
-#: Residuals (rows times models) that a task is worth starting for.
-TASK_RESIDUALS = 150_000
+#: Rounds between two writes of the predictions.
+RENEW = 10
+#: Residuals (cells times folds) that a task is worth starting for, and that one task holds at most
+#: where that gives more tasks than there are cores.
+TASK_RESIDUALS, FULL_TASK = 150_000, 2_000_000
+#: Cells of a block.
+BLOCK = 8192
 
 
 class Trees:
-    """One tree for each model, as heaps: node i has children 2i+1 (bin at most ``cut``) and 2i+2."""
+    """One tree for each fold, as heaps: node i has children 2i+1 (bin at most ``cut``) and 2i+2."""
 
-    def __init__(self, models: int, depth: int):
+    def __init__(self, folds: int, depth: int):
         size = 2 ** (depth + 1) - 1
         self.depth = depth
-        self.feature = np.full((models, size), -1, dtype=np.int64)
-        self.cut = np.zeros((models, size), dtype=np.int64)
-        self.value = np.zeros((models, size))
+        self.feature = np.full((folds, size), -1, dtype=np.int32)
+        self.cut = np.zeros((folds, size), dtype=np.int32)
+        self.value = np.zeros((folds, size))
 
     def nodes(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node of each row (first axis) in each model's tree, after so many levels (all)."""
-        models, size = self.feature.shape
-        root = (np.arange(models, dtype=np.int64) * size)[None, :]
-        first = (np.arange(len(bins), dtype=np.int64) * bins.shape[1])[:, None]
+        """The node of each cell (first axis) in each fold's tree, after so many levels (all)."""
+        folds, size = self.feature.shape
+        root = (np.arange(folds) * size)[None, :]
+        first = (np.arange(len(bins)) * bins.shape[1])[:, None]
         flat = np.ascontiguousarray(bins).ravel()
-        node = np.zeros((len(bins), models), dtype=np.int64)
+        node = np.zeros((len(bins), folds), dtype=np.int64)
         for _ in range(self.depth if levels is None else levels):
             at = root + node
             feature = self.feature.take(at)
@@ -51,8 +59,8 @@ class Trees:
         return node
 
     def added(self, bins: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-        models, size = self.feature.shape
-        return predicted + self.value.take((np.arange(models, dtype=np.int64) * size)[None, :] + self.nodes(bins))
+        folds, size = self.feature.shape
+        return predicted + self.value.take((np.arange(folds) * size)[None, :] + self.nodes(bins))
 
 
 def binned(rows: DataFrame, features: Sequence[str], max_bins: int) -> DataFrame:
@@ -91,6 +99,81 @@ def best_splits(sums: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[
     return out
 
 
+def cells_of(state: DataFrame, sets: list[list[int]], folds: int) -> DataFrame:
+    """``set``, ``bins`` (those of the set's features), and per fold the sum ``t`` and the count ``w`` of the rows
+    in it: one row for each set and each vector of bins that occurs."""
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), F.array(*[F.get("bins", F.lit(j)) for j in at]).alias("bins")) for i, at in enumerate(sets)]))
+    by = state.select(own.alias("c"), "fold", "_y").groupBy("c.set", "c.bins")
+    here = [F.col("fold") == k for k in range(folds)]
+    cells = by.agg(*[F.sum(F.when(h, F.col("_y")).otherwise(0.0)).alias(f"t{k}") for k, h in enumerate(here)], *[F.count_if(h).alias(f"w{k}") for k, h in enumerate(here)])
+    return cells.select("set", "bins", *[F.array(*[f"{c}{k}" for k in range(folds)]).alias(c) for c in "tw"])
+
+
+def _packed(start: list[np.ndarray]):
+    """Cells as blocks: set, bins, what all but each fold sum up to and count, predictions."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch["set"].to_numpy()
+            for i in np.unique(of).tolist():
+                mine = batch.filter(pa.array(of == i))
+                n = mine.num_rows
+                bins, t, w = (mine[c].flatten().to_numpy().reshape(n, -1) for c in ("bins", "t", "w"))
+                for a in range(0, n, BLOCK):
+                    part = slice(a, a + BLOCK)
+                    rest = [x[part].sum(axis=1, keepdims=True) - x[part] for x in (t, w)]
+                    block = (i, bins[part].astype(np.int32), rest[0], rest[1].astype(np.float64), np.tile(start[i], (len(bins[part]), 1)))
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(block)], pa.binary())})
+    return work
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for one in batch["block"]:
+            i, bins, _, _, p = pickle.loads(one.as_py())
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bins, p)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), i, dtype=np.int32)), *lists], names=["set", "bins", "p"])
+
+
+def _level_sums(trees: list[Trees], level: int, width: int):
+    """Per model the sums and counts by node, feature and bin of a partition's cells."""
+    first, many = 2**level - 1, 2**level
+
+    def work(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        tables: dict[int, np.ndarray] = {}
+        for i, bins, t, w, p in blocks:
+            folds, features = w.shape[1], bins.shape[1]
+            node = trees[i].nodes(bins, level) - first
+            live = node >= 0
+            rest, seen = (np.where(live, x, 0.0).ravel() for x in (t - w * p, w))
+            spot = (np.arange(folds)[None, :] * many + np.maximum(node, 0)) * width
+            table = tables.setdefault(i, np.zeros((2, folds, many, features, width)))
+            for j in range(features):
+                at = (spot + bins[:, j, None]).ravel()
+                for side, x in enumerate((rest, seen)):
+                    table[side, :, :, j] += np.bincount(at, x, folds * many * width).reshape(folds, many, width)
+        for i, table in tables.items():
+            for k in range(table.shape[1]):
+                yield i * table.shape[1] + k, table[:, k]
+    return work
+
+
+def _renewed(trees: list[Trees]):
+    def work(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for i, bins, t, w, p in blocks:
+            yield i, bins, t, w, trees[i].added(bins, p)
+    return work
+
+
+def _splits(level: int, least: int):
+    def work(model: tuple[int, np.ndarray]) -> list[tuple]:
+        m, (g, n) = model
+        found = [(m, *split) for split in best_splits(g, n, least)]
+        if level == 0:  # a tree that cannot split predicts the mean of its residuals
+            found.append((m, -1, -1, 0, float(g[0, 0].sum()), float(n[0, 0].sum()), 0.0, 0.0))
+        return found
+    return work
+
+
 def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]], target: str, folds: int, rounds: int = 200,
                         rate: float = 0.1, depth: int = 5, least: int = 100, max_bins: int = 32, few: int = 8) -> DataFrame:
     """The rows with ``predicted``, a struct of one out-of-fold prediction for each feature set.
@@ -101,123 +184,59 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
     to ``few`` tasks are merged where the trees grow; those of more meet by model first.
     """
     names = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
-    allowed = np.array([[f in fs for f in names] for fs in feature_sets.values() for _ in range(folds)])
-    model_fold = np.tile(np.arange(folds), len(feature_sets))
-    models, width = len(model_fold), max_bins + 1
+    sets = [[names.index(f) for f in fs] for fs in feature_sets.values()]
+    kept = rows.columns
     y = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
+    rows = cut_lineage(rows)  # read for the means, the edges and the bins
     means = rows.groupBy("fold").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("c")).collect()  # one row a fold
     s, c = sum(r.s for r in means), sum(r.c for r in means)
     own = {r.fold: (r.s, r.c) for r in means}
-    start = [float((s - own.get(f, (0, 0))[0]) / max(1, c - own.get(f, (0, 0))[1])) for f in model_fold.tolist()]
-    kept = rows.columns
-    state = cut_lineage(binned(rows, names, max_bins).withColumn("_y", y).withColumn("_p", F.lit(start).cast("array<double>")))
-
-    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = batch.num_rows
-        return (batch["bins"].flatten().to_numpy().reshape(n, -1), batch["_p"].flatten().to_numpy().reshape(n, -1),
-                batch["_y"].to_numpy(), batch["fold"].to_numpy())
-
-    def up_to_date(pending: list[Trees]):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
+    guess = np.array([float((s - own.get(f, (0, 0))[0]) / max(1, c - own.get(f, (0, 0))[1])) for f in range(folds)])
+    state = cut_lineage(binned(rows, names, max_bins).withColumn("_y", y))
+    cells = cut_lineage(cells_of(state, sets, folds))
+
+    context = rows.sparkSession.sparkContext
+    residuals = cells.count() * folds
+    tasks = max(1, min(math.ceil(residuals / TASK_RESIDUALS), context.defaultParallelism), math.ceil(residuals / FULL_TASK))
+    parts = min(len(sets) * folds, tasks)
+    blocks = cells.repartition(tasks, "set", "bins").mapInArrow(_packed([guess] * len(sets)), "block binary")
+    held = blocks.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    older: RDD | None = None
+    for k in range(rounds):
+        trees = [Trees(folds, depth) for _ in sets]
+        for level in range(depth):
+            sums = held.mapPartitions(_level_sums(trees, level, max_bins + 1))
+            if tasks <= few:  # a table a task, of one size whatever the rows
+                merged: dict[int, np.ndarray] = {}
+                for m, table in sums.collect():
+                    merged[m] = merged[m] + table if m in merged else table
+                found = [split for model in merged.items() for split in _splits(level, least)(model)]
+            else:
+                found = sums.reduceByKey(np.add, parts).flatMap(_splits(level, least)).collect()  # at most a split a node and model
+            if older is not None:  # what came of it is kept by now
+                older.unpersist()
+                older = None
+            for m, node, f, cut, gl, nl, gr, nr in sorted(found, key=itemgetter(0, 1)):
+                tree, fold = trees[m // folds], m % folds
+                if node < 0:
+                    tree.value[fold, 0] = rate * gl / max(1.0, nl)
                     continue
-                bins, p, _, _ = arrays(batch)
-                for tree in pending:
-                    p = tree.added(bins, p)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * models), pa.array(p.ravel()))
-                yield batch.set_column(batch.schema.get_field_index("_p"), "_p", lists)
-        return work
-
-    def level_sums(pending: list[Trees], tree: Trees, level: int):
-        first, many = 2**level - 1, 2**level
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((models, many, len(names), width))
-            counts = np.zeros_like(sums)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, p, target_, fold = arrays(batch)
-                for done in pending:
-                    p = done.added(bins, p)
-                node = tree.nodes(bins, level) - first
-                row, model = np.nonzero((node >= 0) & (fold[:, None] != model_fold[None, :]))
-                rest = (target_[:, None] - p)[row, model]
-                spot = (model * many + node[row, model]) * width
-                for j in range(len(names)):
-                    at = spot + bins[row, j]
-                    sums[:, :, j] += np.bincount(at, rest, models * many * width).reshape(models, many, width)
-                    counts[:, :, j] += np.bincount(at, minlength=models * many * width).reshape(models, many, width)
-            if counts.any():
-                yield pa.RecordBatch.from_pydict({
-                    "model": pa.array(np.arange(models, dtype=np.int32)),
-                    "sums": pa.array([x.tobytes() for x in sums], pa.binary()), "counts": pa.array([x.astype(np.int64).tobytes() for x in counts], pa.binary())})
-        return work
-
-    def merged(tables: Iterator[pa.RecordBatch], level: int) -> list[tuple]:
-        """The splits that the sums of all tables give, models by models."""
-        shape = (2**level, len(names), width)
-        held_: dict[int, list[np.ndarray]] = {}
-        for table in tables:
-            for m, a, b in zip(table["model"].to_pylist(), table["sums"], table["counts"], strict=True):
-                both = held_.setdefault(m, [np.zeros(shape), np.zeros(shape)])
-                both[0] += np.frombuffer(a.as_buffer()).reshape(shape)
-                both[1] += np.frombuffer(b.as_buffer(), dtype=np.int64).reshape(shape)
-        found = []
-        for m, (g, n) in held_.items():
-            use = np.flatnonzero(allowed[m])
-            found += [(m, node, int(use[f]), cut, *rest) for node, f, cut, *rest in best_splits(g[:, use], n[:, use], least)]
-            if level == 0:  # a tree that cannot split predicts the mean of its residuals
-                found.append((m, -1, -1, 0, float(g[0, 0].sum()), float(n[0, 0].sum()), 0.0, 0.0))
-        return found
-
-    def splits_of(level: int):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            columns = list(zip(*merged(batches, level), strict=True)) or [()] * 8
-            kinds = [pa.int32()] * 4 + [pa.float64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_SPLIT)
-        return work
-
-    spark = rows.sparkSession
-    tasks = max(1, math.ceil(c * models / TASK_RESIDUALS))
-    parts = min(models, tasks)
-    split_kinds = ", ".join(f"{c} {'int' if i < 4 else 'double'}" for i, c in enumerate(_SPLIT))
-    pending: list[Trees] = []
-    held = state.coalesce(tasks).persist()
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # many small jobs of one shape: nothing to plan anew
-    try:
-        for k in range(rounds):
-            tree = Trees(models, depth)
-            for level in range(depth):
-                first = 2**level - 1
-                sums = held.select("bins", "_p", "_y", "fold").mapInArrow(level_sums(pending, tree, level), "model int, sums binary, counts binary")
-                if tasks <= few:  # a table a task, of one size whatever the rows
-                    found = merged(sums.toArrow().to_batches(), level)
-                else:
-                    found = [tuple(r) for r in sums.repartition(parts, "model").mapInArrow(splits_of(level), split_kinds).collect()]  # at most a split a node and model
-                for m, node, f, cut, gl, nl, gr, nr in found:
-                    if node < 0:
-                        tree.value[m, 0] = rate * gl / max(1.0, nl)
-                        continue
-                    at = first + node
-                    tree.feature[m, at], tree.cut[m, at] = f, cut
-                    tree.value[m, 2 * at + 1], tree.value[m, 2 * at + 2] = rate * gl / nl, rate * gr / nr
-                if all(node < 0 for _, node, *_ in found):
-                    break
-            pending = [*pending, tree]
-            if len(pending) == RENEW and k + 1 < rounds:
-                renewed = cut_lineage(held.mapInArrow(up_to_date(pending), held.schema)).persist()
-                held.unpersist()
-                held, pending = renewed, []
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    done = held.mapInArrow(up_to_date(pending), held.schema)
-    own_model = [F.get("_p", (F.lit(i * folds) + F.col("fold")).cast("int")).alias(name) for i, name in enumerate(feature_sets)]
-    out = cut_lineage(done.select(*kept, F.struct(*own_model).alias("predicted")))
-    held.unpersist()
-    return out
-
-
-_SPLIT = ["model", "node", "feature", "cut", "left_sum", "left_rows", "right_sum", "right_rows"]
+                at = 2**level - 1 + node
+                tree.feature[fold, at], tree.cut[fold, at] = f, cut
+                tree.value[fold, 2 * at + 1], tree.value[fold, 2 * at + 2] = rate * gl / nl, rate * gr / nr
+            if all(node < 0 for _, node, *_ in found):
+                break
+        older, held = held, held.mapPartitions(_renewed(trees)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (k + 1) % RENEW == 0:
+            held.checkpoint()
+    told = rows.sparkSession.createDataFrame(held.map(lambda b: (pickle.dumps(b),)), "block binary").mapInArrow(_unpacked, "set int, bins array<int>, p array<double>")
+    told = cut_lineage(told)
+    for x in (held, older):
+        if x is not None:
+            x.unpersist()
+    out = state
+    for i, (name, at) in enumerate(zip(feature_sets, sets, strict=True)):
+        mine = told.filter(F.col("set") == i).select(F.col("bins").alias("_at"), F.col("p").alias(f"_p{i}"))
+        same = F.array(*[F.get("bins", F.lit(j)) for j in at]) == F.col("_at")
+        out = out.join(mine, same).withColumn(f"_p{i}", F.get(f"_p{i}", F.col("fold"))).drop("_at")
+    return cut_lineage(out.select(*kept, F.struct(*[F.col(f"_p{i}").alias(name) for i, name in enumerate(feature_sets)]).alias("predicted")))

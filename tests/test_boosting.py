@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from contestry.operators import boosting
 from contestry.operators.boosting import boosted_out_of_fold
 
 
@@ -81,3 +82,16 @@ def test_too_few_rows_give_the_mean(spark):
     frame = spark.createDataFrame([(1, None, 0, 4.0), (2, 1.0, 1, 8.0), (3, 1.0, 1, None)], "id long, a double, fold int, y double")
     got = {row.id: row.predicted.only for row in boosted_out_of_fold(frame, {"only": ("a",)}, "y", 2, 3, least=100).collect()}
     assert got == {1: 4.0, 2: 4.0, 3: 4.0}
+
+
+def test_rows_with_equal_bins_are_passed_over_as_one(spark, monkeypatch):
+    rows = [(k % 4, k % 3, float(k % 5)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "a int, fold int, y double")
+    held = []
+    monkeypatch.setattr(boosting, "cells_of", lambda *of, plain=boosting.cells_of: held.append(plain(*of)) or held[0])
+    got = boosted_out_of_fold(frame, {"only": ("a",)}, "y", 3, 2, least=5, max_bins=4).collect()
+    assert len(got) == 600
+    cells = held[0].collect()
+    assert len(cells) == 4
+    assert sum(sum(c.w) for c in cells) == 600
+    assert sum(sum(c.t) for c in cells) == sum(row[2] for row in rows)
