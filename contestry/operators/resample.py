@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from contestry import constants as C
 from contestry.functions.columns import digest, ratio
 from contestry.functions.counters import STEP, lanes_of, mix32, uniforms
-from contestry.operators.ranking import hash_rank, with_positions
-from contestry.operators.replicates import mapped
+from contestry.operators.ranking import HASH_PIECE, hash_rank, with_positions
+from contestry.operators.replicates import mapped, per_group
 
 
 def kept_entities(units: DataFrame, entity: str, min_units: int) -> DataFrame:
@@ -30,20 +31,54 @@ def dealt_halves(units: DataFrame, entity: str, unit: str, splits: int, seed: in
     return ranked.withColumn("in_a", F.col("_r") < F.floor(F.col("size") / 2)).drop("_r", "_key", "_hex")
 
 
+#: Splits of an entity that are dealt together.
+SPLITS_TOGETHER = 50
+
+
+def _half_sums(kept: DataFrame, entity: str, unit: str, terms: dict[str, Column], splits: int, seed: int) -> DataFrame:
+    """Per split and entity the sums of the terms in half A (``<term>a``) and in all: an entity's units meet once for
+    ``SPLITS_TOGETHER`` splits, and their digests are made and compared where they lie, never shuffled."""
+    laid = kept.select(entity, F.concat_ws("|", F.col(entity), F.col(unit)).alias("_key"), *[v.cast("double").alias(k) for k, v in terms.items()],
+                       F.explode(F.sequence(F.lit(0), F.lit(splits - 1), F.lit(SPLITS_TOGETHER))).alias("_from"))
+
+    names = list(terms)
+
+    def each(rows: list[dict]) -> Iterator[dict]:
+        keys = [r["_key"].encode() for r in rows]
+        given = {k: np.array([r[k] is not None for r in rows]) for k in names}
+        known = {k: np.array([0.0 if r[k] is None else r[k] for r in rows]) for k in names}
+        for split in range(rows[0]["_from"], min(rows[0]["_from"] + SPLITS_TOGETHER, splits)):
+            start = f"{seed}:{split}:".encode()
+            words = np.frombuffer(b"".join(md5(start + k).digest() for k in keys), ">u8").reshape(-1, 2)
+            in_a = np.lexsort((words[:, 1], words[:, 0]))[: len(rows) // 2]  # stable: equal digests by key
+            out = {"split": split, entity: rows[0][entity]}
+            for k in names:
+                out[f"{k}a"] = float(known[k][in_a].sum()) if given[k][in_a].any() else None
+                out[k] = float(known[k].sum()) if given[k].any() else None
+            yield out
+
+    kinds = ", ".join(f"{k}a double, {k} double" for k in terms)
+    return per_group(laid, [entity, "_from"], ["_key"], each, f"split int, {entity} {kept.schema[entity].dataType.simpleString()}, {kinds}")
+
+
 def split_half(units: DataFrame, entity: str, unit: str, values: dict[str, tuple[str, str | None]], splits: int,
-               min_units: int = C.MIN_GAMES, seed: int = 0) -> DataFrame:
+               min_units: int = C.MIN_GAMES, seed: int = 0, held: int = HASH_PIECE) -> DataFrame:
     """Correlation of the two halves per split and measure.
 
     ``values`` maps a measure to (numerator, denominator): with a denominator the sums are
-    pooled, without one the unit values are averaged. Half B is the total less half A.
+    pooled, without one the unit values are averaged. Half B is the total less half A. The units of an
+    entity are held together; one of more than ``held`` is ranked in pieces instead.
     """
-    halves = dealt_halves(kept_entities(units, entity, min_units), entity, unit, splits, seed)
-    aggs, pairs = [], []
+    kept = kept_entities(units, entity, min_units)
+    terms: dict[str, Column] = {}
     for name, (num, den) in values.items():
-        d = F.col(den).cast("double") if den else F.when(F.col(num).isNotNull(), 1.0)
-        aggs += [F.sum(F.when(F.col("in_a"), F.col(num))).alias(f"{name}_na"), F.sum(F.when(F.col("in_a"), d)).alias(f"{name}_da"),
-                 F.sum(num).alias(f"{name}_n"), F.sum(d).alias(f"{name}_d")]
-    sums = halves.groupBy("split", entity).agg(*aggs)
+        terms |= {f"{name}_n": F.col(num), f"{name}_d": F.col(den).cast("double") if den else F.when(F.col(num).isNotNull(), 1.0)}
+    small = _half_sums(kept.filter(F.col("size") <= held), entity, unit, terms, splits, seed)
+    halves = dealt_halves(kept.filter(F.col("size") > held), entity, unit, splits, seed)
+    sums = halves.groupBy("split", entity).agg(
+        *[x for k, v in terms.items() for x in (F.sum(F.when(F.col("in_a"), v)).cast("double").alias(f"{k}a"), F.sum(v).cast("double").alias(k))])
+    sums = small.unionByName(sums)
+    pairs = []
     for name in values:
         a = ratio(f"{name}_na", f"{name}_da")
         b = ratio(F.col(f"{name}_n") - F.col(f"{name}_na"), F.col(f"{name}_d") - F.col(f"{name}_da"))
