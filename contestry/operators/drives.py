@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 
 from contestry import constants as C
 from contestry.functions.columns import digest, flag, floor_bin, keyed, ratio
-from contestry.functions.counters import counted, lanes, uniforms
+from contestry.functions.counters import counted, lanes, mix32
 from contestry.functions.plays import drive_explosive, is_scrimmage
 from contestry.operators.ranking import hash_rank
-from contestry.operators.replicates import vector_totals
+from contestry.operators.replicates import per_group_arrays, sorted_quantile
+from contestry.session import cut_lineage
 
 FEATURES = ("start_yardline_100", "depth", "scrimmage_plays", "net_yards", "max_gain",
             "explosive_plays", "first_downs", "penalty_aid_yards")
@@ -83,15 +86,32 @@ def expected_delta(drives: DataFrame, table: DataFrame) -> DataFrame:
         F.sum(sign * (F.col("mean_points") - F.col("points"))).alias("expected_delta"))
 
 
-def resample_points(drives: DataFrame, table: DataFrame, reps: int, seed: int = 0,
-                    red_zone_only: bool = False) -> DataFrame:
-    """Per contest: redrawn minus actual points, home minus away, as one ``deltas`` array over all
-    replicates, with the redrawn points of all replicates, the actual ones and the drives.
+def resampled_drives(drives: DataFrame) -> DataFrame:
+    """What a resample reads of the drives, made once: bins, pools and draws all read it."""
+    return cut_lineage(drives.filter("resampled = 1").select("game_id", "fixed_drive", "is_home", "points", "depth", "depth_bin", "resampled"))
+
+
+def _bars(upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each running total but the last, the least 52-bit number whose place in the pool lies at or above it,
+    as its upper 32 and its lower 20 bits. A place is the floor of number / 2**52 * pool size in doubles."""
+    size, bars = float(upto[-1]), upto[:-1].astype(np.float64)
+    near = np.ceil(bars / size * 4503599627370496.0).astype(np.int64)[:, None] + np.arange(-3, 4)
+    near = np.maximum(near, 0)
+    least = near[np.arange(len(bars)), ((near / 4503599627370496.0) * size >= bars[:, None]).argmax(axis=1)]
+    return (least >> 20).astype(np.uint32), (least & 0xFFFFF).astype(np.uint32)
+
+
+def _resampled(drives: DataFrame, table: DataFrame, reps: int, seed: int, red_zone_only: bool,
+               told: Callable[[np.ndarray, float, float, int], dict], columns: str) -> DataFrame:
+    """One row per contest: what ``told`` makes of its deltas, its redrawn points of all replicates, its actual ones and
+    its drives.
 
     A drive's replacement is a place in its donor bin's pool, and the pool is every league
     drive of the bin. Points take a handful of values, so a pool is stored as the value
     counts of its bin with running totals: the draw is a lookup in that small list and no
-    pool is ever gathered, however many drives it holds.
+    pool is ever gathered, however many drives it holds. The lookup is one comparison a value: the
+    number's upper 32 bits against those of the least number that reaches it. The lower bits are made
+    only where the upper ones are equal.
     """
     league = _marked(drives, table)
     counts = league.groupBy("donor_bin", "points").agg(F.count(F.lit(1)).alias("c"))
@@ -100,25 +120,58 @@ def resample_points(drives: DataFrame, table: DataFrame, reps: int, seed: int =
         F.sort_array(F.collect_list("upto")).alias("upto"), F.sort_array(F.collect_list("points")).alias("steps"))
     rows = league.filter(F.col("depth") <= C.RED_ZONE_YARDS) if red_zone_only else league
     key = lanes("place", seed, F.col("game_id"), F.col("fixed_drive").cast("long"))
-    laid = rows.join(ladder, "donor_bin").select("game_id", "fixed_drive", "is_home", "points", "upto", "steps", *[v.alias(k) for k, v in key.items()])
+    laid = rows.join(ladder, "donor_bin").select("game_id", "fixed_drive", "donor_bin", "is_home", "points", "upto", "steps", *[v.alias(k) for k, v in key.items()])
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def redrawn(contest: dict[str, np.ndarray]) -> Iterator[dict]:
+        n, bins = len(contest["points"]), contest["donor_bin"].tolist()
+        for at, donor in enumerate(bins):
+            if donor not in known:
+                known[donor] = (*_bars(contest["upto"][at]), contest["steps"][at])
+        signs = np.where(contest["is_home"] == 1, 1.0, -1.0)
+        first = np.array([known[b][2][0] for b in bins])
+        words = mix32(counted(reps) ^ contest["place_high"].astype(np.uint32)[:, None])
+        deltas, drawn = np.full(reps, float((signs * (first - contest["points"])).sum())), float(first.sum()) * reps
+        for step in range(max(len(known[b][0]) for b in bins)):
+            has = np.array([at for at, b in enumerate(bins) if step < len(known[b][0])])
+            high, low = (np.array([known[bins[at]][part][step] for at in has], dtype=np.uint32) for part in (0, 1))
+            gaps = np.array([known[bins[at]][2][step + 1] - known[bins[at]][2][step] for at in has])
+            of = words[has] if len(has) < n else words
+            reached = of > high[:, None]
+            for row, rep in zip(*np.nonzero(of == high[:, None]), strict=True):
+                tail = mix32(counted(reps)[rep : rep + 1] ^ np.uint32(contest["place_low"][has[row]])) >> np.uint32(12)
+                reached[row, rep] = tail[0] >= low[row]
+            deltas += (signs[has] * gaps) @ reached
+            drawn += float(gaps @ np.count_nonzero(reached, axis=1))
+        yield {"game_id": contest["game_id"][0]} | told(deltas, drawn, float(contest["points"].sum()), n)
+
+    return per_group_arrays(laid, ["game_id"], ["fixed_drive"], redrawn, f"game_id string, {columns}")
+
+
+def resample_points(drives: DataFrame, table: DataFrame, reps: int, seed: int = 0,
+                    red_zone_only: bool = False) -> DataFrame:
+    """Per contest: redrawn minus actual points, home minus away, as one ``deltas`` array over all
+    replicates, with the redrawn points of all replicates, the actual ones and the drives."""
+    told = lambda deltas, drawn, observed, n: {"deltas": deltas.tolist(), "drawn": drawn, "observed": observed, "n": n}
+    return _resampled(drives, table, reps, seed, red_zone_only, told, "deltas array<double>, drawn double, observed double, n long")
+
 
-    def redrawn(r: dict) -> np.ndarray:
-        size = r["upto"][-1]
-        place = np.minimum(np.floor(uniforms(r["place_high"], r["place_low"], counted(reps)) * size), size - 1)
-        points = np.asarray(r["steps"])[np.searchsorted(np.asarray(r["upto"]), place, side="right")]
-        sign = 1.0 if r["is_home"] == 1 else -1.0
-        # what follows the replicates: sums that need no replicate
-        return np.concatenate((sign * (points - r["points"]), (points.sum(), r["points"])))
+def resample_summary(drives: DataFrame, table: DataFrame, reps: int, seed: int = 0, red_zone_only: bool = False) -> DataFrame:
+    """Per contest the replicates' number and the mean, spread and 89% band of its deltas, taken where they are drawn."""
 
-    def told(r: dict, total: np.ndarray, n: int) -> dict:
-        return {"deltas": total[:reps].tolist(), "drawn": float(total[reps]), "observed": float(total[reps + 1]), "n": n}
+    def told(deltas: np.ndarray, drawn: float, observed: float, n: int) -> dict:
+        ordered = np.sort(deltas)
+        return {"reps": len(deltas), "mean_delta": float(deltas.mean()), "sd_delta": float(deltas.std(ddof=1)),
+                "low": sorted_quantile(ordered, 0.055), "high": sorted_quantile(ordered, 0.945)}
 
-    return vector_totals(laid, ["game_id"], ["fixed_drive"], redrawn, told, "game_id string, deltas array<double>, drawn double, observed double, n long")
+    return _resampled(drives, table, reps, seed, red_zone_only, told, "reps long, mean_delta double, sd_delta double, low double, high double")
 
 
-def unbiased(resampled: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    one = resampled.agg(
-        ratio(F.sum("observed"), F.sum("n")).alias("observed_mean"), ratio(F.sum("drawn"), F.sum(F.col("n") * F.size("deltas"))).alias("resampled_mean"))
+def unbiased(drives: DataFrame, table: DataFrame, reps: int, seed: int = 0, tolerance: float = 0.05) -> DataFrame:
+    """Redrawn against actual points per drive over all contests and replicates."""
+    told = lambda deltas, drawn, observed, n: {"drawn": drawn, "observed": observed, "n": n}
+    one = _resampled(drives, table, reps, seed, False, told, "drawn double, observed double, n long").agg(
+        ratio(F.sum("observed"), F.sum("n")).alias("observed_mean"), ratio(F.sum("drawn"), F.sum("n") * reps).alias("resampled_mean"))
     gap = F.col("resampled_mean") - F.col("observed_mean")
     return one.withColumns({"difference": gap, "pass": (F.abs(gap) < tolerance).cast("int")})
 

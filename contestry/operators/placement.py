@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from contestry import constants as C
 from contestry.functions.columns import keyed, ratio
 from contestry.functions.counters import counted, lanes, mix32
 from contestry.functions.plays import placement_cell, scrimmage_with_down
-from contestry.operators.replicates import array_quantile, per_group
+from contestry.operators.replicates import per_group_arrays, sorted_quantile
 from contestry.session import cut_lineage
 
 UNIT = ["game_id", "posteam"]
@@ -184,58 +184,74 @@ def quality_channels(seasons: DataFrame, min_games: int = C.MIN_GAMES) -> DataFr
 # --- permutation null ---------------------------------------------------------------------------
 
 RUNGS = ("raw", "down_stratified", "raw_var_matched", "down_stratified_var_matched")
-#: Keys (plays times draws) that are selected from at once.
-KEYS_TOGETHER = 1 << 21
+#: Keys (plays times draws) that are ordered at once.
+KEYS_TOGETHER = 1 << 17
 
 
-def _first(keys: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
-    """Per draw (row of ``keys``), the places of the least keys up to each cut, from cut to cut. A
-    selection: what lies between two cuts is in no order, and nothing is ranked."""
-    n = keys.shape[1]
-    inner = sorted({c - 1 for c in cuts if 0 < c < n})
-    order = np.argpartition(keys, inner, axis=1) if inner else np.tile(np.arange(n), (len(keys), 1))
-    return [order[:, a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+def _least(top: np.ndarray, low: Callable[[int], np.ndarray], cuts: Sequence[int]) -> list[np.ndarray]:
+    """Per draw (row of ``top``), the places of the least keys up to each cut, from cut to cut.
 
+    ``top`` is the upper 32 bits of the keys, and ``low`` gives a draw's lower bits: they are made only for the
+    draws in which two keys on both sides of a cut agree in the upper ones. A key is ordered with its
+    place behind it in one word, so the words are sorted and no index is.
+    """
+    n = top.shape[1]
+    words = top.astype(np.uint64)
+    words <<= np.uint64(32)
+    words |= np.arange(n, dtype=np.uint64)
+    words.sort(axis=1)
+    order = (words[:, : cuts[-1]] & np.uint64(0xFFFFFFFF)).view(np.int64)
+    for cut in cuts:
+        if 0 < cut < n:
+            for draw in np.flatnonzero(words[:, cut - 1] >> np.uint64(32) == words[:, cut] >> np.uint64(32)):
+                order[draw] = np.lexsort((low(draw), top[draw]))[: cuts[-1]]
+    return [order[:, a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-def placement_null(plays: DataFrame, reps: int, rungs: Sequence[str] = ("raw",), seed: int = 0, value: str = "epa_priced",
-                   rz_scale: float = 1.0, scales=(1.0, 1.0, 1.0)) -> DataFrame:
-    """Placement scores with play values dealt at random inside each contest side: one row per
-    side and rung, ``scores`` holding one number a draw.
 
-    A draw gives each play a key from its own name and the draw's number, and the plays with the
-    least keys take the places; the stratified rungs deal within each down. Plays are dealt to
-    tasks by side, once for all draws and rungs; a side has the plays of one contest.
-    """
+def _null(plays: DataFrame, reps: int, rungs: Sequence[str], seed: int, value: str, rz_scale: float, scales: Sequence[float],
+          told: Callable[[np.ndarray, float], dict], columns: str) -> DataFrame:
+    """One row per side and rung: what ``told`` makes of the draws and of the side's own score."""
     if unknown := set(rungs) - set(RUNGS):
         raise ValueError(f"unknown rung {sorted(unknown)}")
     event = F.concat_ws("|", "game_id", F.col("play_id").cast("long").cast("string"), F.col("mix").cast("string"))
-    rows = plays.select(*UNIT, "play_id", "mix", "down", "cell", F.col(value).cast("double").alias("v"),
+    place = F.when(F.col("cell") == "red_zone", 1).when(F.col("cell") == "late_down", 2).otherwise(0)
+    rows = plays.select(*UNIT, "play_id", "mix", "down", place.alias("place"), F.col(value).cast("double").alias("v"),
                         *[c.alias(k) for k, c in lanes("key", seed, event).items()])
+    raw, stratified = {"raw", "raw_var_matched"} & set(rungs), {"down_stratified", "down_stratified_var_matched"} & set(rungs)
 
-    def dealt(unit: list[dict]) -> Iterator[dict]:
-        v = np.array([r["v"] for r in unit])
-        high, low = (np.array([r[k] for r in unit], dtype=np.uint32) for k in ("key_high", "key_low"))
-        cell, down = np.array([r["cell"] for r in unit]), np.array([r["down"] for r in unit])
-        n, n_rz, n_ld = len(v), int((cell == "red_zone").sum()), int((cell == "late_down").sum())
+    def dealt(unit: dict[str, np.ndarray]) -> Iterator[dict]:
+        v, down = unit["v"], unit["down"]
+        high, low = (unit[k].astype(np.uint32) for k in ("key_high", "key_low"))
+        red, late = unit["place"] == 1, unit["place"] == 2
+        n, n_rz, n_ld = len(v), int(red.sum()), int(late.sum())
         k, mean = n_rz + n_ld, float(v.mean())
         share, dev = k / n, v - mean
+        own = float((v[red].sum() - n_rz * mean) + (v[late].sum() - n_ld * mean)) * C.POINTS_PER_EPA
         weight = lambda scale: (1.0 - share) * scale + share * scales[2]
         scores: dict[str, list[np.ndarray]] = {rung: [] for rung in rungs}
         step = max(1, KEYS_TOGETHER // n)
-        for at in range(0, reps, step):
-            numbers = counted(reps)[at : at + step, None]
-            keys = (mix32(numbers ^ high).astype(np.uint64) << np.uint64(20)) | (mix32(numbers ^ low) >> np.uint32(12)).astype(np.uint64)
-            if {"raw", "raw_var_matched"} & set(rungs):
-                red, late = (dev[x].sum(axis=1) for x in _first(keys, [n_rz, k]))
-                for rung, total in (("raw", red + late), ("raw_var_matched", weight(scales[0]) * red + weight(scales[1]) * late)):
+        for at in range(0, reps if 0 < k < n else 0, step):
+            numbers = counted(reps)[at : at + step]
+            top = mix32(numbers[:, None] ^ high)
+            if raw == {"raw"}:
+                scores["raw"].append(dev[_least(top, lambda draw: mix32(numbers[draw] ^ low) >> np.uint32(12), [k])[0]].sum(axis=1) * C.POINTS_PER_EPA)
+            elif raw:
+                reds, lates = (dev[x].sum(axis=1) for x in _least(top, lambda draw: mix32(numbers[draw] ^ low) >> np.uint32(12), [n_rz, k]))
+                for rung, total in (("raw", reds + lates), ("raw_var_matched", weight(scales[0]) * reds + weight(scales[1]) * lates)):
                     if rung in scores:
                         scores[rung].append(total * C.POINTS_PER_EPA)
-            if {"down_stratified", "down_stratified_var_matched"} & set(rungs):
-                plain, stretched = np.full(len(keys), -k * mean), np.full(len(keys), -k * mean)
+            if stratified:
+                plain, stretched = np.full(len(top), -k * mean), np.full(len(top), -k * mean)
                 for d in np.unique(down):
                     at_down = down == d
-                    s_rz, values = int((cell[at_down] == "red_zone").sum()), v[at_down]
-                    chosen = values[_first(keys[:, at_down], [s_rz])[0]].sum(axis=1)
+                    s_rz, values, tails = int(red[at_down].sum()), v[at_down], low[at_down]
+                    if d in C.LATE_DOWNS and stratified == {"down_stratified"}:
+                        plain += values.sum()  # both parts of a late down count, however they are dealt
+                        continue
+                    if s_rz in (0, len(values)):
+                        chosen = np.full(len(top), values.sum() if s_rz else 0.0)
+                    else:
+                        chosen = values[_least(top[:, at_down], lambda draw: mix32(numbers[draw] ^ tails) >> np.uint32(12), [s_rz])[0]].sum(axis=1)
                     rest = values.sum() - chosen if d in C.LATE_DOWNS else 0.0
                     centre = s_rz * values.mean()
                     plain += chosen + rest
@@ -244,28 +260,44 @@ def placement_null(plays: DataFrame, reps: int, rungs: Sequence[str] = ("raw",),
                     if rung in scores:
                         scores[rung].append(total * C.POINTS_PER_EPA)
         for rung, parts in scores.items():
-            drawn = np.zeros(reps) if k in (0, n) else np.concatenate(parts)
-            yield {c: unit[0][c] for c in UNIT} | {"rung": rung, "scores": drawn.tolist()}
-
-    return per_group(rows, UNIT, ["play_id", "mix"], dealt, "game_id string, posteam string, rung string, scores array<double>")
-
-
-def null_summary(draws: DataFrame) -> DataFrame:
-    """Per side and rung: the draws' number, mean, spread, extremes and 89% band."""
-    n = F.size("scores")
-    rows = draws.withColumn("ordered", F.array_sort("scores")).withColumn("mean", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / n)
-    squares = F.aggregate("scores", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
-    return rows.select("rung", *UNIT, n.alias("draws"), "mean", F.sqrt(squares / (n - 1)).alias("sd"), F.array_min("scores").alias("least"), F.array_max("scores").alias("most"),
-                       array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"))
-
-
-def null_band(draws: DataFrame, realized: DataFrame) -> DataFrame:
-    """Per unit: 89% band of its draws, whether the realized score is inside, mid-P percentile. Draws
-    within 1e-9 of the realized score count as equal to it."""
-    joined = draws.join(realized.select(*UNIT, F.col("score").alias("realized")), UNIT).withColumn("ordered", F.array_sort("scores"))
-    real, line = F.col("realized"), F.lit(1e-9)
-    count = lambda test: F.size(F.filter("scores", test))
-    out = joined.select(
-        *UNIT, array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"), "realized",
-        ratio(count(lambda x: x < real - line) + F.lit(0.5) * count(lambda x: F.abs(x - real) <= line), F.size("scores")).alias("pit"))
-    return out.withColumn("inside", F.col("realized").between(F.col("low"), F.col("high")).cast("int"))
+            yield {c: unit[c][0] for c in UNIT} | {"rung": rung} | told(np.concatenate(parts) if parts else np.zeros(reps), own)
+
+    return per_group_arrays(rows, UNIT, ["play_id", "mix"], dealt, f"game_id string, posteam string, rung string, {columns}")
+
+
+def placement_null(plays: DataFrame, reps: int, rungs: Sequence[str] = ("raw",), seed: int = 0, value: str = "epa_priced",
+                   rz_scale: float = 1.0, scales=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Placement scores with play values dealt at random inside each contest side: one row per
+    side and rung, ``scores`` holding one number a draw.
+
+    A draw gives each play a key from its own name and the draw's number, and the plays with the
+    least keys take the places; the stratified rungs deal within each down. Plays are dealt to
+    tasks by side, once for all draws and rungs; a side has the plays of one contest.
+    """
+    return _null(plays, reps, rungs, seed, value, rz_scale, scales, lambda drawn, own: {"scores": drawn.tolist()}, "scores array<double>")
+
+
+def null_summary(plays: DataFrame, reps: int, rungs: Sequence[str] = ("raw",), seed: int = 0, value: str = "epa_priced",
+                 rz_scale: float = 1.0, scales=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Per side and rung of ``placement_null``: the draws' number, mean, spread, extremes and 89% band,
+    taken where they are drawn."""
+
+    def told(drawn: np.ndarray, own: float) -> dict:
+        ordered = np.sort(drawn)
+        return {"draws": len(drawn), "mean": float(drawn.mean()), "sd": float(drawn.std(ddof=1)), "least": float(ordered[0]), "most": float(ordered[-1]),
+                "low": sorted_quantile(ordered, 0.055), "high": sorted_quantile(ordered, 0.945)}
+
+    return _null(plays, reps, rungs, seed, value, rz_scale, scales, told, "draws long, mean double, sd double, least double, most double, low double, high double")
+
+
+def null_band(plays: DataFrame, reps: int, seed: int = 0, value: str = "epa_priced") -> DataFrame:
+    """Per side: 89% band of its raw draws, its own score, whether that is inside, mid-P percentile. Draws
+    within 1e-9 of the side's own score count as equal to it."""
+
+    def told(drawn: np.ndarray, own: float) -> dict:
+        ordered = np.sort(drawn)
+        less, equal = int((drawn < own - 1e-9).sum()), int((np.abs(drawn - own) <= 1e-9).sum())
+        low, high = sorted_quantile(ordered, 0.055), sorted_quantile(ordered, 0.945)
+        return {"low": low, "high": high, "realized": own, "pit": (less + 0.5 * equal) / len(drawn), "inside": int(low <= own <= high)}
+
+    return _null(plays, reps, ("raw",), seed, value, 1.0, (1.0, 1.0, 1.0), told, "low double, high double, realized double, pit double, inside int")

@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -89,9 +89,52 @@ def per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[str], each:
     return mapped(_dealt(rows, keys, order), schema, work)
 
 
-def array_quantile(ordered: Column, q: float) -> Column:
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {name: batch.column(at).to_numpy(zero_copy_only=False) for at, name in enumerate(batch.schema.names)}
+
+
+def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Places where another group begins than that of the row before; equal nulls are one group."""
+    other = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for key in keys:
+        column = batch.column(batch.schema.get_field_index(key))
+        a, b = column[:-1], column[1:]
+        other |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(other) + 1
+
+
+def per_group_arrays(rows: DataFrame, keys: Sequence[str], order: Sequence[str], each: Callable[[dict[str, np.ndarray]], Iterable[dict]], schema: str) -> DataFrame:
+    """The rows that ``each`` makes of one group's columns, an array each, whose rows come in ``order``."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        held: list[dict[str, np.ndarray]] = []
+        whole = lambda: held[0] if len(held) == 1 else {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = _columns(batch)
+            if held and any(held[-1][k][-1] != columns[k][0] for k in keys):
+                yield whole()
+                held = []
+            cuts = [0, *_starts(batch, keys).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append({k: c[a:b] for k, c in columns.items()})
+                if b < batch.num_rows:
+                    yield whole()
+                    held = []
+        if held:
+            yield whole()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _written((row for group in groups(batches) for row in each(group)), arrow)
+
+    return _dealt(rows, keys, order).mapInArrow(run, schema)
+
+
+def sorted_quantile(ordered: np.ndarray, q: float) -> float:
     """Linearly interpolated quantile of a sorted array."""
-    spot = (F.size(ordered) - 1) * F.lit(float(q))
-    low = F.floor(spot).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    spot = (len(ordered) - 1) * q
+    low = int(spot)
+    a, b = float(ordered[low]), float(ordered[min(low + 1, len(ordered) - 1)])
     return a + (spot - low) * (b - a)

@@ -15,7 +15,6 @@ from contestry.operators import windows as WN
 from contestry.operators.boosting import boosted_out_of_fold
 from contestry.operators.joins import extremes, union_strict
 from contestry.operators.ranking import quantile_row
-from contestry.operators.replicates import array_quantile
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import shared
 from contestry.plans.queries.filters import charted_passes
@@ -288,19 +287,14 @@ shared("redrawn", "drives donors", f"""with l as (select d.*, x.donor_bin, x.mea
 
 @query("m15_donor_bin_resample", "game_id:s reps:i mean_delta:d sd_delta:d low:d high:d", "select game_id, count(*) as reps, avg(delta) as mean_delta, stddev_samp(delta) as sd_delta, quantile_cont(delta, 0.055) as low, quantile_cont(delta, 0.945) as high from redrawn group by 1", "redrawn")
 def m15(t):
-    """Every contest's deltas over all resamples, summed up from its array."""
-    draws = DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), RESAMPLES)
-    n = F.size("deltas")
-    mean = F.aggregate("deltas", F.lit(0.0), lambda a, x: a + x) / n
-    spread = lambda m: F.sqrt(F.aggregate("deltas", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 1))
-    rows = draws.withColumn("mean_delta", mean).withColumn("ordered", F.array_sort("deltas"))
-    return rows.select("game_id", n.alias("reps"), "mean_delta", spread(F.col("mean_delta")).alias("sd_delta"),
-                       array_quantile(F.col("ordered"), 0.055).alias("low"), array_quantile(F.col("ordered"), 0.945).alias("high"))
+    drives = DR.resampled_drives(t.drives)
+    return DR.resample_summary(drives, DR.conditional_points(drives, 400), RESAMPLES)
 
 
 @query("m15_unbiasedness", "observed_mean:d resampled_mean:d difference:d pass:i", "select *, resampled_mean - observed_mean as difference, cast(abs(resampled_mean - observed_mean) < 0.05 as int) as pass from (select sum(observed) / sum(n) as observed_mean, sum(drawn) / sum(n) as resampled_mean from redrawn)", "redrawn")
 def m15_check(t):
-    return DR.unbiased(DR.resample_points(t.drives, DR.conditional_points(t.drives, 400), RESAMPLES))
+    drives = DR.resampled_drives(t.drives)
+    return DR.unbiased(drives, DR.conditional_points(drives, 400), RESAMPLES)
 
 
 @query("m16_expected_delta", "game_id:s expected_delta:d", "select game_id, sum(case when is_home = 1 then 1 else -1 end * (mean_points - points)) as expected_delta from drives d join donors x on x.depth_bin = d.depth_bin where resampled = 1 group by 1", "drives donors")
@@ -397,12 +391,12 @@ def _summed(**rungs: str) -> str:
 
 @query("m20_placement_null", _SUMMARY, _summed(raw=_raw("a + b"), down_stratified=_stratified("1e0")), "priced")
 def m20(t):
-    return PL.null_summary(PL.placement_null(t.priced, NULL_DRAWS, ("raw", "down_stratified")))
+    return PL.null_summary(t.priced, NULL_DRAWS, ("raw", "down_stratified"))
 
 
 @query("m20_variance_matched_null", _SUMMARY, _summed(raw_var_matched=_raw(_MATCHED), down_stratified_var_matched=_stratified("1.41e0")), "priced")
 def m20_matched(t):
-    return PL.null_summary(PL.placement_null(t.priced, NULL_DRAWS, ("raw_var_matched", "down_stratified_var_matched"), rz_scale=1.41, scales=(1.41, 1.1, 0.82)))
+    return PL.null_summary(t.priced, NULL_DRAWS, ("raw_var_matched", "down_stratified_var_matched"), rz_scale=1.41, scales=(1.41, 1.1, 0.82))
 
 
 @query("m21_group_folds", "fold:i games:i", "select fold, count(*) as games from (select (row_number() over (order by md5(concat('0:', game_id)), game_id) - 1) % 5 as fold from schedule) group by fold", "schedule")
@@ -416,7 +410,7 @@ _BAND = f"""with d as ({_raw("a + b")}) select d.game_id, d.posteam, quantile_co
 
 @query("m22_null_bands", "game_id:s posteam:s low:d high:d realized:d pit:d", _BAND, "priced placed")
 def m22(t):
-    return PL.null_band(PL.placement_null(t.priced, NULL_DRAWS), PL.placement_scores(t.cells))
+    return PL.null_band(t.priced, NULL_DRAWS)
 
 
 @query("a29_mid_p_percentile", "units:i mean_pit:d", f"select count(*) as units, avg(pit) as mean_pit from ({_BAND})", "priced placed")
