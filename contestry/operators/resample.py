@@ -6,14 +6,16 @@ from collections.abc import Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry import constants as C
 from contestry.functions.columns import digest, ratio
 from contestry.functions.counters import STEP, lanes_of, mix32, uniforms
-from contestry.operators.ranking import HASH_PIECE, hash_rank, with_positions
-from contestry.operators.replicates import mapped, per_group
+from contestry.operators.ranking import HASH_PIECE, hash_rank, with_positions, with_prefix_sum
+from contestry.operators.replicates import mapped, per_group, per_group_arrays, vector_totals
+from contestry.session import cut_lineage
 
 
 def kept_entities(units: DataFrame, entity: str, min_units: int) -> DataFrame:
@@ -117,6 +119,94 @@ def permuted_entities(units: DataFrame, entity: str, unit: str, reps: int, min_u
     return ranked.join(slots, "_slot").withColumnRenamed("_entity", entity).drop("_slot")
 
 
+#: Cells (replicates times entities, or times digest bins) that one task holds.
+CELLS_HELD = 1 << 22
+
+
+def _digests(start: bytes, keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(md5(start + k).digest() for k in keys), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def permuted_sums(units: DataFrame, entity: str, unit: str, terms: dict[str, Column], reps: int,
+                  min_units: int = C.MIN_GAMES, seed: int = 0, held: int = CELLS_HELD) -> DataFrame:
+    """Per replicate and synthetic entity the sums of the terms (null counts as 0) over the units that
+    ``permuted_entities`` deals to it.
+
+    The slots of an entity are consecutive ranks, so a replicate is cut at the entities' ends. Two passes over the units,
+    which are not shuffled: the first counts them by the leading bits of their digests, the second sums the bins up that
+    lie within one entity. Only the units of the bins in which a cut falls are ranked one by one. Counts and sums are held
+    for all replicates, so where entities times replicates are more than ``held``, the units are dealt as rows.
+    """
+    kept = cut_lineage(kept_entities(units, entity, min_units).select(
+        entity, F.concat_ws("|", F.col(entity), F.col(unit)).alias("_key"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in terms.items()]))
+    names, spark = list(terms), units.sparkSession
+    sizes = kept.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    ends = with_prefix_sum(sizes, [], [entity], "_n", "_end").select(entity, F.col("_end").cast("long").alias("_end"))
+    if sizes.count() * reps > held:
+        dealt = permuted_entities(units.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in terms.items()}), entity, unit, reps, min_units, seed)
+        return dealt.groupBy("rep", entity).agg(*[F.sum(k).alias(k) for k in names])
+    cuts = np.array(sorted(r._end for r in ends.collect()), dtype=np.int64)  # at most ``held`` by ``reps``
+    if not len(cuts):
+        return spark.createDataFrame([], f"rep int, {entity} {kept.schema[entity].dataType.simpleString()}, " + ", ".join(f"{k} double" for k in names))
+    bits = max(1, min(13, int(cuts[-1]).bit_length() - 4, (held // reps).bit_length() - 1))
+    # (a number is given because the rows are few bytes and many digests: sized by bytes they would share one task; a task a
+    # core, since each holds all bins)
+    laid = kept.select("_key", *names).repartition(spark.sparkContext.defaultParallelism)
+
+    def counted_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((reps, 1 << bits), dtype=np.int32)
+        for batch in batches:
+            keys = [k.encode() for k in batch.column(0).to_pylist()]
+            for rep in range(reps if keys else 0):
+                found[rep] += np.bincount((_digests(f"perm:{seed}:{rep}:".encode(), keys)[:, 0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if found.any():
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(range(reps), pa.int32()), "found": [row.tobytes() for row in found]})
+
+    def before(r: dict, total: np.ndarray, n: int) -> dict:
+        return {"before": (np.cumsum(total) - total).tobytes()}
+
+    bins = vector_totals(laid.mapInArrow(counted_bins, "rep int, found binary"), ["rep"], [], lambda r: np.frombuffer(r["found"], dtype=np.int32).astype(np.int64), before, "rep int, before binary")
+    first = np.stack([np.frombuffer(r.before, dtype=np.int64) for r in sorted(bins.collect(), key=lambda r: r.rep)])  # replicates times bins
+    ranks = spark.sparkContext.broadcast(first)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = ranks.value
+        last = np.maximum(np.concatenate((starts[:, 1:], np.full((reps, 1), cuts[-1])), axis=1) - 1, starts)
+        slot, whole = np.searchsorted(cuts, starts, side="right"), np.searchsorted(cuts, last, side="right")
+        sums = {k: np.zeros((reps, len(cuts))) for k in names}
+        told = lambda rep, slot, at, high, low, values: pa.RecordBatch.from_pydict({
+            "rep": pa.array(np.full(len(slot), rep, dtype=np.int32)), "slot": pa.array(slot), "at": pa.array(at), "high": pa.array(high), "low": pa.array(low), **{k: pa.array(v) for k, v in values.items()}})
+        for batch in batches:
+            keys = [k.encode() for k in batch.column("_key").to_pylist()]
+            values = {k: batch.column(k).to_numpy() for k in names}
+            for rep in range(reps if keys else 0):
+                words = _digests(f"perm:{seed}:{rep}:".encode(), keys)
+                at = (words[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
+                inside = slot[rep, at] == whole[rep, at]
+                for k in names:
+                    sums[k][rep] += np.bincount(slot[rep, at[inside]], values[k][inside], minlength=len(cuts))
+                if not inside.all():
+                    out = ~inside
+                    signed = words[out].view(np.int64) ^ np.int64(-(1 << 63))  # in the order of the unsigned words
+                    yield told(rep, np.full(int(out.sum()), -1, dtype=np.int64), starts[rep, at[out]], signed[:, 0].copy(), signed[:, 1].copy(), {k: v[out] for k, v in values.items()})
+        for rep in range(reps):
+            yield told(rep, np.arange(len(cuts)), *[np.zeros(len(cuts), dtype=np.int64)] * 3, {k: v[rep] for k, v in sums.items()})
+
+    kinds = ", ".join(f"{k} double" for k in names)
+    parts = cut_lineage(laid.mapInArrow(summed, f"rep int, slot long, at long, high long, low long, {kinds}"))
+
+    def ranked(rows: dict[str, np.ndarray]) -> Iterator[dict]:
+        slots = np.searchsorted(cuts, rows["at"][0] + np.arange(len(rows["at"])), side="right")
+        for one in np.unique(slots):
+            yield {"rep": int(rows["rep"][0]), "slot": int(one)} | {k: float(rows[k][slots == one].sum()) for k in names}
+
+    edges = per_group_arrays(parts.filter("slot = -1"), ["rep", "at"], ["high", "low"], ranked, f"rep int, slot long, {kinds}")
+    whole = parts.filter("slot >= 0").select("rep", "slot", *names)
+    sums = whole.unionByName(edges).groupBy("rep", "slot").agg(*[F.sum(k).alias(k) for k in names])
+    named = ends.select(entity, F.udf(lambda end: int(np.searchsorted(cuts, end)), "long")("_end").alias("slot"))
+    return sums.join(named, "slot").select("rep", entity, *names)
+
+
 #: Units whose values one task holds, and replicates that it draws.
 BLOCK, TOGETHER = 1 << 20, 50
 

@@ -15,6 +15,7 @@ from contestry.operators.ranking import quantile_row
 from contestry.plans.catalogue import query
 from contestry.plans.oracle_tables import phi, shared
 from contestry.plans.queries.filters import CELL_SQL, charted_passes
+from contestry.session import cut_lineage
 
 
 def _class_sql(rows: str, klass: str, outcome: str, epa: str) -> str:
@@ -114,8 +115,9 @@ def f32_guard(t):
 
 
 def _catchable(t):
-    return charted_passes(t).filter("is_catchable_ball").withColumn(
-        "caught", (~F.col("is_drop")).cast("int"))
+    """Catchable passes with what a swing is made of; the table, its pooled row and the plays read them, so they are joined once."""
+    rows = charted_passes(t).filter("is_catchable_ball").withColumn("caught", (~F.col("is_drop")).cast("int"))
+    return cut_lineage(rows.select("game_id", "play_id", "epa", "yardline_100", "down", "air_epa", "xyac_epa", "is_drop", "caught"))
 
 
 _PLAY_SWING = f"""select k.*, case when air_epa is null and xyac_epa is null then 'bin_both_null' when air_epa is null or xyac_epa is null then 'bin_xyac_only_null' when {CELL_SQL} is null then 'bin_no_cell' else 'per_play' end as reason,

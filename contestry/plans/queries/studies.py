@@ -274,8 +274,8 @@ def m13(t):
    select rep, stddev_samp(v) as sd_between, count(*) as entities from (select rep, slot_team, sum(epa_all) / sum(n_all) as v from d join s on s.slot = d.slot group by all) group by rep""", "sequencing")
 def m14(t):
     units = sequencing(t).select("team_season", "game_id", "epa_all", "n_all")
-    dealt = RS.permuted_entities(units, "team_season", "game_id", PERMUTATIONS, min_units=3)
-    per = dealt.groupBy("rep", "team_season").agg(ratio(F.sum("epa_all"), F.sum("n_all")).alias("v"))
+    dealt = RS.permuted_sums(units, "team_season", "game_id", {"e": F.col("epa_all"), "n": F.col("n_all")}, PERMUTATIONS, min_units=3)
+    per = dealt.select("rep", ratio("e", "n").alias("v"))
     return per.groupBy("rep").agg(F.stddev_samp("v").alias("sd_between"), F.count(F.lit(1)).alias("entities"))
 
 
