@@ -219,6 +219,18 @@ def _range_digests(piece: int):
     return hashed
 
 
+def season_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """A digest for each season's folder, from those of its files, of which there may be several;
+    their names are the writer's and do not count.
+
+    Bytes are hashed, not rows, so only files that were left alone are sure to keep their digest: Parquet lists
+    a column's encodings in the order of a hash set that differs from one JVM to the next.
+    """
+    files = file_hashes(spark, root).withColumn("file", F.regexp_extract("file", r"^(.+)/[^/]+$", 1))
+    joined = F.array_join(F.array_sort(F.collect_list("digest")), "")
+    return files.groupBy("file").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
+
+
 def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Every file that moved, vanished or appeared."""
     both = recorded.withColumnRenamed("digest", "was").join(
