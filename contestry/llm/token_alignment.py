@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,28 @@ class _Chunk:
         return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64())} | {k: _one(v) for k, v in cells.items()})
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come chunk by chunk as a row of lists for each chunk; a task holds one at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def row() -> pa.RecordBatch:
+        n, best = (pa.concat_arrays([h[c] for h in held]) for c in ("n", "best"))
+        return pa.RecordBatch.from_pydict({"chunk": held[0]["chunk"].slice(0, 1), "n": _one(n), "best": _one(best)})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk = batch["chunk"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for start, stop in pairwise(cuts):
+            if held and held[0]["chunk"][0].as_py() != chunk[start]:
+                yield row()
+                held = []
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield row()
+
+
 def align_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
                 together: int = TOGETHER, chunk_entries: int = CHUNK_ENTRIES) -> DataFrame:
     """One row for each row: ``doc_id``, ``n_a``, ``n_b`` tokens, ``n_groups`` between common ends,
@@ -246,14 +269,14 @@ def align_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         if chunk.columns:
             yield chunk.row(number)
 
-    chunks = staged(rows.mapInArrow(encode, CHUNK_SCHEMA))
+    chunks = staged(rows.mapInArrow(encode, CHUNK_SCHEMA), 1)  # a chunk is a large row
     partial = chunks.select("chunk", F.posexplode(F.arrays_zip("pair", "docs")).alias("place", "p")).select("chunk", "place", "p.pair", "p.docs")
     counts = staged(partial.groupBy("pair").agg(F.sum("docs").alias("n")))
     left = F.floor(F.col("pair") / F.lit(width))
     top = counts.groupBy(left.alias("left")).agg(F.max("n").alias("top"))
     ranked = counts.withColumn("left", left).join(top, "left").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
-    answers = partial.join(ranked, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "n", "best"))).alias("told"))
-    told = chunks.drop("pair", "docs").join(answers.select("chunk", "told.n", "told.best"), "chunk", "left")
+    answers = partial.join(ranked, "pair").select("chunk", "place", "n", "best").repartition("chunk").sortWithinPartitions("chunk", "place")
+    told = chunks.drop("pair", "docs").join(answers.mapInArrow(_gathered, "chunk bigint, n array<bigint>, best array<boolean>"), "chunk", "left")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
