@@ -7,6 +7,9 @@ in each partition, the sums of all partitions meet by model, and one best split
 back: what a level costs does not depend on how many models there are. The driver holds trees,
 never rows. Cells travel as blocks of arrays; their predictions are brought up to date each round where
 they are kept, and written every ``RENEW`` rounds, so that a lost executor repeats at most those.
+
+Where no set has more than ``ALONE`` cells, a model fits in one task whatever the number of rows. Models know
+nothing of each other, so each then grows all its trees in a task of its own, without a job for every level.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ RENEW = 10
 TASK_RESIDUALS, FULL_TASK = 150_000, 2_000_000
 #: Cells of a block.
 BLOCK = 8192
+#: Cells of a feature set, some 70 bytes each, that one task holds while it grows a model.
+ALONE = 4_000_000
 
 
 class Trees:
@@ -109,20 +114,92 @@ def cells_of(state: DataFrame, sets: list[list[int]], folds: int) -> DataFrame:
     return cells.select("set", "bins", *[F.array(*[f"{c}{k}" for k in range(folds)]).alias(c) for c in "tw"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Cells as blocks: set, bins, what all but each fold sum up to and count, each fold's own count."""
+    for batch in batches:
+        of = batch["set"].to_numpy()
+        for i in np.unique(of).tolist():
+            mine = batch.filter(pa.array(of == i))
+            n = mine.num_rows
+            bins, t, w = (mine[c].flatten().to_numpy().reshape(n, -1) for c in ("bins", "t", "w"))
+            for a in range(0, n, BLOCK):
+                part = slice(a, a + BLOCK)
+                rest = [x[part].sum(axis=1, keepdims=True) - x[part] for x in (t, w)]
+                yield i, bins[part].astype(np.int32), rest[0], rest[1].astype(np.float64), w[part]
+
+
 def _packed(start: list[np.ndarray]):
-    """Cells as blocks: set, bins, what all but each fold sum up to and count, predictions."""
+    """Blocks with the predictions that they start from."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, bins, t, w, _ in _blocks(batches):
+            block = (i, bins, t, w, np.tile(start[i], (len(bins), 1)))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(block)], pa.binary())})
+    return work
+
+
+def _by_model(folds: int, max_bins: int):
+    """A block's share in each model: bins, what the model learns from, and which cells it predicts."""
+    kind = np.min_scalar_type(max_bins)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, bins, t, w, own in _blocks(batches):
+            parts = [(bins.astype(kind), t[:, k].copy(), w[:, k].copy(), own[:, k] > 0) for k in range(folds)]
+            yield pa.RecordBatch.from_pydict({
+                "model": pa.array([i * folds + k for k in range(folds)], pa.int32()), "part": pa.array([pickle.dumps(p) for p in parts], pa.binary())})
+    return work
+
+
+def grown_alone(bins: np.ndarray, t: np.ndarray, w: np.ndarray, first: float, rounds: int, rate: float, depth: int, least: int, width: int) -> np.ndarray:
+    """What one model predicts for each of its cells, given by feature and cell, after all rounds."""
+    n, p = bins.shape[1], np.full(bins.shape[1], first)
+    spot, at = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for _ in range(rounds):
+        rest = t - w * p
+        node = np.zeros(n, dtype=np.int64)
+        value = np.zeros(2 ** (depth + 1) - 1)
+        for level in range(depth):
+            begin, many = 2**level - 1, 2**level
+            np.subtract(node, begin, out=spot)
+            spot[spot < 0] = many  # a leaf above: counted where nobody looks
+            spot *= width
+            sums, counts = np.empty((2, many, len(bins), width))
+            for j, of in enumerate(bins):
+                np.add(spot, of, out=at)
+                for table, x in ((sums, rest), (counts, w)):
+                    table[:, j] = np.bincount(at, x, (many + 1) * width).reshape(many + 1, width)[:many]
+            if level == 0:  # a tree that cannot split predicts the mean of its residuals
+                value[0] = rate * sums[0, 0].sum() / max(1.0, counts[0, 0].sum())
+            feature, cut = np.full(many + 1, -1), np.zeros(many + 1, dtype=np.int64)
+            for k, f, c, gl, nl, gr, nr in best_splits(sums, counts, least):
+                feature[k], cut[k], child = f, c, 2 * (begin + k) + 1
+                value[child], value[child + 1] = rate * gl / nl, rate * gr / nr
+            if (feature < 0).all():
+                break
+            spot //= width
+            for f in np.unique(feature[feature >= 0]).tolist():
+                mine = np.flatnonzero((feature == f)[spot])
+                node[mine] = 2 * node[mine] + 1 + (bins[f, mine] > cut[spot[mine]])
+        p += value[node]
+    return p
+
+
+def _alone(guess: np.ndarray, rounds: int, rate: float, depth: int, least: int, width: int):
+    """A model's cells in which its fold has rows, and their predictions."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            of = batch["set"].to_numpy()
-            for i in np.unique(of).tolist():
-                mine = batch.filter(pa.array(of == i))
-                n = mine.num_rows
-                bins, t, w = (mine[c].flatten().to_numpy().reshape(n, -1) for c in ("bins", "t", "w"))
-                for a in range(0, n, BLOCK):
-                    part = slice(a, a + BLOCK)
-                    rest = [x[part].sum(axis=1, keepdims=True) - x[part] for x in (t, w)]
-                    block = (i, bins[part].astype(np.int32), rest[0], rest[1].astype(np.float64), np.tile(start[i], (len(bins[part]), 1)))
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(block)], pa.binary())})
+            for m, part in zip(batch["model"].to_pylist(), batch["part"], strict=True):
+                held.setdefault(m, []).append(pickle.loads(part.as_py()))
+        for m in list(held):
+            bins, t, w, own = (np.concatenate(x) for x in zip(*held.pop(m), strict=True))
+            fold = m % len(guess)
+            p = grown_alone(np.ascontiguousarray(bins.T), t, w, guess[fold], rounds, rate, depth, least, width)
+            told = np.flatnonzero(own)
+            for a in range(0, len(told), BLOCK):
+                mine = bins[told[a:a + BLOCK]].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * mine.shape[1]), pa.array(mine.ravel()))
+                fixed = [pa.array(np.full(len(mine), x, dtype=np.int32)) for x in (m // len(guess), fold)]
+                yield pa.RecordBatch.from_arrays([*fixed, lists, pa.array(p[told[a:a + BLOCK]])], names=["set", "of", "bins", "p"])
     return work
 
 
@@ -174,29 +251,10 @@ def _splits(level: int, least: int):
     return work
 
 
-def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]], target: str, folds: int, rounds: int = 200,
-                        rate: float = 0.1, depth: int = 5, least: int = 100, max_bins: int = 32, few: int = 8) -> DataFrame:
-    """The rows with ``predicted``, a struct of one out-of-fold prediction for each feature set.
-
-    For every set and every ``fold`` a booster of squared loss learns from the other folds' rows;
-    its first guess is their mean. Every row is learned from and every row is predicted; a missing
-    feature is a value of its own, below all others. A null target counts as zero. The tables of up
-    to ``few`` tasks are merged where the trees grow; those of more meet by model first.
-    """
-    names = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
-    sets = [[names.index(f) for f in fs] for fs in feature_sets.values()]
-    kept = rows.columns
-    y = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
-    rows = cut_lineage(rows)  # read for the means, the edges and the bins
-    means = rows.groupBy("fold").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("c")).collect()  # one row a fold
-    s, c = sum(r.s for r in means), sum(r.c for r in means)
-    own = {r.fold: (r.s, r.c) for r in means}
-    guess = np.array([float((s - own.get(f, (0, 0))[0]) / max(1, c - own.get(f, (0, 0))[1])) for f in range(folds)])
-    state = cut_lineage(binned(rows, names, max_bins).withColumn("_y", y))
-    cells = cut_lineage(cells_of(state, sets, folds))
-
-    context = rows.sparkSession.sparkContext
-    residuals = cells.count() * folds
+def _level_by_level(cells: DataFrame, residuals: int, sets: list[list[int]], guess: np.ndarray, rounds: int, rate: float, depth: int,
+                    least: int, max_bins: int, few: int) -> DataFrame:
+    """Predictions of as many cells as there are: cells stay where they are, a level of all trees is one job."""
+    folds, context = len(guess), cells.sparkSession.sparkContext
     tasks = max(1, min(math.ceil(residuals / TASK_RESIDUALS), context.defaultParallelism), math.ceil(residuals / FULL_TASK))
     parts = min(len(sets) * folds, tasks)
     blocks = cells.repartition(tasks, "set", "bins").mapInArrow(_packed([guess] * len(sets)), "block binary")
@@ -229,14 +287,48 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
         older, held = held, held.mapPartitions(_renewed(trees)).persist(StorageLevel.MEMORY_AND_DISK)
         if (k + 1) % RENEW == 0:
             held.checkpoint()
-    told = rows.sparkSession.createDataFrame(held.map(lambda b: (pickle.dumps(b),)), "block binary").mapInArrow(_unpacked, "set int, bins array<int>, p array<double>")
+    told = cells.sparkSession.createDataFrame(held.map(lambda b: (pickle.dumps(b),)), "block binary").mapInArrow(_unpacked, "set int, bins array<int>, p array<double>")
     told = cut_lineage(told)
     for x in (held, older):
         if x is not None:
             x.unpersist()
+    return told.select("set", F.posexplode("p").alias("of", "p"), "bins")
+
+
+def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]], target: str, folds: int, rounds: int = 200,
+                        rate: float = 0.1, depth: int = 5, least: int = 100, max_bins: int = 32, few: int = 8, alone: int = ALONE) -> DataFrame:
+    """The rows with ``predicted``, a struct of one out-of-fold prediction for each feature set.
+
+    For every set and every ``fold`` a booster of squared loss learns from the other folds' rows;
+    its first guess is their mean. Every row is learned from and every row is predicted; a missing
+    feature is a value of its own, below all others. A null target counts as zero. The tables of up
+    to ``few`` tasks are merged where the trees grow; those of more meet by model first. Neither is
+    needed where every set has at most ``alone`` cells: a model then grows in one task.
+    """
+    names = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    sets = [[names.index(f) for f in fs] for fs in feature_sets.values()]
+    kept = rows.columns
+    y = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
+    rows = cut_lineage(rows)  # read for the means, the edges and the bins
+    means = rows.groupBy("fold").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("c")).collect()  # one row a fold
+    s, c = sum(r.s for r in means), sum(r.c for r in means)
+    own = {r.fold: (r.s, r.c) for r in means}
+    guess = np.array([float((s - own.get(f, (0, 0))[0]) / max(1, c - own.get(f, (0, 0))[1])) for f in range(folds)])
+    state = cut_lineage(binned(rows, names, max_bins).withColumn("_y", y))
+    cells = cut_lineage(cells_of(state, sets, folds))
+
+    sizes = {r["set"]: r["count"] for r in cells.groupBy("set").count().collect()}  # one row a set
+    if max(sizes.values(), default=0) <= alone:
+        models = len(sets) * folds
+        parts = cells.mapInArrow(_by_model(folds, max_bins), "model int, part binary")
+        # as many tasks as models, those of the last sets first: nested sets have more cells each time
+        parts = parts.repartitionById(models, F.lit(models - 1) - F.col("model"))
+        told = cut_lineage(parts.mapInArrow(_alone(guess, rounds, rate, depth, least, max_bins + 1), "set int, of int, bins array<int>, p double"))
+    else:
+        told = _level_by_level(cells, sum(sizes.values()) * folds, sets, guess, rounds, rate, depth, least, max_bins, few)
     out = state
     for i, (name, at) in enumerate(zip(feature_sets, sets, strict=True)):
-        mine = told.filter(F.col("set") == i).select(F.col("bins").alias("_at"), F.col("p").alias(f"_p{i}"))
-        same = F.array(*[F.get("bins", F.lit(j)) for j in at]) == F.col("_at")
-        out = out.join(mine, same).withColumn(f"_p{i}", F.get(f"_p{i}", F.col("fold"))).drop("_at")
+        mine = told.filter(F.col("set") == i).select(F.col("bins").alias("_at"), F.col("of").alias("_of"), F.col("p").alias(f"_p{i}"))
+        same = (F.array(*[F.get("bins", F.lit(j)) for j in at]) == F.col("_at")) & (F.col("fold") == F.col("_of"))
+        out = out.join(mine, same).drop("_at", "_of")
     return cut_lineage(out.select(*kept, F.struct(*[F.col(f"_p{i}").alias(name) for i, name in enumerate(feature_sets)]).alias("predicted")))

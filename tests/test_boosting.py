@@ -95,3 +95,26 @@ def test_rows_with_equal_bins_are_passed_over_as_one(spark, monkeypatch):
     assert len(cells) == 4
     assert sum(sum(c.w) for c in cells) == 600
     assert sum(sum(c.t) for c in cells) == sum(row[2] for row in rows)
+
+
+@pytest.mark.parametrize("few", [8, 0])
+def test_models_grown_alone_and_level_by_level_agree(spark, few):
+    r = random.Random(8)
+    rows = [(k, r.choice([None, *range(9)]), r.uniform(-2, 2), k % 3, r.gauss(0, 3)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id long, a int, b double, fold int, y double").repartition(4)
+    sets = {"one": ("a",), "both": ("a", "b")}
+    told = [{x.id: x.predicted for x in boosted_out_of_fold(frame, sets, "y", 3, 5, 0.3, 3, 8, 6, few, alone).collect()} for alone in (boosting.ALONE, 0)]
+    assert len(told[0]) == len(told[1]) == 300
+    assert all(abs(told[0][k][name] - told[1][k][name]) < 1e-9 for k in told[0] for name in sets)
+
+
+def test_no_job_for_every_level_where_a_model_fits_in_a_task(spark):
+    frame = spark.createDataFrame([(k % 4, k % 3, float(k % 5)) for k in range(600)], "a int, fold int, y double")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+    def used(rounds):
+        before = jobs()
+        boosted_out_of_fold(frame, {"only": ("a",)}, "y", 3, rounds, least=5, max_bins=4).collect()
+        return jobs() - before
+
+    assert used(6) - used(1) < 3
