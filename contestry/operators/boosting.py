@@ -330,5 +330,5 @@ def boosted_out_of_fold(rows: DataFrame, feature_sets: dict[str, Sequence[str]],
     for i, (name, at) in enumerate(zip(feature_sets, sets, strict=True)):
         mine = told.filter(F.col("set") == i).select(F.col("bins").alias("_at"), F.col("of").alias("_of"), F.col("p").alias(f"_p{i}"))
         same = (F.array(*[F.get("bins", F.lit(j)) for j in at]) == F.col("_at")) & (F.col("fold") == F.col("_of"))
-        out = out.join(mine, same).drop("_at", "_of")
+        out = out.join(mine, same, "left").drop("_at", "_of")  # a row of no fold stays, without a prediction
     return cut_lineage(out.select(*kept, F.struct(*[F.col(f"_p{i}").alias(name) for i, name in enumerate(feature_sets)]).alias("predicted")))

@@ -118,3 +118,10 @@ def test_no_job_for_every_level_where_a_model_fits_in_a_task(spark):
         return jobs() - before
 
     assert used(6) - used(1) < 3
+
+
+@pytest.mark.parametrize("alone", [boosting.ALONE, 0])
+def test_a_row_of_no_fold_stays_without_a_prediction(spark, alone):
+    frame = spark.createDataFrame([(1, 1.0, 0, 4.0), (2, 1.0, 1, 8.0), (3, 2.0, None, 6.0)], "id long, a double, fold int, y double")
+    got = {row.id: row.predicted.only for row in boosted_out_of_fold(frame, {"only": ("a",)}, "y", 2, 2, alone=alone).collect()}
+    assert set(got) == {1, 2, 3} and got[3] is None and None not in (got[1], got[2])
